@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,19 @@ def local_session(cpus: int | None = None, app: str = "tidemark", shuffle_partit
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: once per application, and only where no PYTHONPATH of theirs leads to it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.applicationId in _SHIPPED or root in known or root.endswith(".zip"):
+        return
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    archive = shutil.make_archive(os.path.join(folder, "tidemark"), "zip", root, "tidemark")
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
