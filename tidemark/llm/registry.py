@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import huffman, packing, simhash, tokens, toxicity
+from tidemark.llm import huffman, langid, packing, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": tokens.op3_token_counts,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_language_id": langid.op5_language_id,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_simhash_neardup": simhash.op9_simhash_neardup,
         "op10_huffman_ids": huffman.op10_huffman_ids,
