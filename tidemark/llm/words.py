@@ -33,7 +33,7 @@ def byte_letters() -> dict[int, str]:
 class WordIds:
     """``ids(texts)``: for each text (UTF-8) its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str, most_words: int = 900_000):
+    def __init__(self, name: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         path = public_tokenizers.path(name)
