@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import huffman, langid, packing, simhash, tokens, toxicity
+from tidemark.llm import huffman, langid, mpegaudio, packing, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mpeg_audio": mpegaudio.op2_mpeg_audio,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_language_id": langid.op5_language_id,
