@@ -292,7 +292,7 @@ def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 for stored in part.column("media").to_pylist():
                     payload, s = unwrap(stored)
                     seeks = zlib.crc32(np.array(s.offsets, "<i8").tobytes())
-                    feature = f"frames={s.frames};duration_us={s.duration_us};rate={s.rate};kbps={min(s.kbps)}-{max(s.kbps)};crc={s.crc_ok}/{s.crc_ok + s.crc_bad};resyncs={s.resyncs};vbr={s.vbr_frames}/{s.vbr_bytes};toc={zlib.crc32(s.toc):08x};seek={','.join(map(str, s.offsets[: 64 * SEEK_FRAMES : SEEK_FRAMES]))};seek_crc={seeks:08x}"
+                    feature = f"frames={s.frames};duration_us={s.duration_us};rate={s.rate};kbps={min(s.kbps)}-{max(s.kbps)};crc={s.crc_ok}/{s.crc_ok + s.crc_bad};resyncs={s.resyncs};vbr={s.vbr_frames}/{s.vbr_bytes};toc={zlib.crc32(s.toc):08x};seek={','.join(map(str, s.offsets[::SEEK_FRAMES]))};seek_crc={seeks:08x}"
                     out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
                 columns = list(zip(*out)) or [()] * 6
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import huffman, langid, mpegaudio, packing, simhash, tokens, toxicity
+from tidemark.llm import brown, huffman, langid, mpegaudio, packing, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_language_id": langid.op5_language_id,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_brown_scores": brown.op8_brown_scores,
         "op9_simhash_neardup": simhash.op9_simhash_neardup,
         "op10_huffman_ids": huffman.op10_huffman_ids,
     }
