@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import brown, huffman, langid, mpegaudio, packing, simhash, tokens, toxicity
+from tidemark.llm import brown, decontaminate, huffman, langid, mpegaudio, packing, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": tokens.op3_token_counts,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_language_id": langid.op5_language_id,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_brown_scores": brown.op8_brown_scores,
         "op9_simhash_neardup": simhash.op9_simhash_neardup,
