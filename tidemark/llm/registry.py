@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import brown, decontaminate, huffman, langid, mpegaudio, packing, simhash, tokens, toxicity
+from tidemark.llm import brown, decontaminate, huffman, langid, mpegaudio, packing, simhash, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_mpeg_audio": mpegaudio.op2_mpeg_audio,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
