@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
-#: Bytes of serialized rows that one shuffle partition should hold.
-PARTITION_BYTES = 32 << 20
+#: Folders that ``written`` made in this process, in order.
+MADE: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,23 +44,22 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files of a table made by ``written``; only for tables that nothing will read again."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemark/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove every table that ``written`` made in this session's shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table made by ``written``; only for tables that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tidemark/" in folder:
+            remove(df.sparkSession, folder)
 
 
 def parallelism(df: DataFrame) -> int:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffer_of, documents, parallelism, shared_dir, sliced, utf8, written
+from tidemark.llm.common import MADE, buffer_of, documents, parallelism, shared_dir, sliced, utf8, written
 from tidemark.llm.words import word_ids
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,7 @@ END_ID = 1
 MAX_BITS = 18
 BLOCK_IDS = 1 << 16
 CHECKPOINT_IDS = 512
+BLOCK_SCHEMA = "part int, block int, ids_n long, docs array<long>, counts array<long>, doc_bits array<long>, point_bits array<long>, code binary"
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -230,14 +231,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     coded = ids.mapInArrow(code, "id long, n long, points array<long>, code binary")
     parts = parallelism(ids)
     ordered = coded.repartitionByRange(parts, "id").sortWithinPartitions("id", "n", "code")
-    blocks = ordered.mapInArrow(block, "part int, block int, ids_n long, docs array<long>, counts array<long>, doc_bits array<long>, point_bits array<long>, code binary")
+    blocks = ordered.mapInArrow(block, BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Decode a file made by ``write_ids``: id, start, n_tokens and ids (array<int>), or ids_crc32 instead of ids."""
     lengths = np.zeros(1 << 16, np.uint8)
-    for r in spark.read.parquet(f"{path}/code").collect():  # at most one row per id of the vocabulary
+    for r in spark.read.schema("token int, bits int").parquet(f"{path}/code").collect():  # at most one row per id of the vocabulary
         lengths[r["token"]] = r["bits"]
     bits = max(1, int(lengths.max()))
     sent = spark.sparkContext.broadcast(lengths)
@@ -270,7 +271,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(n), out], ["id", "start", "n_tokens", kind.split()[0]])
 
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     # Ids before each block: sums by part (as many rows as parts), then running sums within a part.
     totals = blocks.groupBy("part").agg(F.sum("ids_n").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -282,5 +283,6 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: write all documents' ids, read the files back."""
     path = f"{shared_dir(spark)}/tidemark/huffman-{uuid.uuid4().hex}"
+    MADE.append(path)
     write_ids(documents(spark, sf_dir), path)
     return read_ids(spark, path, digest=True).withColumnRenamed("id", "doc_id")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, parallelism, sliced, utf8, written
@@ -181,17 +181,49 @@ def midpoint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return middles.join(least, "middle").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def classes(rows: DataFrame, bits: int = MAX_BITS, groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """fp and root, the smallest fingerprint of its component, of all fingerprints in ``rows`` (id, fp)."""
+    nodes = written(rows.select("fp").distinct(), "distinct-fingerprints")
+    edges = links(nodes, groups or grid_groups(nodes.count()), bits, cell_limit)
+    roots = written(components(edges), "roots")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, groups: int | None = None, cell_limit: int = CELL_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 lowercase hex digits) and component_id (the smallest id of the component) for every row."""
     rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = written(distinct, "distinct-fingerprints")
-    edges = links(nodes.select("fp"), groups or grid_groups(nodes.count()), bits, cell_limit)
-    roots = written(components(edges), "roots")
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = classes(rows, bits, groups, cell_limit).join(rows.groupBy("fp").agg(F.min("id").alias("least")), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = linked.join(least, "root").select("fp", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, from each component: that with the smallest id (null is the largest).
+
+    Where ids repeat, rows of a component with the same smallest id are told apart by their columns, and the first stays.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    rows = written(fingerprints(docs.select(key.alias("key_"), F.col(text_col).alias("text_")), words, "key_", "text_"), "fingerprints")
+    chosen = rows.join(classes(rows, bits), "fp").groupBy("root").agg(F.min("id").alias("key_"))
+    if not rows.groupBy("id").count().where("count > 1").limit(1).count():
+        return docs.withColumn("key_", key).join(chosen.select("key_"), "key_").select(*docs.columns)
+    roots = classes(rows, bits).withColumnRenamed("fp", "fp_")
+    kept = _with_fingerprint(docs, words, text_col).withColumn("key_", key).join(roots, "fp_").join(chosen, ["root", "key_"])
+    order = Window.partitionBy("root", "key_").orderBy(F.xxhash64(utf8(text_col)), F.to_json(F.struct(*docs.columns)))
+    return kept.withColumn("row_", F.row_number().over(order)).where("row_ = 1").select(*docs.columns)
+
+
+def _with_fingerprint(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """``docs`` with the column fp_."""
+    place, schema = docs.columns.index(text_col), docs.schema.add("fp_", "long")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary()).fill_null(b"").to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_texts(texts, words).view(np.int64))], [*batch.schema.names, "fp_"])
+
+    return docs.mapInArrow(compute, schema)
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

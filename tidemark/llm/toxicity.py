@@ -6,12 +6,12 @@ bytes; each is hashed into
 and the sum over all pairs of terms of the product of their factor vectors, in linear time by the square of the sum.  The
 machine is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, those with the smallest hash of doc_id), by adaptive
 gradient steps; every sixth row of it is kept back to set the slope and the cut, so that 0.5 is the best cut there.  Only the
-``MOST_TERMS`` columns that deviate most, in standard errors, between the labels take part, each in ``MIN_DOCS`` texts of the
-sample at least: the pair sums of hundreds of neutral terms would drown the others.
+``MOST_TERMS`` columns that deviate most between the labels, ``MIN_DEVIATION`` standard errors at least, take part, each in
+``MIN_DOCS`` texts of the sample or more: the pair sums of hundreds of neutral terms would drown the others.
 
 Null and empty texts have no terms: their score is that of the bias.  Rows whose label is null are not learned from; a row
 whose doc_id is null is held out (its remainder isn't known).  Repeated rows are scored each on its own.  With no labelled
-row, or with one label only, every score is that label's share, pulled to one half.
+row, or with one label only, every score is the share of the label toxic, pulled to one quarter.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ FACTORS = 4
 TRAIN_ROWS = 24_000
 MIN_DOCS = 3
 MOST_TERMS = 2048
+MIN_DEVIATION = 4.0
 EPOCHS = 6
 BATCH = 256
 FOLDS = 5
@@ -76,7 +77,7 @@ class Machine:
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """Fit by AdaGrad on the logistic loss; deterministic for the same rows in the same order."""
     size = 1 << HASH_BITS
-    share = (labels.sum() + 1) / (len(labels) + 2)
+    share = (labels.sum() + 0.5) / (len(labels) + 2)
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)))
     if len(set(labels.tolist())) < 2:
         return machine
@@ -89,7 +90,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     score = np.where(docs >= MIN_DOCS, np.abs(marked - expected) / np.sqrt(expected * (1 - labels[~held].mean()) + 1e-9), 0)
     known = np.zeros(size, bool)
     known[np.argsort(-score, kind="stable")[:MOST_TERMS]] = True
-    known &= score > 0
+    known &= score >= MIN_DEVIATION
     rows = [r[known[r]] for r in rows]
     random = np.random.default_rng(seed)
     machine.factors[known] = random.normal(0, 0.01, (int(known.sum()), FACTORS))
