@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, sliced, utf8
+from tidemark.llm.common import documents, sliced, utf8, written
 
 HASH_BITS = 18
 FACTORS = 4
@@ -74,23 +74,27 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(ids, counts) + self.shift, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+def telling(docs: np.ndarray, marked: np.ndarray, share: float) -> np.ndarray:
+    """Which columns take part, from the texts and the marked texts of each, and the share of marked texts."""
+    expected = docs * share
+    score = np.where(docs >= MIN_DOCS, np.abs(marked - expected) / np.sqrt(expected * (1 - share) + 1e-9), 0)
+    known = np.zeros(len(docs), bool)
+    known[np.argsort(-score, kind="stable")[:MOST_TERMS]] = True
+    return known & (score >= MIN_DEVIATION)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray | None = None, seed: int = 7) -> Machine:
     """Fit by AdaGrad on the logistic loss; deterministic for the same rows in the same order."""
     size = 1 << HASH_BITS
     share = (labels.sum() + 0.5) / (len(labels) + 2)
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)))
     if len(set(labels.tolist())) < 2:
         return machine
-    held = np.arange(len(rows)) % 6 == 5
+    held = np.arange(len(rows)) % 6 == 5 if held is None else held
     flat, counts = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(r) for r in rows])
     learn = np.repeat(~held, counts)
-    docs = np.bincount(flat[learn], minlength=size)
     marked = np.bincount(flat[learn], np.repeat(labels, counts)[learn], minlength=size)
-    expected = docs * labels[~held].mean()
-    score = np.where(docs >= MIN_DOCS, np.abs(marked - expected) / np.sqrt(expected * (1 - labels[~held].mean()) + 1e-9), 0)
-    known = np.zeros(size, bool)
-    known[np.argsort(-score, kind="stable")[:MOST_TERMS]] = True
-    known &= score >= MIN_DEVIATION
+    known = telling(np.bincount(flat[learn], minlength=size), marked, float(labels[~held].mean()))
     rows = [r[known[r]] for r in rows]
     random = np.random.default_rng(seed)
     machine.factors[known] = random.normal(0, 0.01, (int(known.sum()), FACTORS))
@@ -167,10 +171,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     marks = labels.select(F.col(id_col).alias("mark_id"), F.col(label_col).cast("int").alias("mark")).where("mark is not null").groupBy("mark_id").agg(F.max("mark").alias("mark"))
     chosen = marks.where(~held_out("mark_id")).withColumn("rank", F.xxhash64("mark_id")).orderBy("rank", "mark_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("mark_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "mark_id")  # at most ``rows`` rows of three numbers
-    sample = _columns(texts, ["mark_id", "rank", "mark"], "text").collect()
-    sample.sort(key=lambda r: (r["rank"], r["mark_id"], bytes(r["columns"])))
-    sample = sample[:rows]
-    return fit([np.frombuffer(r["columns"], np.uint32).astype(np.int64) for r in sample], np.array([r["mark"] for r in sample], np.float64))
+    sample = written(_columns(texts, ["mark_id", "rank", "mark"], "text"), "toxicity-sample")
+    held = F.pmod("rank", F.lit(6)) == 5
+    train_rows, share = sample.where(~held).agg(F.count("*"), F.coalesce(F.avg("mark"), F.lit(0.0))).first()
+    if not train_rows or share in (0.0, 1.0):
+        return fit([np.zeros(0, np.int64)] * train_rows, np.full(train_rows, share))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << HASH_BITS), np.int64)
+        for batch in batches:
+            for mark, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[:, np.frombuffer(own, np.uint32)] += np.array([[1], [mark]])
+        found = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0, found]), pa.array(total[1, found])], ["column", "docs", "marked"])
+
+    counts = sample.where(~held).select("mark", "columns").mapInArrow(count, "column long, docs long, marked long").groupBy("column").agg(F.sum("docs").alias("docs"), F.sum("marked").alias("marked")).toArrow()
+    docs_, marked = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)  # one row per column at most
+    docs_[counts.column("column").to_numpy()], marked[counts.column("column").to_numpy()] = counts.column("docs").to_numpy(), counts.column("marked").to_numpy()
+    known = telling(docs_, marked, float(share))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(c, np.uint32) for c in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c[known[c]].tobytes() for c in own], pa.binary())], ["mark_id", "rank", "mark", "columns"])
+
+    kept = sample.mapInArrow(only, sample.schema).collect()  # at most ``rows`` rows of the few columns that tell
+    kept.sort(key=lambda r: (r["rank"], r["mark_id"], bytes(r["columns"])))
+    columns = [np.frombuffer(r["columns"], np.uint32).astype(np.int64) for r in kept]
+    return fit(columns, np.array([r["mark"] for r in kept], np.float64), np.array([r["rank"] % 6 == 5 for r in kept]))
 
 
 def scores(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text") -> DataFrame:
