@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import documents, parallelism, sliced, utf8, written
 from tidemark.llm.components import components
@@ -204,24 +205,24 @@ def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
     Where ids repeat, rows of a component with the same smallest id are told apart by their columns, and the first stays.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    rows = written(fingerprints(docs.select(key.alias("key_"), F.col(text_col).alias("text_")), words, "key_", "text_"), "fingerprints")
-    chosen = rows.join(classes(rows, bits), "fp").groupBy("root").agg(F.min("id").alias("key_"))
+    rows = written(fingerprints(docs.select(key.alias("tidemark_key_"), F.col(text_col).alias("tidemark_text_")), words, "tidemark_key_", "tidemark_text_"), "fingerprints")
+    chosen = rows.join(classes(rows, bits), "fp").groupBy("root").agg(F.min("id").alias("tidemark_key_"))
     if not rows.groupBy("id").count().where("count > 1").limit(1).count():
-        return docs.withColumn("key_", key).join(chosen.select("key_"), "key_").select(*docs.columns)
-    roots = classes(rows, bits).withColumnRenamed("fp", "fp_")
-    kept = _with_fingerprint(docs, words, text_col).withColumn("key_", key).join(roots, "fp_").join(chosen, ["root", "key_"])
-    order = Window.partitionBy("root", "key_").orderBy(F.xxhash64(utf8(text_col)), F.to_json(F.struct(*docs.columns)))
-    return kept.withColumn("row_", F.row_number().over(order)).where("row_ = 1").select(*docs.columns)
+        return docs.withColumn("tidemark_key_", key).join(chosen.select("tidemark_key_"), "tidemark_key_").select(*docs.columns)
+    roots = classes(rows, bits).withColumnRenamed("fp", "tidemark_fp_").withColumnRenamed("root", "tidemark_root_")
+    kept = _with_fingerprint(docs, words, text_col).withColumn("tidemark_key_", key).join(roots, "tidemark_fp_").join(chosen.withColumnRenamed("root", "tidemark_root_"), ["tidemark_root_", "tidemark_key_"])
+    order = Window.partitionBy("tidemark_root_", "tidemark_key_").orderBy(F.xxhash64(utf8(text_col)), F.to_json(F.struct(*docs.columns)))
+    return kept.withColumn("tidemark_row_", F.row_number().over(order)).where("tidemark_row_ = 1").select(*docs.columns)
 
 
 def _with_fingerprint(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """``docs`` with the column fp_."""
-    place, schema = docs.columns.index(text_col), docs.schema.add("fp_", "long")
+    """``docs`` with the column tidemark_fp_."""
+    place, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField("tidemark_fp_", LongType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).cast(pa.binary()).fill_null(b"").to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_texts(texts, words).view(np.int64))], [*batch.schema.names, "fp_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_texts(texts, words).view(np.int64))], [*batch.schema.names, "tidemark_fp_"])
 
     return docs.mapInArrow(compute, schema)
 

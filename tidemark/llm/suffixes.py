@@ -444,8 +444,9 @@ def kept_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    plain = docs.withColumns({"did": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64(utf8(text_col))})
-    return plain.join(found, ["did", "th"], "left").drop("did", "th")
+    keys = {"did": "tidemark_did_", "th": "tidemark_th_", "own": "tidemark_own_"}
+    plain = docs.withColumns({keys["did"]: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), keys["th"]: F.xxhash64(utf8(text_col))})
+    return plain.join(found.withColumnsRenamed(keys), [keys["did"], keys["th"]], "left").drop(keys["did"], keys["th"])
 
 
 def removals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -461,25 +462,25 @@ def removals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.string(),)))], names)
 
-    joined = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(id_col).cast("long").alias(f"{id_col}"), F.col(text_col).alias("text_")).drop("doc"), spans(docs, window, hot, id_col, text_col), id_col, "text_")
-    return joined.select(id_col, utf8("text_").alias("bytes"), "own").mapInArrow(digest, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _with_spans(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text_")), spans(docs, window, hot, id_col, text_col), id_col, "text_")
+    return joined.select(id_col, utf8("text_").alias("bytes"), F.col("tidemark_own_").alias("own")).mapInArrow(digest, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated windows taken out of the text; a character that loses some of its bytes goes whole."""
-    joined = _with_spans(docs, spans(docs, window, hot, id_col, text_col).withColumnRenamed("own", "own_spans_"), id_col, text_col)
+    joined = _with_spans(docs, spans(docs, window, hot, id_col, text_col), id_col, text_col)
     columns = [c for c in docs.columns if c != text_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, own in zip(batch.column("text_").to_pylist(), batch.column("own_spans_").to_pylist()):
+            for text, own in zip(batch.column("tidemark_text_").to_pylist(), batch.column("tidemark_own_").to_pylist()):
                 gone = covered(own, len(text or b""), window)
                 texts.append(text.decode() if text is not None and not gone else None if text is None else kept_bytes(text, gone).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, text_col])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + f", `{text_col}` string"
-    return joined.select(*columns, F.col(text_col).cast("binary").alias("text_"), "own_spans_").mapInArrow(cut, kinds).select(*docs.columns)
+    return joined.select(*columns, F.col(text_col).cast("binary").alias("tidemark_text_"), "tidemark_own_").mapInArrow(cut, kinds).select(*docs.columns)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
