@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import formats as fmt
 from tidemark.functions import rules
-from tidemark.operators import markup, packages, reports, segments, snapshots
+from tidemark.operators import inspection, markup, packages, reports, segments, snapshots, verification
+from tidemark.plans import hygiene
 from tidemark.session import ship
 from tidemark.sources import files
 
@@ -481,6 +482,54 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.file_report(segments.cleaned(rows, ["doc_id"]).withColumnRenamed("doc_id", "file_id")).select("file_id", "ok", "text")
 
 
+@query("q_inspect_fields", "SELECT doc_id AS file_id, key, CASE WHEN key = 'PNG:Comment' THEN sha256(coalesce(text, '')) ELSE v END AS value, key IN ('PNG:Comment', 'PNG:Software') AS sensitive FROM documents, (VALUES ('PNG:ImageWidth', sha256('2')), ('PNG:ImageHeight', sha256('3')), ('PNG:BitDepth', sha256('8')), ('PNG:ColorType', sha256('6')), ('PNG:Comment', ''), ('PNG:Software', sha256('x'))) AS f(key, v)")
+def inspect_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as the comment of an image, found again with the image's facts."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    content = _join(b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR\0\0\0\2\0\0\0\3\x08\6\0\0\0crc!", _big(F.octet_length(text) + 8), b"tEXtComment\0", text, b"crc!\0\0\0\x0atEXtSoftware\0xcrc!\0\0\0\0IENDcrc!")
+    found = inspection.inspect(docs.select(F.col("doc_id").alias("file_id"), F.lit("png").alias("kind"), content.alias("content")))
+    return found.select("file_id", "key", F.sha2("value", 256).alias("value"), "sensitive")
+
+
+@query(
+    "q_hygiene",
+    "SELECT doc_id AS file_id, doc_id % 4 <> 2 AS ok, CASE doc_id % 4 WHEN 0 THEN 'copy' WHEN 1 THEN 'byte-surgery' WHEN 3 THEN 'svg-sanitize' END AS strategy, CASE doc_id % 4 WHEN 0 THEN 'no sensitive fields' WHEN 1 THEN '1 field (Author & copyright, Comments & description)' WHEN 3 THEN '1 field (Scripts & unsafe SVG content)' END AS summary FROM documents",
+)
+def whole_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as plain files, as MP3 data behind a tag, as damaged images and inside SVG, through the whole path."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    escaped = F.replace(F.replace(F.replace(text.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).cast("binary")
+    k = F.col("doc_id") % 4
+    content = F.when(k == 0, _join(b"text ", text)).when(k == 1, _join(b"ID3\3\0\0\0\0\0\0\xff\xfb\x90\0", text)).when(k == 2, _join(b"\x89PNG\r\n\x1a\n", text)).otherwise(_join(b"<svg xmlns='s'><text>", escaped, b"</text></svg>"))
+    name = F.when(k == 0, "a.txt").when(k == 1, "a.mp3").when(k == 2, "a.png").otherwise("a.svg")
+    done = hygiene.clean(files.from_table(docs, "doc_id", content, name))
+    return done.select("file_id", "ok", "strategy", "summary")
+
+
+@query("q_verify_packages", "SELECT doc_id, doc_id % 3 = 0 AS accepted FROM documents")
+def verify_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages around every text: cleaned ones are accepted, dirty ones and those with bytes behind their end are not."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit(b"<w:doc>"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.lit(b"</w:doc>"))
+    parts = [("[Content_Types].xml", F.lit(b"<Types/>")), ("_rels/.rels", F.lit(b"<Relationships/>")), ("word/document.xml", body), ("docProps/core.xml", F.lit(b"<cp>Ann</cp>"))]
+    rows = docs.select(F.col("doc_id").alias("archive"), F.inline(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), c.alias("content")) for i, (n, c) in enumerate(parts)))))
+    built = packages.archives(rows).select(F.col("archive").cast("long").alias("doc_id"), F.lit("ooxml").alias("kind"), "data")
+    k = F.col("doc_id") % 3
+    clean = packages.cleaned(built.where(k != 1), ["doc_id", "kind"], content_col="data").select("doc_id", "kind", F.when(k == 2, F.concat("cleaned", F.lit(b"tail"))).otherwise(F.col("cleaned")).alias("cleaned"))
+    checked = verification.verified(clean.unionByName(built.where(k == 1).withColumnRenamed("data", "cleaned")), ["doc_id"])
+    return checked.select("doc_id", F.col("problem").isNull().alias("accepted"))
+
+
+@query("q_verify_rtf", "SELECT doc_id, doc_id % 4 = 0 AS clean FROM documents")
+def verify_rtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    heads = F.array(*(F.lit(h) for h in (b"{\\rtf1 ", b"{\\rtf1 {\\*\\generator x}", b"{\\rtf1 \\bin3 abc", b"plain ")))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\\\{}]", " ").cast("binary")
+    return docs.select("doc_id", verification.rtf_is_clean(_join(F.element_at(heads, (F.col("doc_id") % 4).cast("int") + 1), text, b"}")).alias("clean"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
