@@ -9,7 +9,7 @@
 4. Decoding reads one table entry per id for thousands of runs at a time.
 
 The file is a Parquet table of blocks beside a Parquet table of code lengths.  Null text is empty: the end id only.
-Repeated doc_ids stay apart, in the order of their ids' count and code.
+Repeated doc_ids stay apart, in the order of their number of ids and a hash of their code.
 """
 
 from __future__ import annotations
@@ -230,7 +230,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_n", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("doc_bits", pa.list_(pa.int64())), ("point_bits", pa.list_(pa.int64())), ("code", pa.binary())])
     coded = ids.mapInArrow(code, "id long, n long, points array<long>, code binary")
     parts = parallelism(ids)
-    ordered = coded.repartitionByRange(parts, "id").sortWithinPartitions("id", "n", "code")
+    # Rows that share an id are dealt by what follows it, so a repeated id doesn't fill one task.
+    ordered = coded.withColumn("h", F.xxhash64("code")).repartitionByRange(parts, "id", "n", "h").sortWithinPartitions("id", "n", "h", "code").drop("h")
     blocks = ordered.mapInArrow(block, BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
