@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import is_sensitive
@@ -48,14 +48,15 @@ def snapshot_verdict(before: DataFrame, after: DataFrame) -> DataFrame:
     return diff.groupBy("file_id").agg(out.alias("error"))
 
 
-def stream_verdict(before: DataFrame, after: DataFrame) -> DataFrame:
+def stream_verdict(before: DataFrame, after: DataFrame, played: list[str] = PLAYED, only: bool = False) -> DataFrame:
     """file_id and error: probes (file_id, duration, streams array<struct>) compared stream by stream of each type.
 
-    Data and attachment streams may vanish.  Fields and durations count where both sides have them.
+    Data and attachment streams may vanish.  Fields and durations count where both sides have them.  For audio files,
+    ``played`` is audio alone and ``only`` asks that no other stream is left.
     """
 
     def numbered(df: DataFrame, side: str) -> DataFrame:
-        typed = F.flatten(F.transform(F.array(*map(F.lit, PLAYED)), lambda t: F.transform(F.filter("streams", lambda s: s["codec_type"] == t), lambda s, i: F.struct(t.alias("kind"), i.alias("n"), s.alias(side)))))
+        typed = F.flatten(F.transform(F.array(*map(F.lit, played)), lambda t: F.transform(F.filter("streams", lambda s: s["codec_type"] == t), lambda s, i: F.struct(t.alias("kind"), i.alias("n"), s.alias(side)))))
         return df.select("file_id", F.inline(typed))
 
     both = numbered(before, "old").join(numbered(after, "new"), ["file_id", "kind", "n"], "full_outer")
@@ -63,6 +64,12 @@ def stream_verdict(before: DataFrame, after: DataFrame) -> DataFrame:
     for field in [f for f in STREAM_FIELDS if f in both.schema["old"].dataType.fieldNames()]:
         differs = differs | F.coalesce(F.bool_or(F.col(f"old.{field}") != F.col(f"new.{field}")), F.lit(False))
     per_file = both.groupBy("file_id").agg(F.bool_or(F.col("old").isNull() | F.col("new").isNull()).alias("counts"), differs.alias("fields"))
-    lengths = before.select("file_id", F.col("duration").cast("double").alias("d1")).join(after.select("file_id", F.col("duration").cast("double").alias("d2")), "file_id", "full_outer")
-    error = F.when(F.col("counts"), "stream count changed").when(F.col("fields"), "stream changed").when(F.abs(F.col("d1") - F.col("d2")) > F.greatest(F.lit(1.0), 0.01 * F.col("d1")), "duration changed")
+    others = F.exists("streams", lambda s: ~s["codec_type"].isin(played)) if only else F.lit(False)
+    lengths = before.select("file_id", F.col("duration").cast("double").alias("d1")).join(after.select("file_id", F.col("duration").cast("double").alias("d2"), others.alias("others")), "file_id", "full_outer")
+    error = F.when(F.col("others"), "other streams left").when(F.col("counts"), "stream count changed").when(F.col("fields"), "stream changed").when(F.abs(F.col("d1") - F.col("d2")) > F.greatest(F.lit(1.0), 0.01 * F.col("d1")), "duration changed")
     return lengths.join(per_file, "file_id", "left").select("file_id", error.alias("error"))
+
+
+def document_error(kind: Column, before: Column, after: Column) -> Column:
+    """What is wrong with a cleaned text or PDF: texts must be the same bytes, PDFs must not keep an incremental update."""
+    return F.when((kind == "text") & ~before.eqNullSafe(after), "text changed").when((kind == "pdf") & F.contains(after, F.lit(b"%BeginExifToolUpdate")), "earlier version left")

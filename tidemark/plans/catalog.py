@@ -314,6 +314,27 @@ def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.stream_verdict(before, after)
 
 
+@query(
+    "q_audio_pairing",
+    "WITH c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role <> 'user') AS o FROM conversations GROUP BY conv_id) SELECT conv_id AS file_id, CASE WHEN conv_id % 2 = 1 AND o > 0 THEN 'other streams left' END AS error FROM c",
+)
+def audio_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as streams of an audio file: odd conversations keep streams that aren't audio."""
+    turns = table(spark, sf_dir, "conversations")
+    stream = F.struct(F.col("turn"), F.when(F.col("role") == "user", "audio").otherwise("data").alias("codec_type"))
+    before = turns.groupBy(F.col("conv_id").alias("file_id")).agg(F.lit(1.0).alias("duration"), F.array_sort(F.collect_list(stream)).alias("streams"))
+    after = before.withColumn("streams", F.filter("streams", lambda s: (F.col("file_id") % 2 == 1) | (s["codec_type"] == "audio")))
+    return snapshots.stream_verdict(before, after, ["audio"], only=True)
+
+
+@query("q_document_verdict", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'text changed' WHEN doc_id % 4 = 3 THEN 'earlier version left' END AS error FROM documents")
+def document_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    after = F.when(k == 1, _join(text, b" ")).when(k == 3, _join(b"%PDF-1.7", text, b"%BeginExifToolUpdate")).otherwise(text)
+    return docs.select("doc_id", snapshots.document_error(F.when(k < 2, "text").otherwise("pdf"), text, after).alias("error"))
+
+
 @query("q_ttl_sweep", "SELECT event_type, count(*) AS expired FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE GROUP BY event_type")
 def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
