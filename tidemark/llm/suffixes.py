@@ -43,7 +43,7 @@ from tidemark.llm.common import buffer_of, documents, forget, parallelism, slice
 
 WINDOW = 400
 HOT = 4096
-PIECE = 4 << 20
+PIECE = 2 << 20
 RUN_BYTES = 48 << 20
 SPLITTER_ROWS = 2000  # texts from which the sort's ranges are guessed; they only balance the load
 _ODD = 0x9E3779B97F4A7C15
@@ -71,7 +71,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tu
     if not number.sum():
         return none, none, none, none
     if not _KEPT or len(_KEPT[0][0]) <= n:
-        _KEPT[:] = [_powers(max(n, 2 * PIECE))]
+        _KEPT[:] = [_powers(max(n, PIECE + WINDOW))]
     up, down = _KEPT[0]
     padded = np.concatenate([data, np.zeros(8 + span, np.uint8)])
     eight = np.ndarray((n,), "<u8", padded.tobytes(), strides=(1,))
