@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "bytes", 4 << 20):
+            for part in sliced(batch, "bytes", 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_texts(part.column(1).to_pylist(), words).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes")).mapInArrow(compute, "id long, fp long")

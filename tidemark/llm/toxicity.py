@@ -37,6 +37,7 @@ MIN_DEVIATION = 4.0
 EPOCHS = 6
 BATCH = 256
 FOLDS = 5
+SLICE_BYTES = 4 << 20  # of text that a task scores at once
 _CLEAN = bytes(b if chr(b).isalnum() or b >= 0x80 or b == 0x27 else 0x20 for b in range(256)).lower()
 
 
@@ -154,7 +155,7 @@ def _columns(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 found = [terms(t).tobytes() for t in part.column("bytes").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.binary())], [*keep, "columns"])
 
@@ -209,7 +210,7 @@ def scores(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 found = [terms(t) for t in part.column("bytes").to_pylist()]
                 score = own.score(np.concatenate(found).astype(np.int64), np.array([len(f) for f in found])) if found else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score)], [*keep, "score"])
@@ -235,7 +236,7 @@ def quiet(docs: DataFrame, machine: Machine, cut: float = 0.5, text_col: str = "
         own = sent.value
         for batch in batches:
             bytes_ = pa.record_batch([batch.column(place).cast(pa.binary()).fill_null(b"")], ["bytes"])
-            for at, part in zip(itertools.accumulate((p.num_rows for p in sliced(bytes_, "bytes")), initial=0), sliced(bytes_, "bytes")):
+            for at, part in zip(itertools.accumulate((p.num_rows for p in sliced(bytes_, "bytes", SLICE_BYTES)), initial=0), sliced(bytes_, "bytes", SLICE_BYTES)):
                 found = [terms(t) for t in part.column(0).to_pylist()]
                 score = own.score(np.concatenate(found).astype(np.int64), np.array([len(f) for f in found]))
                 yield batch.slice(at, part.num_rows).filter(pa.array(score < cut))
