@@ -23,8 +23,20 @@ def _texts(seed):
 @pytest.mark.parametrize(("window", "hot"), [(40, 4096), (40, 2), (24, 4096)])
 def test_removals_equal_brute_force(spark, window, hot):
     texts = _texts(window)
-    got = sorted(suffixes.removals(documents(spark, texts, 5), window, hot).collect())
-    assert [tuple(g)[1:] for g in got] == removed([(t or "").encode() for t in texts], window)
+    got = sorted(suffixes.removals(documents(spark, texts, 5), window, hot, short=16).collect())
+    own = [(t or "").encode() for t in texts]
+    assert [tuple(g)[1:5] for g in got] == removed(own, window)
+    assert [g.n_repeated for g in got] == [r[1] for r in removed(own, 16)]
+    if hot > 2:
+        alone = sorted(suffixes.removals(documents(spark, texts, 5), window, hot, short=window).collect())
+        assert [tuple(g)[:5] for g in alone] == [tuple(g)[:5] for g in got] and all(g.n_removed == g.n_repeated for g in alone)
+
+
+def test_repeated_rows_and_null_ids_are_copies_of_each_other(spark):
+    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(120))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "z" + text), (None, "alone in here"), (2, None)], "doc_id long, text string")
+    got = suffixes.removals(docs, 40, short=20).collect()
+    assert sorted((g.n_bytes, g.n_removed, g.n_repeated) for g in got) == [(0, 0, 0), (13, 0, 0), (120, 120, 120), (120, 120, 120), (121, 120, 120)]
 
 
 def test_text_column_loses_what_repeats_and_keeps_the_rest(spark):

@@ -7,8 +7,10 @@ least (the first such).  It depends on the window's bytes alone, so equal window
 starts that share an anchor are an interval, and their windows lie in one stretch of text around it.  Only suffixes at
 anchors are sorted, about one in 100, and nothing is lost: two equal windows meet at their anchors.
 
-Filter.  Spark counts stretches by hash (anchor and content).  A stretch whose anchor's half window occurs once can't repeat;
-of equal stretches one stands for all, with their number, so copies, however many, are one string.
+Filter.  Spark counts stretches by the hash of their anchor's half window; one whose half window occurs once can't repeat and
+goes first, before anything wide is shuffled.  A stretch that has company in its own slice of text is known to repeat and
+skips that join, so a passage that a third of all texts share is no hot key of it.  Of equal stretches (by a second hash, of
+the content) one stands for all, with their number, so copies, however many, are one string.
 
 Sort.  Each task cuts its stretches, sorts the suffixes from the anchor on into runs, and sends them front-coded (length of
 the common prefix with the one before, and the rest) to the task of their range.  There a loser tree merges the runs: it
@@ -21,6 +23,10 @@ the same l bytes to the left and the same rest to the right: the right side come
 left from comparing reversed left contexts.  An anchor with more than ``HOT`` different stretches is not brought to one task:
 its windows are compared by their 128-bit digests, summed before they meet.
 
+Two lengths.  ``removals`` looks for windows of ``PASSAGE`` bytes first, which gives the passages that repeat (n_repeated), and
+then for the longer windows, whose bytes it removes, in passages that are as long as those: a long window that repeats lies in
+one.
+
 Null text is empty.  Texts shorter than a window lose nothing.  Repeated rows are copies of each other.  Rows are told apart
 by doc_id (null is a value) and the hash of their text.
 """
@@ -42,10 +48,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import buffer_of, documents, forget, parallelism, sliced, utf8, written
 
 WINDOW = 400
+PASSAGE = 256  # bytes: 50 words of English and the like have about 300
 HOT = 4096
 PIECE = 2 << 20
 RUN_BYTES = 48 << 20
-SPLITTER_ROWS = 2000  # texts from which the sort's ranges are guessed; they only balance the load
+SPLITTER_ROWS = 2000  # texts at least, and SPLITTER_PART for each range, from which the sort's ranges are guessed
+SPLITTER_PART = 4
+SPLITTER_BYTES = 48  # of a string that cuts two ranges
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -120,7 +129,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchored(rows: DataFrame, window: int) -> DataFrame:
-    """key, fp, did, th, pos of every stretch."""
+    """key, fp, did, th, pos of every stretch, and whether its key is known to occur twice."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +138,10 @@ def anchored(rows: DataFrame, window: int) -> DataFrame:
                 did, th = np.asarray(part.column("did")), np.asarray(part.column("th"))
                 for own, _, at, base in _pieces(offsets, window):
                     text, pos, key, fp = stretches(data[at : at + int(own[-1])], own, window)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, fp, did[text], th[text], pos + (base << 20))], ["key", "fp", "did", "th", "pos"])
+                    _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, fp, did[text], th[text], pos + (base << 20), n[which] > 1)], ["key", "fp", "did", "th", "pos", "known"])
 
-    return rows.mapInArrow(find, "key long, fp long, did long, th long, pos long")
+    return rows.mapInArrow(find, "key long, fp long, did long, th long, pos long, known boolean")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -260,9 +270,10 @@ def _cut(column: bytes, pos: int, window: int) -> tuple[bytes, bytes]:
 
 def splitters(rows: DataFrame, parts: int, window: int) -> list[bytes]:
     """Half windows that cut the sort's strings into ``parts`` ranges of like size."""
-    # About SPLITTER_ROWS texts by hash, without a sort; equal texts share a hash, so a limit bounds what copies can add.
-    every = max(1, rows.count() // SPLITTER_ROWS)
-    sample = rows.where(F.octet_length("bytes").between(window, PIECE) & (F.pmod(F.xxhash64("did", "th"), F.lit(every)) == 0)).select("bytes").limit(4 * SPLITTER_ROWS)
+    # A few texts for each range, by hash, without a sort; equal texts share a hash, so a limit bounds what copies can add.
+    most = max(SPLITTER_ROWS, SPLITTER_PART * parts)
+    every = max(1, rows.count() // most)
+    sample = rows.where(F.octet_length("bytes").between(window, PIECE) & (F.pmod(F.xxhash64("did", "th"), F.lit(every)) == 0)).select("bytes").limit(4 * most)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +281,8 @@ def splitters(rows: DataFrame, parts: int, window: int) -> list[bytes]:
                 data, offsets = buffer_of(part.column("bytes"))
                 text, pos, _, _ = stretches(data, offsets, window)
                 s1, depth, _ = _unpack(pos)
-                at = (offsets[text] + s1 + depth)[::4].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([data[a : a + window // 2].tobytes() for a in at], pa.binary())], ["first"])
+                at = (offsets[text] + s1 + depth)[::16].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([data[a : a + min(SPLITTER_BYTES, window // 2)].tobytes() for a in at], pa.binary())], ["first"])
 
     found = sorted(bytes(r["first"]) for r in sample.mapInArrow(firsts, "first binary").collect())
     return sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
@@ -397,11 +408,12 @@ def spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "
     spark, parts = docs.sparkSession, parallelism(docs)
     rows = keyed(docs, id_col, text_col)
     found = written(anchored(rows, window), "stretches")
+    twice = found.groupBy("key").count().where("count > 1").select("key")
+    repeats = written(found.where("known").unionByName(found.where("not known").join(twice, "key").select(*found.columns)).drop("known"), "repeats")
+    forget(found)
     z = F.xxhash64("did", "th", "pos")
-    distinct = found.groupBy("key", "fp").agg(F.count("*").alias("n"), *(F.min_by(c, z).alias(c) for c in ("did", "th", "pos")))
-    distinct = written(distinct, "distinct-stretches")
-    twice = distinct.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("key", "kinds")
-    candidates = written(distinct.join(twice, "key"), "candidates")
+    distinct = written(repeats.groupBy("key", "fp").agg(F.count("*").alias("n"), *(F.min_by(c, z).alias(c) for c in ("did", "th", "pos"))), "distinct-stretches")
+    candidates = written(distinct.join(distinct.groupBy("key").agg(F.count("*").alias("kinds")), "key"), "candidates")
     forget(distinct)
     texts = lambda c: rows.join(c.groupBy("did", "th").agg(F.collect_list(F.struct("key", "fp", "n", "pos")).alias("own")), ["did", "th"]).select("bytes", "own")
     cuts = splitters(rows, parts, window)
@@ -410,9 +422,9 @@ def spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "
     if hot_ones.limit(1).count():
         matches = matches.unionByName(hot_matches(texts(hot_ones), window))
     at = F.shiftright("pos", 20) + F.shiftright("pos", 10).bitwiseAND(F.lit(1023))
-    ranges = found.join(matches, ["key", "fp"]).select("did", "th", at.alias("a"), "low", "high")
+    ranges = repeats.join(matches, ["key", "fp"]).select("did", "th", at.alias("a"), "low", "high")
     result = written(ranges.groupBy("did", "th").agg(F.collect_list(F.struct("a", "low", "high")).alias("own")), "spans")
-    for table in (found, candidates):
+    for table in (repeats, candidates):
         forget(table)
     release(spark)
     return result
@@ -449,21 +461,56 @@ def _with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     return plain.join(found.withColumnsRenamed(keys), [keys["did"], keys["th"]], "left").drop(keys["did"], keys["th"])
 
 
-def removals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+def outlines(docs: DataFrame, found: DataFrame, short: int, window: int, id_col: str, text_col: str) -> DataFrame:
+    """id, did, th, n_bytes, n_repeated, text and the begins and ends of its passages of ``window`` bytes and more.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A text without such a passage loses nothing: it comes as null, with its digest.
+    """
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, own in zip(batch.column("bytes").to_pylist(), batch.column("own").to_pylist()):
-                gone = covered(own, len(text), window)
-                out.append((len(text), sum(e - b for b, e in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.string(),)))], names)
+            for part in sliced(batch, "text"):
+                out = []
+                for text, own in zip(part.column("text").to_pylist(), part.column("own").to_pylist()):
+                    gone = covered(own, len(text), short)
+                    long = [(b, e) for b, e in gone if e - b >= window]
+                    out.append((len(text), sum(e - b for b, e in gone), text if long else None, None if long else hashlib.sha256(text).hexdigest(), [b for b, _ in long], [e for _, e in long]))
+                columns = list(zip(*out)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "did", "th")), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+
+    names = ["id", "did", "th", "n_bytes", "n_repeated", "text", "whole", "begins", "ends"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    joined = plain.withColumns({"did": F.coalesce("id", F.lit(-(1 << 63))), "th": F.xxhash64("text")}).join(found, ["did", "th"], "left")
+    schema = "id long, did long, th long, n_bytes long, n_repeated long, text binary, whole string, begins array<long>, ends array<long>"
+    return joined.select("id", "did", "th", "text", "own").mapInArrow(outline, schema)
+
+
+def removals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", short: int = PASSAGE) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated (bytes in repeated strings of ``short`` bytes) of every row."""
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
 
-    joined = _with_spans(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text_")), spans(docs, window, hot, id_col, text_col), id_col, "text_")
-    return joined.select(id_col, utf8("text_").alias("bytes"), F.col("tidemark_own_").alias("own")).mapInArrow(digest, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                out = []
+                for text, own in zip(part.column("text").to_pylist(), part.column("own").to_pylist()):
+                    gone = covered(own, len(text), window)
+                    out.append((sum(e - b for b, e in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))), part.column(2)], names)
+
+    short = min(short, window)
+    outline = written(outlines(docs, spans(docs, short, hot, id_col, text_col), short, window, id_col, text_col), "outlines")
+    whole = outline.where("text is null").select(F.col("id").alias(id_col), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("whole").alias("kept_sha256"), "n_repeated")
+    long = outline.where("text is not null")
+    passages = long.select("did", "th", "text", F.explode(F.arrays_zip("begins", "ends")).alias("p")).select("did", "th", F.col("p.begins").alias("begin"), F.expr("substring(text, cast(p.begins as int) + 1, cast(p.ends - p.begins as int))").alias("part"))
+    passages = written(passages.withColumns({"passage": F.xxhash64("did", "th", "begin"), "part_hash": F.xxhash64("part")}), "passages")
+    found = spans(passages, window, hot, "passage", "part").select(F.col("did").alias("passage"), F.col("th").alias("part_hash"), F.explode("own").alias("x"))
+    moved = passages.select("passage", "part_hash", "did", "th", "begin").distinct().join(found, ["passage", "part_hash"])
+    own = moved.groupBy("did", "th").agg(F.collect_list(F.struct((F.col("x.a") + F.col("begin")).alias("a"), F.col("x.low").alias("low"), F.col("x.high").alias("high"))).alias("own"))
+    cut = long.join(own, ["did", "th"], "left").select("id", "n_bytes", "n_repeated", "text", "own")
+    return whole.unionByName(cut.mapInArrow(digest, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,5 +531,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: what repeated 400-byte strings take from all documents."""
+    """Contract query: what repeated 400-byte strings take from all documents; n_repeated counts shorter passages too."""
     return removals(documents(spark, sf_dir))
