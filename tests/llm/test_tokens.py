@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import AWKWARD, documents
@@ -28,11 +29,13 @@ def test_words_give_the_ids_of_whole_texts(memo):
 
 
 def test_spliced_chunks_give_the_ids_of_whole_texts(memo):
-    r, encode = random.Random(2), tokens.library_encode(memo)
+    r = random.Random(2)
     for space in (3, 0):
         for _ in range(150):
             text = "".join(r.choice(ODD + [" "] * space) for _ in range(r.randint(0, 400)))
-            assert tokens.spliced_ids(encode, text, 40, 8) == encode(text)[0]
+            want = ids_of(memo, text)
+            assert tokens.spliced_ids(memo, text.encode(), 40, 8) == want
+            assert tokens._of_slice(memo, [text.encode(), b"", b"one two"], 40, 8) == [len(want), 0, 2]
 
 
 def test_counts(spark, memo):
@@ -115,3 +118,26 @@ def test_files_round_trip(spark, memo, tmp_path):
         at += len(want)
     huffman.write_ids(documents(spark, ["a"]).limit(0), str(tmp_path / "none"))
     assert huffman.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_null_repeated_and_large_doc_ids(spark, memo, tmp_path):
+    rows = [(None, "no id"), (None, None), (7, "twice"), (7, "twice"), ((1 << 53) + 1, "large"), (-(1 << 62), "small")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    huffman.write_ids(docs, str(tmp_path / "ids"))
+    got = huffman.read_ids(spark, str(tmp_path / "ids")).collect()
+    lists = sorted((str(i), *ids_of(memo, t), 1) for i, t in rows)
+    assert sorted((str(g.id), *g.ids) for g in got) == lists
+    starts = sorted((g.start, g.n_tokens) for g in got)
+    assert starts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:]))
+    packed = packing.pack(docs, limit=8).collect()
+    assert len(packed) == len(rows)
+
+
+def test_ids_above_sixteen_bits(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(0, "ab"), (1, ""), (2, "abc")], "doc_id long, text string")
+    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array([3, 1, 2]), pa.array([np.array([70_000, 3, 1], "<u4").tobytes(), np.array([1], "<u2").tobytes(), np.array([5, 1], "<u2").tobytes()], pa.binary())], ["id", "n", "ids"])
+    assert huffman.flat_ids(batch)[0].tolist() == [70_000, 3, 1, 1, 5, 1]
+    rows = spark.createDataFrame([(0, 4, bytearray(np.array([70_002, 3, 130_000, 1], "<u4").tobytes())), (1, 1, bytearray(np.array([1], "<u2").tobytes()))], "id long, n long, ids binary")
+    monkeypatch.setattr(huffman, "tokenized", lambda *a: rows)
+    huffman.write_ids(docs, str(tmp_path / "wide"))
+    assert [r.ids for r in sorted(huffman.read_ids(spark, str(tmp_path / "wide")).collect())] == [[70_002, 3, 130_000, 1], [1]]

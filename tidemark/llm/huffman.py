@@ -3,13 +3,13 @@
 1. Documents are tokenized once; ids wait in a shared table.
 2. Counts of all ids (at most the vocabulary) give code lengths by package-merge, at most ``MAX_BITS`` bits, and from the
    lengths alone the canonical code.  The file keeps the lengths, not the codes.
-3. Each document's ids are coded; then documents are range-partitioned and sorted by doc_id and packed into blocks of about
+3. Documents are range-partitioned and sorted by doc_id, coded there and packed into blocks of about
    ``BLOCK_IDS`` ids.  A block row holds its documents, their numbers of ids and the bit offset of a checkpoint at every
    document's start and every ``CHECKPOINT_IDS`` ids within one, so any block, and any run between checkpoints, decodes alone.
 4. Decoding reads one table entry per id for thousands of runs at a time.
 
 The file is a Parquet table of blocks beside a Parquet table of code lengths.  Null text is empty: the end id only.
-Repeated doc_ids stay apart, in the order of their number of ids and a hash of their code.
+Repeated doc_ids stay apart, in the order of their number of ids and a hash of them; null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def decode_table(lengths: np.ndarray, bits: int) -> np.ndarray:
     order = order[lengths[order] > 0]
     first = (codes[order] << (np.uint64(bits) - lengths[order].astype(np.uint64))).astype(np.int64)
     spans = np.int64(1) << (bits - lengths[order].astype(np.int64))
-    filled = np.repeat((order.astype(np.uint32) << np.uint32(5)) | lengths[order], spans)
+    filled = np.repeat((order.astype(np.uint32) << np.uint32(5)) | lengths[order], spans)  # ids below 2**27
     table[first[0] if len(first) else 0 :][: len(filled)] = filled
     return table
 
@@ -134,19 +134,30 @@ def decode_runs(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table:
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (little-endian unsigned 16-bit where the vocabulary fits, else 32-bit): end id included."""
-    end = end_id.to_bytes(4, "little")
+    """id, n and ids (little-endian unsigned 16-bit if all of a slice's ids fit, else 32-bit: n tells them apart), end id included."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_ids(tokenizer)
         for batch in batches:
             for part in sliced(batch, "bytes"):
-                found = [ids + end for ids in memo.ids(part.column("bytes").to_pylist())]
-                ends = np.cumsum([len(x) // 4 for x in found])
-                flat = np.frombuffer(b"".join(found), "<u4")
-                yield pa.RecordBatch.from_arrays([part.column(0), _binary(flat.astype("<u2").view(np.uint8), 2 * ends)], ["id", "ids"])
+                flat, ends = memo.encoded(part.column("bytes"))
+                flat, ends = np.insert(flat, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                kind = np.dtype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends, prepend=0)), _binary(flat.astype(kind).view(np.uint8), kind.itemsize * ends)], ["id", "n", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes")).mapInArrow(encode, "id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes")).mapInArrow(encode, "id long, n long, ids binary")
+
+
+def flat_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of ``tokenized`` rows, and how many each row has."""
+    data, offsets = buffer_of(batch.column("ids"))
+    n = np.asarray(batch.column("n"))
+    wide = np.diff(offsets) == 4 * n
+    if not wide.any() or not len(data):
+        return data.view("<u2"), n
+    if wide.all():
+        return data.view("<u4"), n
+    return np.concatenate([data[b:e].view("<u4" if w else "<u2") for b, e, w in zip(offsets, offsets[1:], wide)]), n
 
 
 def _binary(data: np.ndarray | bytes, ends: np.ndarray) -> pa.Array:
@@ -161,13 +172,15 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            data, _ = buffer_of(batch.column(0))
-            total += np.bincount(data.view("<u2"), minlength=1 << 16)
+            own = np.bincount(flat_ids(batch)[0])
+            if len(own) > len(total):
+                total = np.pad(total, (0, len(own) - len(total)))
+            total[: len(own)] += own
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["token", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << 16, np.int64)
+    rows = ids.select("n", "ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r["token"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r["token"]] = r["n"]
     return counts
@@ -181,17 +194,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     codes = canonical(lengths)
     found = np.flatnonzero(lengths)
     spark.createDataFrame([(int(t), int(lengths[t])) for t in found], "token int, bits int").coalesce(1).write.parquet(f"{path}/code")
-    sent = spark.sparkContext.broadcast((codes, lengths))  # at most 65,536 entries
+    sent = spark.sparkContext.broadcast((codes, lengths))  # as many entries as the vocabulary
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = sent.value
         for batch in batches:
             for part in sliced(batch, "ids", 4 << 20):
-                data, offsets = buffer_of(part.column("ids"))
-                flat, ends = data.view("<u2"), offsets[1:] // 2
+                flat, n = flat_ids(part)
+                ends = np.cumsum(n)
                 coded, start, places = encode_bits(flat, ends, codes, lengths)
-                begin = offsets[:-1] // 2
-                n = ends - begin
+                begin = ends - n
                 # Checkpoints inside a document: bits from its first byte, at every CHECKPOINT_IDS ids.
                 inner = (n - 1) // CHECKPOINT_IDS
                 doc = np.repeat(np.arange(len(n)), inner)
@@ -228,18 +240,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
             yield out()
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_n", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("doc_bits", pa.list_(pa.int64())), ("point_bits", pa.list_(pa.int64())), ("code", pa.binary())])
-    coded = ids.mapInArrow(code, "id long, n long, points array<long>, code binary")
-    parts = parallelism(ids)
+    # The ids are dealt to ranges of doc_id as they are and coded there, so that finding the ranges reads no more than numbers.
     # Rows that share an id are dealt by what follows it, so a repeated id doesn't fill one task.
-    ordered = coded.withColumn("h", F.xxhash64("code")).repartitionByRange(parts, "id", "n", "h").sortWithinPartitions("id", "n", "h", "code").drop("h")
+    ordered = ids.withColumn("h", F.xxhash64("id", "n", F.crc32("ids"))).repartitionByRange(parallelism(ids), "id", "n", "h").sortWithinPartitions("id", "n", "h", "ids").select("id", "n", "ids").mapInArrow(code, "id long, n long, points array<long>, code binary")
     blocks = ordered.mapInArrow(block, BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Decode a file made by ``write_ids``: id, start, n_tokens and ids (array<int>), or ids_crc32 instead of ids."""
-    lengths = np.zeros(1 << 16, np.uint8)
-    for r in spark.read.schema("token int, bits int").parquet(f"{path}/code").collect():  # at most one row per id of the vocabulary
+    rows = spark.read.schema("token int, bits int").parquet(f"{path}/code").collect()  # at most one row per id of the vocabulary
+    lengths = np.zeros(max((r["token"] for r in rows), default=0) + 1, np.uint8)
+    for r in rows:
         lengths[r["token"]] = r["bits"]
     bits = max(1, int(lengths.max()))
     sent = spark.sparkContext.broadcast(lengths)
@@ -252,7 +264,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 data, offsets = buffer_of(part.column("code"))
                 where, n, starts, inner = (part.column(c) for c in ("docs", "counts", "doc_bits", "point_bits"))
                 per_block = np.diff(np.asarray(where.offsets))
-                ids, n, starts = np.asarray(where.flatten()), np.asarray(n.flatten()), np.asarray(starts.flatten())
+                ids, n, starts = where.flatten(), np.asarray(n.flatten()), np.asarray(starts.flatten())  # ids stay in Arrow: some may be null
                 starts = starts + np.repeat(8 * offsets[:-1], per_block)
                 points = np.asarray(inner.flatten()) + np.repeat(8 * offsets[:-1], np.diff(np.asarray(inner.offsets)))
                 runs = (n - 1) // CHECKPOINT_IDS + 1
@@ -270,7 +282,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     out = pa.array([zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())], pa.int64())
                 else:
                     out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(n), out], ["id", "start", "n_tokens", kind.split()[0]])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(n), out], ["id", "start", "n_tokens", kind.split()[0]])
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     # Ids before each block: sums by part (as many rows as parts), then running sums within a part.

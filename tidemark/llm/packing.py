@@ -37,21 +37,21 @@ END_ID = 1
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32; no shuffle."""
-    end = end_id.to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_ids(tokenizer)
         for batch in batches:
             for part in sliced(batch, "bytes"):
-                out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), memo.ids(part.column("bytes").to_pylist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                        own = ids[at : at + 4 * limit]
-                        out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "piece", "start", "length", "ids_crc32"])
+                flat, ends = memo.encoded(part.column("bytes"))
+                # Each document's end id goes in behind its ids.
+                data, ends = np.insert(flat, ends, end_id).astype("<u4").tobytes(), ends + np.arange(1, len(ends) + 1)
+                size = np.diff(ends, prepend=0)
+                n = -(-size // limit)
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start, begin = piece * limit, (ends - size)[doc] + piece * limit
+                length = np.minimum(limit, size[doc] - start)
+                crc = [zlib.crc32(data[4 * b : 4 * e]) for b, e in zip(begin.tolist(), (begin + length).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes")).mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -111,7 +111,8 @@ def plan(histogram: dict[int, int], limit: int = MAX_TOKENS) -> tuple[np.ndarray
 
 def ranked(rows: DataFrame, buckets: int) -> DataFrame:
     """Adds ``rank`` (from 0) within ``length`` without bringing the rows of a length together."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
+    # Not by id alone: rows whose id is null or repeats are dealt by what they hold.
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = rows.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

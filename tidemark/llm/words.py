@@ -2,8 +2,8 @@
 
 A tokenizer whose pre-tokenizer never lets a piece cross white space, and whose normalizer works on each side of white
 space alone (NFC, lower case), gives a text the ids of its words, one after the other.  ``WordIds`` checks that the
-tokenizer is of this kind, encodes each new word once and joins the memo's entries; any other tokenizer encodes whole
-texts.  Words of printable ASCII and Latin-1 letters are split into pieces here and given to the model one piece at a
+tokenizer is of this kind.  Arrow splits a column of texts at white space and finds its distinct words; each new word is
+encoded once, and the texts' ids are gathered by array arithmetic.  Any other tokenizer encodes whole texts.  Words of printable ASCII and Latin-1 letters are split into pieces here and given to the model one piece at a
 time; all others, and those that may hold a special string, go through the library.
 """
 
@@ -14,6 +14,10 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tidemark.llm.common import buffer_of
 
 #: The normalizer and the piece pattern for which words may be encoded alone (fixed values of the vocabulary file).
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -31,7 +35,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """``ids(texts)``: for each text (UTF-8) its ids as little-endian unsigned 32-bit integers."""
+    """The ids of texts (UTF-8), by column or one by one."""
 
     def __init__(self, name: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
@@ -67,7 +71,7 @@ class WordIds:
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():
@@ -77,15 +81,42 @@ class WordIds:
             return b"".join([self.pieces[p] for p in _SPLIT.findall(text.lower())])
         return self._library(text)
 
+    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a binary column of UTF-8 texts: each word's number, the texts' ends among the words, and the numbered words' ids and their ends.
+
+        Of another tokenizer, each text is one word.
+        """
+        if self.by_word:
+            if len(self.memo) > self.most_words:
+                self.memo.clear()
+            if len(self.pieces) > self.most_words:
+                self.pieces.clear()
+            lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+            number, ends = np.asarray(coded.indices), offsets[1:] - offsets[0]
+            data, at = buffer_of(coded.dictionary.cast(pa.large_binary()))
+            flat, at = data.tobytes(), at.tolist()
+            memo = self.memo
+            found = [memo[flat[b:e]] for b, e in zip(at, at[1:])]
+        else:
+            number, ends = np.arange(len(column)), np.arange(1, len(column) + 1)
+            found = [self._library(t.decode()) for t in column.to_pylist()]
+        return number, ends, np.frombuffer(b"".join(found), "<u4"), np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a binary column, one text after the other, and where each text's ids end."""
+        number, ends, ids, last = self.words(column)
+        n = np.diff(last, prepend=0)[number]
+        total = np.concatenate([[0], np.cumsum(n)])
+        first = np.concatenate([[0], last])[number] - total[:-1]
+        return ids[np.repeat(first, n) + np.arange(total[-1])], total[ends]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
-            return [self._library(t.decode()) for t in texts]
-        if len(self.memo) > self.most_words:
-            self.memo.clear()
-        if len(self.pieces) > self.most_words:
-            self.pieces.clear()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, t.split())) for t in texts]
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        flat, ends = self.encoded(pa.array(texts, pa.binary()))
+        data = flat.tobytes()
+        return [data[4 * b : 4 * e] for b, e in zip([0, *ends.tolist()], ends.tolist())]
 
 
 class _Memo(dict):
