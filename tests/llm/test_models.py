@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import unicodedata
@@ -50,18 +51,70 @@ def test_awkward_texts_have_a_defined_language(spark):
     assert langid.identify(docs, langid.learn(nothing), ["doc_id"]).where("lang_pred <> 'und' or score <> 0").count() == 0
 
 
-def test_factorization_machine_learns_pairs_that_weights_miss():
-    """Class 1 iff both or neither of two terms occur."""
-    r = np.random.default_rng(3)
+def _accuracy(machine, rows, labels):
+    score = machine.score(np.concatenate(rows), np.array([len(x) for x in rows]))
+    return ((score >= 0.5) == np.array(labels)).mean()
+
+
+def _linear_accuracy(rows, labels, terms):
+    """Of the best rule that adds up weights of the given terms: by trying all signs of their sums."""
+    seen = np.array([[t in set(r.tolist()) for t in terms] for r in rows], float)
+    best = 0.0
+    for weights in itertools.product((-1, 0, 1), repeat=len(terms)):
+        for cut in (-1.5, -0.5, 0.5, 1.5):
+            best = max(best, ((seen @ np.array(weights) > cut) == np.array(labels)).mean())
+    return best
+
+
+def _rows(r, n, rule, terms=(1, 2), share=0.5, noise=60, pool=3000):
     rows, labels = [], []
-    for _ in range(3000):
-        a, b = r.random() < 0.5, r.random() < 0.5
-        noise = r.integers(1000, 1400, 5)
-        rows.append(np.unique(np.concatenate([noise, [1] if a else [], [2] if b else [], [3] if a and b else []])).astype(np.int64))
-        labels.append(float(a and b))
+    for _ in range(n):
+        own = [r.random() < share for _ in terms]
+        rows.append(np.unique(np.concatenate([r.integers(1000, 1000 + pool, noise), [t for t, o in zip(terms, own) if o]])).astype(np.int64))
+        labels.append(float(rule(*own)))
+    return rows, labels
+
+
+def test_factorization_machine_learns_exclusive_or_of_terms_that_tell_nothing_alone():
+    r = np.random.default_rng(3)
+    rows, labels = _rows(r, 6000, lambda a, b: a != b)
+    new, truth = _rows(r, 2000, lambda a, b: a != b)
     machine = toxicity.fit(rows, np.array(labels))
-    score = machine.score(np.concatenate(rows), np.array([len(x) for x in rows]))
-    assert ((score >= 0.5) == np.array(labels)).mean() > 0.99
+    assert _accuracy(machine, new, truth) > 0.95
+    assert _linear_accuracy(new, truth, (1, 2)) < 0.8  # by a rule that knows the terms; one of three cases is always wrong
+    machine.factors[:] = 0
+    assert _accuracy(machine, new, truth) < 0.8
+
+
+def test_factorization_machine_learns_insult_with_group_mention():
+    """Toxic iff an insult and a group are both named; each is mostly harmless alone."""
+    r = np.random.default_rng(4)
+    terms = (1, 2, 3, 4)
+    rule = lambda a, b, c, d: (a or b) and (c or d)
+    rows, labels = _rows(r, 6000, rule, terms, 0.15)
+    new, truth = _rows(r, 3000, rule, terms, 0.15)
+    machine = toxicity.fit(rows, np.array(labels))
+    score = machine.score(np.concatenate(new), np.array([len(x) for x in new]))
+    found, truth = score >= 0.5, np.array(truth) > 0
+    assert (found & truth).sum() / truth.sum() > 0.95 and (found & truth).sum() / found.sum() > 0.95
+
+
+def test_score_equals_the_sum_over_all_pairs():
+    r = np.random.default_rng(5)
+    size = 1 << toxicity.HASH_BITS
+    machine = toxicity.Machine(0.3, r.normal(0, 1, size), r.normal(0, 0.3, (size, toxicity.FACTORS)), 1.2, -0.1, np.array([1.0, -1.0, 1.0, -1.0]))
+    texts = ["you bad person of that group", "", "one"]
+    own = [toxicity.terms(t.encode()).astype(np.int64) for t in texts]
+    got = machine.score(np.concatenate(own), np.array([len(o) for o in own]))
+    for ids, g in zip(own, got):
+        raw = 0.3 + sum(machine.weights[i] for i in ids) + sum((machine.signs * machine.factors[i]) @ machine.factors[j] for i, j in itertools.combinations(ids, 2))
+        assert math.isclose(g, 1 / (1 + math.exp(-(1.2 * raw - 0.1))), rel_tol=1e-9)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    rows = toxicity.op7_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").collect()
+    hit, said, true = (sum(f(r) for r in rows) for f in (lambda r: r.predicted and r.toxic, lambda r: r.predicted, lambda r: r.toxic))
+    assert hit >= 0.6 * true and hit >= 0.8 * said
 
 
 def test_toxicity_catches_marked_texts_and_leaves_others(spark):

@@ -1,13 +1,19 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the lower-case words of a text, without punctuation, and their beginnings of four and five
-bytes; each is hashed into
+Terms are the lower-case words of a text, without punctuation, and their beginnings of four and five bytes; each is hashed into
 ``2 ** HASH_BITS`` columns and counts once per text.  The score is the logistic function of a bias, a weight for each term
-and the sum over all pairs of terms of the product of their factor vectors, in linear time by the square of the sum.  The
-machine is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, chosen by hash of doc_id), by adaptive
-gradient steps; every sixth row of it is kept back to set the slope and the cut, so that 0.5 is the best cut there.  Only the
-``MOST_TERMS`` columns that deviate most between the labels, ``MIN_DEVIATION`` standard errors at least, take part, each in
-``MIN_DOCS`` texts of the sample or more: the pair sums of hundreds of neutral terms would drown the others.
+and the sum over all pairs of terms of the product of their factor vectors, in linear time by the square of the sum; each
+coordinate of the vectors has a sign, so that terms which exclude each other need no more coordinates than those that fit.  The
+machine is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, chosen by hash of doc_id); every sixth row of it is
+kept back to set the slope and the cut, so that 0.5 is the best cut there.
+
+1. Weights.  Columns that deviate between the labels (``MIN_DEVIATION`` standard errors at least) get weights by adaptive gradient
+   steps.
+2. Factors.  All columns in ``MIN_SHARE`` of the sample's texts take part, whether they tell anything alone or not.  What the
+   machine leaves unexplained, summed over the texts that hold both of two terms, is a matrix; a truncated power
+   iteration finds the ``SUPPORT`` columns of its leading direction, without forming pairs, and these become the next factor.  A
+   group mention that is harmless alone and an insult, or two terms of which only one may occur, show there.
+3. Both are then fitted together.  How much the pairs count is set on the rows kept back, so pairs found by chance go.
 
 Null and empty texts have no terms: their score is that of the bias.  Rows whose label is null are not learned from; a row
 whose doc_id is null is held out (its remainder isn't known).  Repeated rows are scored each on its own.  With no labelled
@@ -19,7 +25,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,12 @@ HASH_BITS = 18
 FACTORS = 4
 TRAIN_ROWS = 24_000
 MIN_DOCS = 3
-MOST_TERMS = 2048
+MIN_SHARE = 1 / 1000
 MIN_DEVIATION = 4.0
+SUPPORT = 48
+LEAST_PART = 0.2  # of a direction's largest part
+POWER_STEPS = 12
+CHUNK_ROWS = 2048
 EPOCHS = 6
 BATCH = 256
 FOLDS = 5
@@ -58,6 +68,7 @@ class Machine:
     factors: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    signs: np.ndarray = field(default_factory=lambda: np.ones(FACTORS))
 
     def raw(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Raw scores of texts whose columns are concatenated in ``ids``."""
@@ -67,7 +78,7 @@ class Machine:
             at = (np.cumsum(counts) - counts)[full]
             v = self.factors[ids]
             total = np.add.reduceat(v, at, axis=0)
-            pairs = 0.5 * (total**2 - np.add.reduceat(v * v, at, axis=0)).sum(axis=1)
+            pairs = 0.5 * (total**2 - np.add.reduceat(v * v, at, axis=0)) @ self.signs
             out[full] += np.add.reduceat(self.weights[ids], at) + pairs
         return out
 
@@ -76,37 +87,142 @@ class Machine:
 
 
 def telling(docs: np.ndarray, marked: np.ndarray, share: float) -> np.ndarray:
-    """Which columns take part, from the texts and the marked texts of each, and the share of marked texts."""
+    """Which columns get weights, from the texts and the marked texts of each, and the share of marked texts."""
     expected = docs * share
-    score = np.where(docs >= MIN_DOCS, np.abs(marked - expected) / np.sqrt(expected * (1 - share) + 1e-9), 0)
-    known = np.zeros(len(docs), bool)
-    known[np.argsort(-score, kind="stable")[:MOST_TERMS]] = True
-    return known & (score >= MIN_DEVIATION)
+    return (docs >= MIN_DOCS) & (np.abs(marked - expected) >= MIN_DEVIATION * np.sqrt(expected * (1 - share) + 1e-9))
+
+
+def frequent(docs: np.ndarray, texts: int) -> np.ndarray:
+    """Which columns may get factors."""
+    return docs >= max(MIN_DOCS, MIN_SHARE * texts)
+
+
+def _flat(rows: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = [rows[i] for i in which]
+    return np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(r) for r in own], np.int64)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of the given sizes; of an empty group, zero."""
+    out = np.zeros((len(counts), *values.shape[1:]))
+    full = counts > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full], axis=0)
+    return out
+
+
+def leading_pairs(rows: list[np.ndarray], left: np.ndarray, scale: np.ndarray, candidates: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """Columns, their parts and the sign of the sparse leading direction of the matrix of what is left for pairs of columns.
+
+    left: what each text's label lacks; scale: of each column.  The matrix is never formed: a step costs one pass over the rows.
+    """
+
+    def times(u: np.ndarray) -> np.ndarray:
+        out, own = np.zeros(len(u)), np.zeros(len(u))
+        for k in range(0, len(rows), CHUNK_ROWS):
+            ids, counts = _flat(rows, np.arange(k, min(len(rows), k + CHUNK_ROWS)))
+            z = left[k : k + len(counts)]
+            out += np.bincount(ids, np.repeat(z * _sums(u[ids], counts), counts), minlength=len(u))
+            own += np.bincount(ids, np.repeat(z, counts), minlength=len(u))
+        return out - own * u  # without a column's pair with itself
+
+    begin = np.zeros(len(scale))
+    begin[candidates] = random.normal(0, 1, len(candidates))
+    best = 0.0, 1.0, begin
+    for sign in (1.0, -1.0):
+        u, size = begin / np.linalg.norm(begin), len(candidates)
+        for step in range(POWER_STEPS):
+            new = scale * times(scale * u)
+            norm = np.linalg.norm(new)
+            if norm == 0:
+                break
+            new += sign * 0.7 * norm * u  # so that of two directions of like size and unlike sign one leads
+            size = max(SUPPORT, size // 3) if step > 2 else size
+            if len(candidates) > size:
+                new[np.abs(new) < np.partition(np.abs(new), -size)[-size]] = 0
+            u = new / np.linalg.norm(new)
+        u[np.abs(u) <= LEAST_PART * np.abs(u).max()] = 0
+        value = float(u @ (scale * times(scale * u))) / max(float(u @ u), 1e-12)
+        if abs(value) > abs(best[0]):
+            best = value, float(np.sign(value)), u
+    value, sign, u = best
+    columns = np.flatnonzero(u) if value else np.zeros(0, np.int64)
+    return columns, u[columns] * scale[columns], sign
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray | None = None, seed: int = 7) -> Machine:
-    """Fit by AdaGrad on the logistic loss; deterministic for the same rows in the same order."""
+    """Fit on the logistic loss; deterministic for the same rows in the same order."""
     size = 1 << HASH_BITS
     share = (labels.sum() + 0.5) / (len(labels) + 2)
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)))
     if len(set(labels.tolist())) < 2:
         return machine
     held = np.arange(len(rows)) % 6 == 5 if held is None else held
-    flat, counts = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(r) for r in rows])
-    learn = np.repeat(~held, counts)
-    marked = np.bincount(flat[learn], np.repeat(labels, counts)[learn], minlength=size)
-    known = telling(np.bincount(flat[learn], minlength=size), marked, float(labels[~held].mean()))
-    rows = [r[known[r]] for r in rows]
+    train, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    docs, marked = np.zeros(size), np.zeros(size)
+    for k in range(0, len(train), CHUNK_ROWS):
+        own = train[k : k + CHUNK_ROWS]
+        ids, counts = _flat(rows, own)
+        docs += np.bincount(ids, minlength=size)
+        marked += np.bincount(ids, np.repeat(labels[own], counts), minlength=size)
     random = np.random.default_rng(seed)
-    machine.factors[known] = random.normal(0, 0.01, (int(known.sum()), FACTORS))
-    train = np.flatnonzero(~held)
+    known = telling(docs, marked, float(labels[train].mean()))
+    alone = [r[known[r]] for r in rows]
+    _descend(machine, alone, labels, train, random, EPOCHS, False)
+    candidates = np.flatnonzero(frequent(docs, len(train)))
+    fitted = [rows[i][frequent(docs, len(train))[rows[i]]] for i in train]
+    scale = np.zeros(size)
+    scale[candidates] = 1 / np.sqrt(docs[candidates] + 0.02 * len(train))
+    for k in range(FACTORS):
+        if not len(candidates):
+            break
+        raw = _raw(machine, rows, train)
+        left = labels[train] - 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+        columns, part, machine.signs[k] = leading_pairs(fitted, left, scale, candidates, random)
+        if not len(columns):
+            break
+        machine.factors[columns, k] = part
+        pair = _raw(machine, rows, train) - raw
+        machine.factors[:, k] *= np.sqrt(_amount(pair, raw, labels[train]))
+        if not machine.factors[:, k].any():
+            continue
+        some = (machine.factors != 0).any(axis=1) | known
+        _descend(machine, [r[some[r]] for r in rows], labels, train, random, 1, True)
+    some = (machine.factors != 0).any(axis=1) | known
+    _descend(machine, [r[some[r]] for r in rows], labels, train, random, 2 * EPOCHS, True)
+    if len(kept) and 0 < labels[kept].sum() < len(kept):
+        factors = machine.factors
+        machine.factors = np.zeros_like(factors)
+        linear = _raw(machine, rows, kept)
+        machine.factors = factors
+        machine.factors = factors * np.sqrt(_amount(_raw(machine, rows, kept) - linear, linear, labels[kept], 3.0))
+        machine.slope, machine.shift = calibrate(_raw(machine, rows, kept), labels[kept])
+    return machine
+
+
+def _raw(machine: Machine, rows: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+    parts = [machine.raw(*_flat(rows, which[k : k + BATCH])) for k in range(0, len(which), BATCH)]
+    return np.concatenate([*parts, np.zeros(0)])
+
+
+def _amount(pair: np.ndarray, raw: np.ndarray, labels: np.ndarray, least: float = 0.0) -> float:
+    """How much of ``pair`` to add to ``raw``: the best of a grid under the logistic loss; none if it gains less than ``least``."""
+    grid = np.array([0, *np.geomspace(0.01, 3000, 60)]) / max(float(np.abs(pair).max(initial=0)), 1e-12)
+    grid = np.unique(np.append(grid[grid * np.abs(pair).max(initial=0) <= 30], 1.0))
+    loss = np.array([np.logaddexp(0, np.where(labels > 0, -1, 1) * (raw + g * pair)).sum() for g in grid])
+    best = int(np.argmin(loss))
+    return float(grid[best]) if loss[0] - loss[best] > least else 0.0
+
+
+def _descend(machine: Machine, rows: list[np.ndarray], labels: np.ndarray, train: np.ndarray, random: np.random.Generator, epochs: int, pairs: bool) -> None:
+    """AdaGrad over minibatches; with ``pairs``, factor vectors that aren't zero move too."""
+    size = len(machine.weights)
     gw, gv, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = random.permutation(train)
         for start in range(0, len(order), BATCH):
             own = order[start : start + BATCH]
-            counts = np.array([len(rows[i]) for i in own])
-            ids = np.concatenate([rows[i] for i in own]).astype(np.int64)
+            ids, counts = _flat(rows, own)
             doc = np.repeat(np.arange(len(own)), counts)
             error = 1 / (1 + np.exp(-np.clip(machine.raw(ids, counts), -40, 40))) - labels[own]
             step = error.mean()
@@ -114,22 +230,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray | None = No
             machine.bias -= 0.05 * step / np.sqrt(gb)
             if not len(ids):
                 continue
-            v = machine.factors[ids]
-            total = np.zeros((len(own), FACTORS))
-            total[counts > 0] = np.add.reduceat(v, (np.cumsum(counts) - counts)[counts > 0], axis=0)
             by = np.argsort(ids, kind="stable")
             columns, first = np.unique(ids[by], return_index=True)
             slope_w = np.add.reduceat(error[doc][by], first) + 1e-3 * machine.weights[columns]
-            slope_v = np.add.reduceat((error[doc][:, None] * (total[doc] - v))[by], first, axis=0) + 1e-2 * machine.factors[columns]
+            if pairs:
+                v = machine.factors[ids]
+                slope_v = np.add.reduceat((error[doc][:, None] * (_sums(v, counts)[doc] - v) * machine.signs)[by], first, axis=0) + 1e-2 * machine.factors[columns]
+                slope_v[machine.factors[columns] == 0] = 0
+                gv[columns] += slope_v**2
+                machine.factors[columns] -= 0.1 * slope_v / np.sqrt(gv[columns])
             gw[columns] += slope_w**2
             machine.weights[columns] -= 0.1 * slope_w / np.sqrt(gw[columns])
-            gv[columns] += slope_v**2
-            machine.factors[columns] -= 0.02 * slope_v / np.sqrt(gv[columns])
-    kept = np.flatnonzero(held)
-    raw = machine.raw(np.concatenate([rows[i] for i in kept]).astype(np.int64), np.array([len(rows[i]) for i in kept])) if len(kept) else np.zeros(0)
-    if len(kept) and 0 < labels[kept].sum() < len(kept):
-        machine.slope, machine.shift = calibrate(raw, labels[kept])
-    return machine
 
 
 def calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -194,14 +305,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     counts = sample.where(~held).select("mark", "columns").mapInArrow(count, "column long, docs long, marked long").groupBy("column").agg(F.sum("docs").alias("docs"), F.sum("marked").alias("marked")).toArrow()
     docs_, marked = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)  # one row per column at most
     docs_[counts.column("column").to_numpy()], marked[counts.column("column").to_numpy()] = counts.column("docs").to_numpy(), counts.column("marked").to_numpy()
-    known = telling(docs_, marked, float(share))
+    known = telling(docs_, marked, float(share)) | frequent(docs_, train_rows)
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(c, np.uint32) for c in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c[known[c]].tobytes() for c in own], pa.binary())], ["mark_id", "rank", "mark", "columns"])
 
-    kept = sample.mapInArrow(only, sample.schema).collect()  # at most ``rows`` rows of the few columns that tell
+    kept = sample.mapInArrow(only, sample.schema).collect()  # at most ``rows`` rows of the columns that may take part
     kept.sort(key=lambda r: (r["rank"], r["mark_id"], bytes(r["columns"])))
     columns = [np.frombuffer(r["columns"], np.uint32).astype(np.int64) for r in kept]
     return fit(columns, np.array([r["mark"] for r in kept], np.float64), np.array([r["rank"] % 6 == 5 for r in kept]))
@@ -210,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 def scores(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` for every row; no shuffle."""
     weights, factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast(Machine(machine.bias, weights, factors, machine.slope, machine.shift))  # 5 MB, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(Machine(machine.bias, weights, factors, machine.slope, machine.shift, machine.signs))  # 5 MB, whatever the corpus
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -234,7 +345,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quiet(docs: DataFrame, machine: Machine, cut: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``cut``."""
     keep = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(Machine(machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32), machine.slope, machine.shift))
+    sent = docs.sparkSession.sparkContext.broadcast(Machine(machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32), machine.slope, machine.shift, machine.signs))
     place = keep.index(text_col)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
