@@ -37,6 +37,52 @@ def test_kneser_ney_is_a_distribution():
         assert 0.95 < total < 1  # the rest is for letters never seen
 
 
+def _kneser_ney(texts, order=4):
+    """log p(letter | letters before) of interpolated Kneser-Ney with one discount for each order, from dictionaries."""
+    pad = [0] * (order - 1)
+    seqs = []
+    for t in texts:
+        flat, ends = langid.symbols([t.encode()])
+        seqs.append(flat.tolist())
+    counts = [None] * (order + 1)
+    counts[order] = Counter(tuple(s[i - order + 1 : i + 1]) for s in seqs for i in range(order - 1, len(s)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = [0] * (order + 1)
+    for k in range(1, order + 1):
+        discount[k] = langid.discount_of(sum(n == 1 for n in counts[k].values()), sum(n == 2 for n in counts[k].values()))
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - discount[k], 0) / total + discount[k] * len(own) / total * p(gram[1:])
+
+    return lambda text: sum(math.log(p(tuple(s[i - order + 1 : i + 1]))) for s in [langid.symbols([text.encode()])[0].tolist()] for i in range(order - 1, len(s)))
+
+
+def test_totals_and_predictions_equal_brute_force_in_one_block_and_in_many(spark):
+    own = {"aa": ["abra cadabra", "cad abra bar", "abac 12"], "bb": ["zyx wvu xyz", "ABRA zy", "xyzzy vwx"]}
+    rows = [(i, lang, t) for i, (lang, t) in enumerate((lang, t) for lang, ts in own.items() for t in ts)]
+    docs = spark.createDataFrame([*rows, (90, "cc", "123"), (91, "dd", None), (92, None, "abra"), (93, "aa", "")], "doc_id long, lang string, text string").repartition(3)
+    new = ["abra", "xyz", "kqj", "cad zyx"]
+    asked = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    truth = [_kneser_ney(own[k]) for k in ("aa", "bb")]
+    for block in (1 << 22, 7):
+        found = langid.learn(docs, block_ngrams=block)
+        assert found.langs == ["aa", "bb"] and (len(found.blocks) > 2) == (block == 7)
+        got = {r.doc_id: r.total for r in langid.totals(asked, found, ["doc_id"]).collect()}
+        predicted = {r.doc_id: r.lang_pred for r in langid.identify(asked, found, ["doc_id"]).collect()}
+        for i, t in enumerate(new):
+            want = [f(t) for f in truth]
+            assert np.allclose(got[i], want, rtol=1e-4)
+            assert predicted[i] == ("aa", "bb")[int(np.argmax(want))]
+
+
 def test_languages_of_held_out_texts(spark):
     rows = langid.op5_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out").collect()
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
