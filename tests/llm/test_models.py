@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import AWKWARD, documents
 from tidemark.llm import brown, decontaminate, langid, toxicity
@@ -256,6 +257,50 @@ def test_planted_items_are_found_with_edits_and_clean_texts_are_not(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def _edited(r, text, edits):
+    chars = list(text)
+    for _ in range(edits):
+        at, what = r.randrange(len(chars)), r.random()
+        if what < 0.6:
+            chars[at] = r.choice("abcdefghijklmnopqrstuvwxyz")
+        elif what < 0.8:
+            del chars[at]
+        else:
+            chars.insert(at, r.choice("abcdefghijklmnopqrstuvwxyz"))
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("words", [5, 8, 20, 40])
+def test_recall_at_every_edit_rate_that_the_threshold_admits(words):
+    """Substitutions, deletions and insertions anywhere; what brute force finds to be 0.8 similar counts."""
+    r = random.Random(words)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "en", "to", "it", "st", "io", "le"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    items = [" ".join(word() for _ in range(words)) for _ in range(40)]
+    texts = [" ".join(word() for _ in range(150)) for _ in range(200)]
+    whole = b" ".join(t.encode() for t in texts)
+    bits = lambda g: np.log2((len(whole) + 2) / (np.bincount(g.places(whole)[1], minlength=len(g.keys)) + 1))
+    block = decontaminate.Items([(i, t.encode()) for i, t in enumerate(items)], bits)
+    for rate in (0.0, 0.06, 0.12, 0.15, 0.18, 0.2):
+        planted = []
+        for i, t in enumerate(items):
+            for _ in range(3):
+                own = r.choice(texts).split()
+                own[70:70] = _edited(r, t, int(rate * len(t))).split()
+                planted.append((i, " ".join(own).encode()))
+        true = {k for k, (i, t) in enumerate(planted) if 1 - decontaminate.edit_distance_in(items[i].encode(), b" ".join(t.split())) / len(items[i]) >= decontaminate.SIMILARITY}
+        found = {d for d, m, _ in block.find([t for _, t in planted]) if block.ids[m] == planted[d][0]}
+        assert len(true & found) >= 0.9 * len(true), (rate, len(true & found), len(true))
+    assert not block.find([t.encode() for t in texts]) or max(s for *_, s in block.find([t.encode() for t in texts])) < 0.9
+
+
+def test_items_of_few_words_must_occur_as_they_are(spark):
+    items = [(1, "ab"), (2, "Too short!"), (3, "not in here"), (4, "..."), (5, "one two three four"), (6, "検" * 90), (7, "日本")]
+    texts = ["this is too, short.", "tab ab", "tab abc", "it is tooshort", "so one two three four five", "前 " + "検" * 88 + "別" * 2 + " 後", "日本 人", "日本人", None]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 2), (1, 1), (4, 5), (5, 6), (6, 7)}
+
+
 def test_held_out_fold_matches_crc32(spark):
     rows = documents(spark, ["x"] * 50).select("doc_id", toxicity.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)

@@ -3,21 +3,23 @@
 Texts and items are compared as lower-case words without punctuation, joined by single spaces, in bytes.
 
 1. Windows.  A window is a place in a text and an item: it has the item's length and begins where the item would, judged by
-   exact common words.  A first pass counts the items' words over all documents; a word of frequency p is worth -log2 p bits.
-   An item's seeds are its words of ``SEED_BITS`` bits or more, and its ``LEAST_SEEDS`` rarest in any case.  Seeds that agree on
-   the item's place, give or take ``SLACK_WORDS`` words, make a window if they are two at least and worth ``WINDOW_BITS``.  With a sixth of all characters edited, an item of 40 words still keeps four or more of its seeds.
+   short strings of ``GRAM`` bytes that both hold.  A first pass counts the items' strings over all documents; one of
+   frequency p is worth -log2 p bits.  An item's seeds are its strings of ``SEED_BITS`` bits or more, and its ``LEAST_SEEDS`` rarest
+   in any case.  Seeds that agree on the item's place, up to the shift that edits cause, make a window if together they are
+   worth ``SHARE_BITS`` of all that the item's strings are worth, and ``LEAST_BITS``; what overlaps or repeats counts once.  Of 10^8 places, each of
+   which would need its own walk, about one in 10^4 is left.
 2. Embedding.  The CGK walk reads a window from its start; at step j it writes the byte it stands on and moves on or stays, as
    a random bit for (j, byte) says.  Strings within few edits get walks that meet again and again, so edit distance becomes
    Hamming distance.
 3. Bit sampling.  Each of ``WALKS`` x ``KEYS`` keys takes all bits of ``SAMPLED`` random positions of a walk.  A window goes on
-   if one key equals the item's.  With half of all positions differing a key agrees with probability 0.13; that all of 192 fail
-   has probability 1e-11; with three quarters differing, 0.016 and 5 %.
+   if one key equals the item's.  With half of all positions differing a key agrees with probability 0.06; that all of 288 fail
+   has probability 1e-8; with two thirds differing, 0.012 and 3 %.
 4. Verification.  The item's least edit distance to any part of the window and its margins, bit-parallel; a hit has
    1 - distance / item length of ``SIMILARITY`` at least.
 
-Items of fewer than ``MIN_WORDS`` words, or null, match nothing; null texts hold nothing.  Equal items of different ids are
-found each on its own; repeated rows give a row each.  Items go to executors in blocks of ``BLOCK_BYTES`` of text, each
-against all documents.
+Items of fewer than ``MIN_WORDS`` words that have under ``SHORT_BYTES`` bytes must occur as they are, as whole words; null items and
+those without a word match nothing; null texts hold nothing.  Equal items of different ids are found each on its own;
+repeated rows give a row each.  Items go to executors in blocks of ``BLOCK_BYTES`` of text, each against all documents.
 """
 
 from __future__ import annotations
@@ -35,13 +37,17 @@ from tidemark.llm.toxicity import _CLEAN
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
-SEED_BITS = 11
+SHORT_BYTES = 64
+GRAM = 6
+SEED_BITS = 14
 LEAST_SEEDS = 8
-WINDOW_BITS = 30
-SLACK_WORDS = 4
+SHARE_BITS = 0.23
+LEAST_BITS = 15.0
+TABLE_BITS = 22
+SLICE_BYTES = 2 << 20
 WALKS = 6
-KEYS = 32
-SAMPLED = 3
+KEYS = 48
+SAMPLED = 4
 BLOCK_BYTES = 16 << 20
 
 
@@ -72,26 +78,76 @@ def edit_distance_in(pattern: bytes, text: bytes) -> int:
     return best
 
 
+def normalized(text: bytes) -> bytes:
+    """A text's words, with one space around each."""
+    own = words_of(text)
+    return b" %b " % b" ".join(own) if own else b""
+
+
+def grams(data: bytes, size: int = GRAM) -> np.ndarray:
+    """The ``size`` bytes (8 at most) from each place on as a number."""
+    eight = np.ndarray((len(data),), "<u8", data + b"\0" * 8, strides=(1,))
+    return eight & np.uint64((1 << 8 * size) - 1)
+
+
+class Grams:
+    """A set of short strings, looked up at every place of a buffer."""
+
+    def __init__(self, values: np.ndarray, size: int = GRAM):
+        self.keys, self.size = np.unique(values), size
+        self.seen = np.zeros(1 << TABLE_BITS, bool)
+        self.seen[self._hash(self.keys)] = True
+
+    @staticmethod
+    def _hash(values: np.ndarray) -> np.ndarray:
+        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+
+    def places(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a string begins, and its number."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        value = grams(data, self.size)
+        at = np.flatnonzero(self.seen[self._hash(value)])
+        own = value[at]
+        which = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        same = self.keys[which] == own
+        return at[same], which[same]
+
+
 class Items:
     """A block of benchmark items with their seeds and sampled walks."""
 
-    def __init__(self, items: list[tuple[int, bytes]], bits: Callable[[bytes], float] = lambda word: SEED_BITS + 2.0, seed: int = 11):
-        kept = [(i, w) for i, t in items if len(w := words_of(t)) >= MIN_WORDS]
-        self.ids = np.array([i for i, _ in kept], np.int64)
-        self.words = [w for _, w in kept]
-        self.texts = [b" ".join(w) for w in self.words]
-        postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, own in enumerate(self.words):
-            ranked = sorted(set(own), key=lambda w: (-bits(w), w))
-            seeds = {w for i, w in enumerate(ranked) if i < LEAST_SEEDS or bits(w) >= SEED_BITS}
-            for at, w in enumerate(own):
-                if w in seeds:
-                    postings[w].append((k, at))
-        self.index = {w: n for n, w in enumerate(postings)}
-        self.bits = np.array([bits(w) for w in postings])
-        self.first = np.concatenate([[0], np.cumsum([len(p) for p in postings.values()])]).astype(np.int64)
-        flat = [x for p in postings.values() for x in p]
-        self.item, self.at = (np.array([x[c] for x in flat], np.int64) for c in (0, 1))
+    def __init__(self, items: list[tuple[int, bytes]], bits: Callable[[Grams], np.ndarray] = lambda g: np.full(len(g.keys), SEED_BITS + 2.0), seed: int = 11):
+        own = [(i, normalized(t)) for i, t in items]
+        short = [(i, t) for i, t in own if t and t.count(b" ") <= MIN_WORDS and len(t) < SHORT_BYTES + 2]
+        fuzzy = [(i, t) for i, t in own if t and not (t.count(b" ") <= MIN_WORDS and len(t) < SHORT_BYTES + 2)]
+        self.ids = np.array([i for i, _ in fuzzy + short], np.int64)
+        self.texts = [t.strip() for _, t in fuzzy]
+        # Short items by their first bytes, with the space before and, if they are very short, after.
+        self.exact: dict[int, tuple[Grams, dict[int, list[tuple[int, bytes]]]]] = {}
+        for k, (_, t) in enumerate(short, len(fuzzy)):
+            size = min(8, len(t))
+            value = int.from_bytes(t[:size], "little")
+            _, texts = self.exact.setdefault(size, (None, {}))
+            texts.setdefault(value, []).append((k, t))
+        self.exact = {size: (Grams(np.array(sorted(texts), np.uint64), size), texts) for size, (_, texts) in self.exact.items()}
+        found = [grams(t)[: len(t) - GRAM + 1] for t in self.texts]
+        seeds = Grams(np.concatenate([*found, np.zeros(0, np.uint64)]))
+        worth = bits(seeds)
+        chosen = []
+        for k, own_ in enumerate(found):
+            which = np.searchsorted(seeds.keys, own_)
+            rarest = np.unique(which)[np.argsort(-worth[np.unique(which)], kind="stable")[:LEAST_SEEDS]]
+            at = np.flatnonzero((worth[which] >= SEED_BITS) | np.isin(which, rarest))
+            chosen.append(np.stack([which[at], np.full(len(at), k), at], axis=1))
+        flat = np.concatenate([*chosen, np.zeros((0, 3), np.int64)])
+        flat = flat[np.lexsort((flat[:, 2], flat[:, 1], flat[:, 0]))]
+        used, n = np.unique(flat[:, 0], return_counts=True)
+        self.seeds, self.bits = Grams(seeds.keys[used]), worth[used]
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        self.item, self.at = flat[:, 1].copy(), flat[:, 2].copy()
+        whole = np.array([worth[np.searchsorted(seeds.keys, g)].sum() / GRAM for g in found])
+        self.need = np.maximum(SHARE_BITS * whole, LEAST_BITS)
         random = np.random.default_rng(seed)
         self.length = np.array([len(t) for t in self.texts], np.int64)
         longest = int(self.length.max(initial=1))
@@ -106,99 +162,98 @@ class Items:
         """Keys of windows of the given items: a window's walk has twice the item's length in steps; past the end it writes zeros."""
         out = np.zeros((len(start), WALKS * KEYS), np.uint64)
         data = np.append(data, np.uint8(0))
+        past = len(data) - 1
         steps = 2 * self.length[item]
+        rows = np.arange(len(start))[:, None]
         for w in range(WALKS):
             wanted = (self.places[w] * steps[:, None]).astype(np.int64)
-            walk = np.zeros((len(start), int(steps.max())), np.uint8)
-            at = start.copy()
-            for j in range(walk.shape[1]):
-                byte = np.where(at < end, data[np.minimum(at, len(data) - 1)], 0)
-                walk[:, j] = byte
-                at += self.moves[w, j][byte]
-            bytes_ = np.take_along_axis(walk, wanted, axis=1).reshape(-1, KEYS, SAMPLED).astype(np.uint64)
+            walk = np.zeros((int(steps.max()), len(start)), np.uint8)  # a row for each step
+            at = start.astype(np.int32)
+            for j, own in enumerate(walk):
+                np.take(data, np.where(at < end, at, past), out=own)
+                at += self.moves[w, j][own]
+            bytes_ = walk[wanted, rows].reshape(-1, KEYS, SAMPLED).astype(np.uint64)
             out[:, w * KEYS : (w + 1) * KEYS] = (bytes_ << (np.arange(SAMPLED, dtype=np.uint64) * np.uint64(8))).sum(axis=2)
         return out
 
-    def find(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
-        """(text, item, similarity) of all hits."""
-        if not self.index:
-            return []
-        words: list[list[bytes]] = [words_of(t) for t in texts]
-        get, hits, docs = self.index.get, [], []
-        for d, own in enumerate(words):
-            found = [(p, s) for p, s in enumerate(map(get, own)) if s is not None]
-            if len(found) > 1:
-                hits += found
-                docs += [d] * len(found)
-        if not hits:
-            return []
-        place, seed = np.array(hits, np.int64).T
-        doc = np.array(docs, np.int64)
+    def windows(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """(text, item, begin in ``data``) of every window.  starts: where each text begins."""
+        place, seed = self.seeds.places(data)
         n = self.first[seed + 1] - self.first[seed]
         post = np.repeat(self.first[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        doc, seed, item = np.repeat(doc, n), np.repeat(seed, n), self.item[post]
-        begin = np.repeat(place, n) - self.at[post]
-        order = np.lexsort((begin, item, doc))
-        doc, seed, item, begin = doc[order], seed[order], item[order], begin[order]
-        # Chains of neighbours that agree on a window's place within the slack; each seed of a chain counts once.
-        near = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (begin[1:] - begin[:-1] <= SLACK_WORDS)
-        chain = np.concatenate([[0], np.cumsum(~near)])
-        own = np.unique(chain * len(self.bits) + seed)
-        ok = np.bincount(own // len(self.bits), self.bits[own % len(self.bits)], minlength=int(chain[-1]) + 1) >= WINDOW_BITS
-        ok &= np.bincount(own // len(self.bits), minlength=len(ok)) > 1
-        # One window per place that two seeds share: the chain's members, without repeats.
-        chosen = ok[chain]
-        rows = np.unique(np.stack([doc[chosen], item[chosen], begin[chosen]], axis=1), axis=0)
+        place, worth, item = np.repeat(place, n), np.repeat(self.bits[seed], n), self.item[post]
+        begin = place - self.at[post]
+        doc = np.searchsorted(starts, place, "right") - 1
+        order = np.argsort((item << 32) + begin + (1 << 20), kind="stable")
+        place, worth, item, begin, doc = (x[order] for x in (place, worth, item, begin, doc))
+        # Chains of neighbours that agree on a window's place within the slack.
+        near = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (begin[1:] - begin[:-1] <= 8 + self.length[item[1:]] // 16)
+        chain = np.concatenate([[0], np.cumsum(~near)]) if len(item) else np.zeros(0, np.int64)
+        # Within a chain, in order of place in the item, a seed counts for the bytes that the one before doesn't have.
+        at = place - begin
+        order = np.argsort((chain << 32) + at, kind="stable")
+        step = np.diff(at[order], prepend=-GRAM)
+        step[np.diff(chain[order], prepend=-1) != 0] = GRAM
+        total = np.bincount(chain[order], worth[order] * np.minimum(step, GRAM) / GRAM, minlength=int(chain[-1]) + 1 if len(chain) else 0)
+        chosen = total[chain] >= self.need[item]
+        rows = np.stack([doc, item, begin], axis=1)[chosen]
         if not len(rows):
-            return []
-        flat, starts = [], {}
-        size = 0
-        for d in np.unique(rows[:, 0]).tolist():
-            joined = b" ".join(words[d])
-            starts[d] = size, np.cumsum([0, *(len(w) + 1 for w in words[d])])
-            flat.append(joined)
-            size += len(joined)
-        data = b"".join(flat)
-        begin_at = np.array([starts[d][0] + starts[d][1][min(max(b, 0), len(words[d]) - 1)] for d, _, b in rows.tolist()], np.int64)
-        doc_end = np.array([starts[d][0] + max(0, starts[d][1][-1] - 1) for d in rows[:, 0].tolist()], np.int64)
-        end = np.minimum(begin_at + self.length[rows[:, 1]], doc_end)
-        array, out = np.frombuffer(data, np.uint8), {}
+            return rows
+        # Begins that are close to each other make one window.
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] // 8 != rows[:-1, 2] // 8)
+        return rows[new]
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
+        """(text, item, similarity) of all hits."""
+        own = [normalized(t) for t in texts]
+        data = b"\n".join(own) + b"\n"  # no item holds a line's end
+        starts = np.cumsum([0, *(len(t) + 1 for t in own)])[:-1]
+        ends = starts + np.array([len(t) for t in own], np.int64)
+        out: dict[tuple[int, int], float] = {}
+        for seeds, items in self.exact.values():
+            for p, which in zip(*(x.tolist() for x in seeds.places(data))):
+                for k, t in items[int(seeds.keys[which])]:
+                    if data.startswith(t, p):
+                        out[int(np.searchsorted(starts, p, "right")) - 1, k] = 1.0
+        rows = self.windows(data, starts) if len(self.texts) else np.zeros((0, 3), np.int64)
+        array = np.frombuffer(data, np.uint8)
         for k in range(0, len(rows), 4096):
-            part = slice(k, k + 4096)
-            same = (self.embed(array, begin_at[part], end[part], rows[part, 1]) == self.keys[rows[part, 1]]).any(axis=1)
-            for i in (np.flatnonzero(same) + k).tolist():
-                d, m, _ = rows[i].tolist()
-                n, low = int(self.length[m]), starts[d][0]
+            part = rows[k : k + 4096]
+            low, high = starts[part[:, 0]], ends[part[:, 0]]
+            begin = np.clip(part[:, 2], low, high)
+            same = (self.embed(array, begin, np.minimum(begin + self.length[part[:, 1]], high), part[:, 1]) == self.keys[part[:, 1]]).any(axis=1)
+            for i in np.flatnonzero(same).tolist():
+                d, m, _ = part[i].tolist()
+                n = int(self.length[m])
                 margin = n // 5 + 8
                 if out.get((d, m), 0) == 1.0:
                     continue
-                window = data[max(low, int(begin_at[i]) - margin) : min(int(doc_end[i]), int(begin_at[i]) + n + margin)]
+                window = data[max(int(low[i]), int(begin[i]) - margin) : min(int(high[i]), int(begin[i]) + n + margin)]
                 similarity = 1.0 if self.texts[m] in window else 1 - edit_distance_in(self.texts[m], window) / n
                 if similarity >= SIMILARITY:
                     out[d, m] = max(out.get((d, m), 0), similarity)
         return [(d, m, s) for (d, m), s in sorted(out.items())]
 
 
-def word_bits(docs: DataFrame, words: set[bytes], text_col: str = "text") -> Callable[[bytes], float]:
-    """-log2 of the frequency of each of ``words`` over all rows; as many numbers as words go to the driver."""
-    index = {w: i for i, w in enumerate(sorted(words))}
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+def gram_bits(docs: DataFrame, seeds: Grams, text_col: str = "text") -> np.ndarray:
+    """-log2 of the frequency of each string over all places of all rows; as many numbers as strings go to the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, total = sent.value.get, np.zeros(len(sent.value) + 1, np.int64)
+        own = sent.value
+        total = np.zeros(len(own.keys) + 1, np.int64)
         for batch in batches:
-            for part in sliced(batch, "bytes"):
-                own = [w for t in part.column(0).to_pylist() for w in words_of(t)]
-                total[-1] += len(own)
-                found = [i for i in map(get, own) if i is not None]
-                total[:-1] += np.bincount(np.array(found, np.int64), minlength=len(total) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["word", "n"])
+            for part in sliced(batch, "bytes", SLICE_BYTES):
+                data = b"\n".join([normalized(t) for t in part.column(0).to_pylist()])
+                total[-1] += len(data)
+                total[:-1] += np.bincount(own.places(data)[1], minlength=len(own.keys))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["gram", "n"])
 
-    n = np.zeros(len(index) + 1)
-    for r in docs.select(utf8(text_col).alias("bytes")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        n[r["word"]] = r["n"]
-    worth = np.log2((n[-1] + 2) / (n[:-1] + 1))
-    return lambda word: float(worth[index[word]])
+    n = np.zeros(len(seeds.keys) + 1)
+    rows = docs.select(utf8(text_col).alias("bytes")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    n[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
+    return np.log2((n[-1] + 2) / (n[:-1] + 1))
 
 
 def item_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text_col: str = "text") -> Iterator[Items]:
@@ -209,7 +264,7 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id",
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("id", "bytes"), F.lit(blocks)) == k).distinct().orderBy("id", "bytes").collect()
         items = [(r["id"], bytes(r["bytes"])) for r in own]
-        yield Items(items, word_bits(docs, {w for _, t in items for w in words_of(t)}, docs_text_col))
+        yield Items(items, lambda seeds: gram_bits(docs, seeds, docs_text_col))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -220,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
-                for part in sliced(batch, "bytes"):
+                for part in sliced(batch, "bytes", SLICE_BYTES):
                     hits = items.find(part.column("bytes").to_pylist())
                     if hits:
                         rows, which, similarity = zip(*hits)
@@ -248,7 +303,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             for batch in batches:
                 bytes_ = pa.record_batch([batch.column(place).cast(pa.binary()).fill_null(b"")], ["bytes"])
                 at = 0
-                for part in sliced(bytes_, "bytes"):
+                for part in sliced(bytes_, "bytes", SLICE_BYTES):
                     good = np.ones(part.num_rows, bool)
                     good[[d for d, _, _ in items.find(part.column(0).to_pylist())]] = False
                     yield batch.slice(at, part.num_rows).filter(pa.array(good))
