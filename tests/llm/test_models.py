@@ -212,6 +212,54 @@ def test_classes_beat_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_parallel_exchange_puts_frequent_words_with_their_like(spark):
+    """Words beyond the clustered ones go by their neighbours, whatever their ending."""
+    r = random.Random(3)
+    nouns, verbs = [f"n{k}" for k in range(400)], [f"v{k}" for k in range(400)]
+    weight = [1 / (k + 50) for k in range(400)]
+    texts = [" ".join(f"{r.choices(nouns, weight)[0]} {r.choices(verbs, weight)[0]}" for _ in range(60)) for _ in range(300)]
+    model, _ = brown.learn(documents(spark, texts))
+    known = [(w.decode()[0], int(model.of[model.symbols.symbol[i]])) for w, i in model.symbols.index.items() if i > brown.CLUSTERED and model.counts[i] >= brown.MIN_COUNT]
+    kinds = {c: Counter(k for k, d in known if d == c) for _, c in known}
+    apart = sum(max(k.values()) for k in kinds.values())
+    assert len(known) > 200 and apart >= 0.95 * len(known)  # by their endings alone, half of them would be with the other kind
+
+
+def test_scores_equal_brute_force(spark):
+    """The score from dictionaries: transitions and emissions of the classes that were learned."""
+    texts = ["The cat sat on a mat", "the dog sat on a mat", "a cat ran to the dog", "the end of it"] * 6 + ["a rare word", None]
+    docs = documents(spark, texts)
+    train = docs.where("doc_id % 5 <> 1")
+    model, counts = brown.learn(train)
+    number = Counter(w for i, t in enumerate(texts) if i % 5 != 1 for w in [*(t or "").encode().lower().split(), brown.END])
+
+    def cls(word):
+        i = model.symbols.index.get(word)
+        return int(model.of[model.symbols.symbol[i] if i is not None else model.symbols.of_ending(word)])
+
+    pairs, members = Counter(), Counter(cls(w) for w in number)
+    last = 0
+    for i, t in enumerate(texts):
+        if i % 5 != 1:
+            for w in [*(t or "").encode().lower().split(), brown.END]:
+                pairs[last, cls(w)] += 1
+                last = cls(w)
+            last = 0
+    k = int(model.of.max()) + 1
+    total = [sum(pairs[a, b] for b in range(k)) for a in range(k)]
+    into = [sum(pairs[a, b] for a in range(k)) for b in range(k)]
+    all_ = sum(into)
+    for r in brown.scores(docs, model, counts, ["doc_id"]).collect():
+        want, last = 0.0, 0
+        for w in [*(texts[r.doc_id] or "").encode().lower().split(), brown.END]:
+            c = cls(w)
+            share = (into[c] + 1) / (all_ + k)
+            want += math.log10((pairs[last, c] + brown.PRIOR * share) / (total[last] + brown.PRIOR))
+            want += math.log10((number[w] + brown.DELTA) / (into[c] + brown.DELTA * (members[c] + 1)))
+            last = c
+        assert math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_exchange_finds_classes():
     pairs = np.zeros((brown.WIDTH, brown.WIDTH))
     for a in range(1, 41):

@@ -3,8 +3,10 @@
 1. Spark counts all words of the training texts into a shared table (it grows with the corpus and never leaves it whole).
 2. The ``CLUSTERED`` most frequent words are clustered by exchange: each word in turn moves to the class that gives the class
    bigram model the most likelihood, until nothing moves.  Their bigram counts are a matrix of fixed size, summed over all
-   training texts; every other word stands in it by its class, which is a hash of its last two bytes (words of a language
-   and form share endings), and the end of a text is a class of its own.
+   training texts; every other word stands in it by its ending (a hash of its last two bytes, as words of a language and form
+   share endings), and the end of a text is a class of its own.  Then all words of ``MIN_COUNT`` or more, as far as
+   the table of frequent words goes, are exchanged ``PARALLEL_ROUNDS`` times: Spark sums each word's neighbours by class, and tasks
+   move every word to its best class against the class bigrams of the round.  Words below that keep the class of their ending.
 3. P(w | v) = P(class(w) | class(v)) P(w | class(w)).  Transitions are smoothed towards the class frequencies, emissions by
    ``DELTA`` for each known word and one unknown word of the class.
 4. In scoring, counts of the ``FREQUENT`` most frequent words (a table of fixed size) are in every task's memory; all other
@@ -40,6 +42,9 @@ DELTA = 0.5
 PRIOR = 5.0
 ROUNDS = 12
 HELD_WORDS = 600_000
+MIN_COUNT = 12
+PARALLEL_ROUNDS = 2
+HELD_CELLS = 4_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,6 +92,12 @@ class Symbols:
             self.endings[tail] = 1 + CLUSTERED + ending_class(tail)
         return self.endings[tail]
 
+    def single(self, of: np.ndarray) -> np.ndarray:
+        """Give each frequent word a symbol of its own, behind the others; returns the class of every symbol."""
+        own = of[self.symbol]
+        self.symbol = WIDTH + np.arange(len(self.symbol))
+        return np.concatenate([of, own])
+
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Of all texts, each with its end: indices among the frequent words (-1: none), symbols, the other words, their places, and where texts end."""
         words: list[bytes] = []
@@ -129,6 +140,20 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def gains(n: np.ndarray, after: np.ndarray, before: np.ndarray, twice: float, own: np.ndarray) -> np.ndarray:
+    """What the log-likelihood gains when a word joins each of the classes ``own``.
+
+    n: class bigrams without the word; after, before: its followers and predecessors by class, without itself; twice: its
+    bigrams with itself.
+    """
+    rows, columns = n[own], n[:, own].T
+    gain = (_f(rows + after) - _f(rows)).sum(axis=1) + (_f(columns + before) - _f(columns)).sum(axis=1)
+    d = n[own, own]
+    gain += _f(d + after[own] + before[own] + twice) - _f(d) - (_f(d + after[own]) - _f(d)) - (_f(d + before[own]) - _f(d))
+    sums = n.sum(axis=1)[own], n.sum(axis=0)[own]
+    return gain - (_f(sums[0] + after.sum() + twice) - _f(sums[0]) + _f(sums[1] + before.sum() + twice) - _f(sums[1]))
+
+
 def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each symbol: 0 for the end, 1 to ``classes`` for the clustered words, then the endings.
 
@@ -154,12 +179,7 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, rounds:
             n[old] -= after
             n[:, old] -= before
             n[old, old] -= twice
-            rows, columns = n[own], n[:, own].T
-            gain = (_f(rows + after) - _f(rows)).sum(axis=1) + (_f(columns + before) - _f(columns)).sum(axis=1)
-            d = n[own, own]
-            gain += _f(d + after[own] + before[own] + twice) - _f(d) - (_f(d + after[own]) - _f(d)) - (_f(d + before[own]) - _f(d))
-            sums = n.sum(axis=1)[own], n.sum(axis=0)[own]
-            gain -= _f(sums[0] + after.sum() + twice) - _f(sums[0]) + _f(sums[1] + before.sum() + twice) - _f(sums[1])
+            gain = gains(n, after, before, twice, own)
             new = int(own[np.argmax(gain)])
             if gain[new - 1] <= gain[old - 1] + 1e-9:
                 new = int(old)
@@ -178,6 +198,98 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, rounds:
     return of
 
 
+def class_bigrams(docs: DataFrame, symbols: Symbols, of: np.ndarray, classes: int, text_col: str = "text") -> np.ndarray:
+    """Counts of pairs of classes over all rows."""
+    sent = docs.sparkSession.sparkContext.broadcast((symbols, of))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, of = sent.value
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for part in sliced(batch, "bytes"):
+                own = of[symbols.read(part.column(0).to_pylist())[1]]
+                total += np.bincount(np.concatenate([[0], own[:-1]]) * classes + own, minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["pair", "n"])
+
+    rows = docs.select(utf8(text_col).alias("bytes")).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def neighbours(docs: DataFrame, symbols: Symbols, of: np.ndarray, movable: int, classes: int, text_col: str = "text") -> DataFrame:
+    """word (its index), cell, n: how often each class follows (cell = class) and precedes (classes + class) each of the first ``movable`` words; cell -1: itself follows."""
+    sent, width = docs.sparkSession.sparkContext.broadcast((symbols, of)), 2 * classes + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, of = sent.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            key, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width - 1).astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
+
+        for batch in batches:
+            for part in sliced(batch, "bytes"):
+                index, symbol, *_ = symbols.read(part.column(0).to_pylist())
+                own, before = of[symbol], np.concatenate([[0], index[:-1]])
+                last = np.concatenate([[0], own[:-1]])
+                mine, other, twice = (index > 0) & (index < movable), (before > 0) & (before < movable), index == before
+                keys = [index[mine & ~twice] * width + 1 + classes + last[mine & ~twice], before[other & ~twice] * width + 1 + own[other & ~twice], index[mine & twice] * width]
+                held.append(np.unique(np.concatenate(keys), return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_CELLS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    rows = docs.select(utf8(text_col).alias("bytes")).mapInArrow(count, "word long, cell int, n long")
+    return rows.groupBy("word", "cell").agg(F.sum("n").alias("n"))
+
+
+def moved(cells: DataFrame, of_word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best of the clustered classes for each word against the class bigrams ``n``, from its neighbours; one number for each word goes to the driver."""
+    classes = len(n)
+    sent = cells.sparkSession.sparkContext.broadcast((of_word, n))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n = sent.value[0], sent.value[1].copy()
+        # Only the clustered classes: in a class that is nearly empty any word alone fits best, and all would go there at once.
+        own = np.arange(1, classes - ENDINGS)
+        for batch in batches:
+            new = []
+            words = batch.column("word").to_pylist()
+            for word, pairs in zip(words, batch.column("pairs").to_pylist()):
+                after, before, twice, old = np.zeros(classes), np.zeros(classes), 0.0, int(of[word])
+                for p in pairs:
+                    cell, k = p["cell"], p["n"]
+                    if cell < 0:
+                        twice = k
+                    elif cell < classes:
+                        after[cell] = k
+                    else:
+                        before[cell - classes] = k
+                n[old] -= after
+                n[:, old] -= before
+                n[old, old] -= twice
+                gain = gains(n, after, before, twice, own)
+                choice = int(own[np.argmax(gain)])
+                new.append(old if old < classes - ENDINGS and gain[choice - 1] <= gain[old - 1] + 1e-9 else choice)
+                n[old] += after
+                n[:, old] += before
+                n[old, old] += twice
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], ["word", "class"])
+
+    grouped = cells.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("pairs"))  # 2 x classes + 1 cells at most
+    rows = grouped.mapInArrow(best, "word long, class int").toArrow()
+    out = of_word.copy()
+    out[rows.column("word").to_numpy()] = rows.column("class").to_numpy()
+    return out
+
+
 @dataclass
 class Model:
     """What a task needs to score: all of fixed size."""
@@ -207,12 +319,17 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     number = {bytes(r["word"]): r["n"] for r in top}
     symbols = Symbols([bytes(r["word"]) for r in top])
     frequent = np.array([number.get(w, 0) for w in symbols.index], np.float64)
-    pairs = bigrams(docs, symbols, text_col)
-    of = exchange(pairs, symbols.clustered)
+    of = exchange(bigrams(docs, symbols, text_col), symbols.clustered)
     classes = int(of.max()) + 1
-    member = np.zeros((WIDTH, classes))
-    member[np.arange(WIDTH), of] = 1
-    n = member.T @ pairs @ member
+    movable = int(np.searchsorted(-frequent[1:], -MIN_COUNT, "right")) + 1  # frequent words come in order of their counts
+    of = symbols.single(of)
+    for _ in range(PARALLEL_ROUNDS):
+        n = class_bigrams(docs, symbols, of, classes, text_col)
+        if movable <= symbols.clustered + 1:
+            break
+        of = np.concatenate([of[:WIDTH], moved(written(neighbours(docs, symbols, of, movable, classes, text_col), "neighbours"), of[symbols.symbol], n)])
+    else:
+        n = class_bigrams(docs, symbols, of, classes, text_col)
     share = (n.sum(axis=0) + 1) / (n.sum() + classes)
     transition = np.log10((n + PRIOR * share) / (n.sum(axis=1, keepdims=True) + PRIOR))
     sent = docs.sparkSession.sparkContext.broadcast((symbols, of))
