@@ -4,6 +4,7 @@ import pytest
 
 from tests.llm.helpers import AWKWARD, documents
 from tidemark.llm import jaccard as module
+from tidemark.llm import simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -48,8 +49,14 @@ def _texts(seed=5):
 @pytest.mark.parametrize("small", [2, 8, 1000])
 def test_representatives_equal_brute_force(spark, small):
     texts = _texts()
-    kept = module.representatives(documents(spark, texts), small=small)
+    docs = documents(spark, texts)
+    kept = module.representatives(docs, small=small)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == _expected(texts)
+    if small == 8:
+        kept = simhash.similar_representatives(docs)
+        assert {r.doc_id for r in kept.select("doc_id").collect()} == _expected(texts)
+        links = simhash.similar_links(docs).collect()
+        assert len(links) > 20  # most near copies of the cluster come from SimHash
 
 
 def test_pipeline_stage_links_all_pairs_of_similarity_four_fifths(spark):

@@ -279,11 +279,21 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, text_col: str) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def classes(docs: DataFrame, rows: DataFrame, words: int = SHINGLE_WORDS, text_col: str = "text", small: int = SMALL_CELL) -> DataFrame:
-    """node and root, the smallest node of its component, of all nodes in ``rows`` (written by ``prefixes``)."""
+def classes(docs: DataFrame, rows: DataFrame, words: int = SHINGLE_WORDS, text_col: str = "text", small: int = SMALL_CELL, known: DataFrame | None = None) -> DataFrame:
+    """node and root, the smallest node of its component, of all nodes in ``rows`` (written by ``prefixes``).
+
+    known: links (a, b) that are verified already; pairs that they connect are not looked at again.
+    """
     parts = parallelism(docs)
     found = written(candidates(cells_of(rows), parts, small), "candidates")
-    edges = written(verified(docs, written(_enough(found.where("not large")), "pairs"), words, text_col), "edges")
+    pairs = _enough(found.where("not large"))
+    if known is not None:
+        roots = written(components(known), "roots")
+        for side in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    edges = verified(docs, written(pairs, "pairs"), words, text_col)
+    edges = written(edges if known is None else edges.unionByName(known), "edges")
     members = found.where("large").select("cell", F.col("a").alias("node"), "size")
     if members.limit(1).count():
         roots = written(components(edges), "roots")
@@ -297,7 +307,7 @@ def classes(docs: DataFrame, rows: DataFrame, words: int = SHINGLE_WORDS, text_c
     return rows.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_CELL) -> DataFrame:
+def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_CELL, known: DataFrame | None = None) -> DataFrame:
     """One row of ``docs``, all columns, from each component: that with the smallest id (null is the largest).
 
     Where ids repeat, rows of a component with the same smallest id are told apart by their columns, and the first stays.
@@ -305,7 +315,7 @@ def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     own = docs.select(key.alias("tidemark_key_"), F.col(text_col).alias("tidemark_text_"))
     rows = written(prefixes(own, words, "tidemark_key_", "tidemark_text_"), "prefixes")
-    roots = written(classes(docs, rows, words, text_col, small), "classes")
+    roots = written(classes(docs, rows, words, text_col, small, known), "classes")
     chosen = rows.select("id", "node").join(roots, "node").groupBy("root").agg(F.min("id").alias("tidemark_key_"))
     if not rows.groupBy("id").count().where("count > 1").limit(1).count():
         return docs.withColumn("tidemark_key_", key).join(chosen.select("tidemark_key_"), "tidemark_key_").select(*docs.columns)
