@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, sliced, utf8, written
+from tidemark.llm.common import buffer_of, documents, sliced, utf8, written
 
 HASH_BITS = 18
 FACTORS = 4
 TRAIN_ROWS = 24_000
 MIN_DOCS = 3
-MIN_SHARE = 1 / 1000
+MIN_SHARE = 1 / 200
 MIN_DEVIATION = 4.0
 SUPPORT = 48
 LEAST_PART = 0.2  # of a direction's largest part
@@ -170,7 +170,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray | None = No
     alone = [r[known[r]] for r in rows]
     _descend(machine, alone, labels, train, random, EPOCHS, False)
     candidates = np.flatnonzero(frequent(docs, len(train)))
-    fitted = [rows[i][frequent(docs, len(train))[rows[i]]] for i in train]
+    common = frequent(docs, len(train))
+    fitted = [rows[i][common[rows[i]]] for i in train]
     scale = np.zeros(size)
     scale[candidates] = 1 / np.sqrt(docs[candidates] + 0.02 * len(train))
     for k in range(FACTORS):
@@ -310,12 +311,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(c, np.uint32) for c in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c[known[c]].tobytes() for c in own], pa.binary())], ["mark_id", "rank", "mark", "columns"])
-
-    kept = sample.mapInArrow(only, sample.schema).collect()  # at most ``rows`` rows of the columns that may take part
-    kept.sort(key=lambda r: (r["rank"], r["mark_id"], bytes(r["columns"])))
-    columns = [np.frombuffer(r["columns"], np.uint32).astype(np.int64) for r in kept]
-    return fit(columns, np.array([r["mark"] for r in kept], np.float64), np.array([r["rank"] % 6 == 5 for r in kept]))
+            own = [c[known[c]].tobytes() for c in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary()), pa.array(map(zlib.crc32, own), pa.int64())], names)
+
+    names = ["mark_id", "rank", "mark", "columns", "crc"]
+    kept = sample.mapInArrow(only, f"mark_id {sample.schema['mark_id'].dataType.simpleString()}, rank long, mark int, columns binary, crc long").toArrow()  # at most ``rows`` rows of the columns that may take part
+    kept = kept.sort_by([("rank", "ascending"), ("mark_id", "ascending"), ("crc", "ascending")]).combine_chunks()
+    data, at = buffer_of(kept.column("columns"))
+    flat, at = data.view(np.uint32), at // 4
+    columns = [flat[b:e] for b, e in zip(at, at[1:])]  # slices of one buffer
+    return fit(columns, kept.column("mark").to_numpy().astype(np.float64), kept.column("rank").to_numpy() % 6 == 5)
 
 
 def scores(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text") -> DataFrame:
