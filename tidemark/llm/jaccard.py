@@ -1,21 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: prefix filter, size and position bounds, verification.
+"""Jaccard similarity of word shingles: names of texts, sets of shingles, and the exact check of pairs of texts.
 
-A text is the set of its shingles of ``SHINGLE_WORDS`` lower-case words (64-bit hashes; a shorter text is one shingle).  Two
-texts are linked iff the Jaccard similarity of their sets is 4/5 or more.  No pair is missed:
-
-1. Prefix filter.  All sets are put into one order.  Sets of n shingles with similarity 4/5 share one at least of their first
-   n - ceil(4n/5) + 1, so they meet in that shingle's cell.  Shingles that are frequent in a sample come last in the order,
-   so that they seldom make a cell; the sample decides about the work only, as any order is right.
-2. Bounds.  Of two sets of a cell, sizes and places of the common shingle bound the overlap; a pair that can't reach
-   9 * overlap >= 4 * (n + m), which is similarity 4/5, is left out.
-   A pair must also share as many cells as its prefixes need to share for that overlap.
-3. Verification.  Pairs meet the sets of their texts; only texts in a pair send their sets.
-
-A cell of over ``SMALL_CELL`` texts first compares each with the cell's least and with its neighbour.  After the components of
-the links so found, it compares all members that are not in the same component yet: a cluster of thousands of near copies
-costs no pairs of its own, and the components are those of all links.
-
-Texts with equal words are one node, named by a 64-bit hash.  Null and empty texts are one node too.
+A text is the set of its shingles of ``SHINGLE_WORDS`` lower-case words (64-bit hashes; a shorter text is one shingle).  Texts
+with equal words are one node, named by a 64-bit hash; null and empty texts are one node too.  Pairs come from SimHash; they
+meet the sets of their texts here, and only texts in a pair send their sets.
 """
 
 from __future__ import annotations
@@ -30,14 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import parallelism, sliced, utf8, written
-from tidemark.llm.components import components
+from tidemark.llm.common import sliced, utf8, written
 
 SHINGLE_WORDS = 5
 SEED = 42
-SMALL_CELL = 8
-SAMPLE_TEXTS = 20_000  # for the order of shingles
-MOST_FREQUENT = 1 << 18  # shingles that are moved to the order's end
 MAP_BITS = 26
 SLICE_BYTES = 2 << 20
 
@@ -65,188 +48,11 @@ def shingles(own: list[bytes], words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(hashes), np.int64))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-4 * n // 5) + 1 if n else 0
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have Jaccard similarity 4/5 or more."""
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def frequent(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
-    """Shingles in several texts of a sample, least frequent first."""
-    n = docs.count()
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, "bytes", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(words_of(t), words) for t in part.column(0).to_pylist()]))], ["shingle"])
-
-    share = min(1.0, SAMPLE_TEXTS / max(n, 1))
-    sample = docs.select(utf8(text_col).alias("bytes")).where(F.pmod(F.xxhash64("bytes"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = sample.mapInArrow(compute, "shingle long").groupBy("shingle").count().where("count > 2")
-    most = found.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()  # 4 MB at most
-    return most.column("shingle").to_numpy()[::-1].copy()
-
-
-def prefixes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, node, n (its shingles) and the first of them in the order, for every row."""
-    late = frequent(docs, words, text_col)
-    by = np.argsort(late)
-    sent = docs.sparkSession.sparkContext.broadcast((late[by], by + 1))
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ranks = sent.value
-        for batch in batches:
-            for part in sliced(batch, "bytes", SLICE_BYTES):
-                nodes, sizes, firsts = [], [], []
-                for text in part.column(1).to_pylist():
-                    own = words_of(text)
-                    found = shingles(own, words)
-                    nodes.append(node_of(own))
-                    sizes.append(len(found))
-                    if len(hashes):
-                        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                        found = found[np.argsort(np.where(hashes[at] == found, ranks[at], 0), kind="stable")]
-                    firsts.append(found[: prefix_length(len(found))].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())], ["id", "node", "n", "first"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("bytes"))
-    return rows.mapInArrow(compute, "id long, node long, n long, first binary")
-
-
-def cells_of(rows: DataFrame) -> DataFrame:
-    """cell, node and size (n in the upper half, the shingle's place in the lower) for each shingle of a prefix."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, "first", SLICE_BYTES):
-                own = [np.frombuffer(f, np.int64) for f in part.column("first").to_pylist()]
-                count = np.array([len(o) for o in own])
-                size = np.repeat(np.asarray(part.column("n")) << 32, count) + np.concatenate([np.arange(c) for c in count])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.asarray(part.column("node")), count)), pa.array(size.astype(np.int64))], ["cell", "node", "size"])
-
-    return rows.select("node", "n", "first").mapInArrow(spread, "cell long, node long, size long")
-
-
-def possible(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes with a common shingle at these places may have similarity 4/5."""
-    n, m, i, j = s >> 32, t >> 32, s & 0xFFFFFFFF, t & 0xFFFFFFFF
-    return 9 * (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1) >= 4 * (n + m)
-
-
-def shared(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """How many shingles the prefixes of sets of these sizes share at least, if their similarity is 4/5.
-
-    Up to the last shingle of the prefix that ends first, both sets have only prefix shingles; what they share after it is at
-    most what that set has left.
-    """
-    n, m = s >> 32, t >> 32
-    left = np.maximum(-(-4 * n // 5), -(-4 * m // 5)) - 1
-    return -(-4 * (n + m) // 9) - left
-
-
-def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows, so cut that no cell (the first column) is in two pieces; repeated nodes of a cell once."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        new = [np.asarray(batch.column(c)) for c in names]
-        if not len(new[0]):
-            continue
-        last = int(np.searchsorted(new[0], new[0][-1]))
-        if held and (last or held[-1][0][-1] != new[0][0]):
-            head = [np.concatenate([*(h[c] for h in held), new[c][:last]]) for c in range(len(names))]
-            held = []
-            yield _once(head)
-        elif last:
-            yield _once([c[:last] for c in new])
-        held.append([c[last:] for c in new])
-    if held:
-        yield _once([np.concatenate([h[c] for h in held]) for c in range(len(names))])
-
-
-def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
-    cell, node = columns[:2]
-    new = np.append(True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1]))
-    return [c[new] for c in columns]
-
-
-FOUND = "a long, b long, need long, cell long, size long, large boolean"
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-    zero = pa.array(np.zeros(len(a), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared(s, t)), zero, zero, pa.array(np.zeros(len(a), bool))], ["a", "b", "need", "cell", "size", "large"])
-
-
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, need; a row for each cell that they share) that share as many cells as they need."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
-
-
-def candidates(cells: DataFrame, parts: int, small: int) -> DataFrame:
-    """Pairs (a, b), a row for each shared cell; rows with ``large`` are the members (a, size) of large cells.
-
-    ``cell`` is zero for pairs from small cells, which are complete, and one for those from large cells.
-    """
-
-    def star(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.set_column(3, "cell", pa.array(np.ones(batch.num_rows, np.int64)))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, node, size in _whole_cells(batches, ["cell", "node", "size"]):
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            count = np.diff(np.append(first, len(cell)))
-            for step in range(1, min(small, int(count.max()))):
-                near = np.flatnonzero((cell[step:] == cell[:-step]) & possible(size[step:], size[:-step]))
-                if step > 1:
-                    near = near[np.repeat(count <= small, count)[near]]
-                if step == 1:
-                    of_large = np.repeat(count > small, count)[near]
-                    yield star(_pairs(node[near[of_large]], node[near[of_large] + 1], size[near[of_large]], size[near[of_large] + 1]))
-                    near = near[~of_large]
-                yield _pairs(node[near], node[near + step], size[near], size[near + step])
-            over = np.flatnonzero(np.repeat(count > small, count))
-            if len(over):
-                order = np.lexsort((node, cell))
-                least = np.repeat(order[first], count)[over]
-                other = (over != least) & possible(size[over], size[least])
-                yield star(_pairs(node[over[other]], node[least[other]], size[over[other]], size[least[other]]))
-                none = pa.array(np.zeros(len(over), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(node[over]), none, none, pa.array(cell[over]), pa.array(size[over]), pa.array(np.ones(len(over), bool))], ["a", "b", "need", "cell", "size", "large"])
-
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, FOUND)
-
-
-def crossing(members: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b, need) of members (cell, node, size, root) of a cell that are not in the same component."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, node, size, root in _whole_cells(batches, ["cell", "node", "size", "root"]):
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            for f, e in zip(first.tolist(), np.append(first[1:], len(cell)).tolist()):
-                own = root[f:e]
-                if (own == own[0]).all():
-                    continue
-                n = size[f:e] >> 32
-                a, b, held = [], [], 0  # places in this cell
-                ends = np.searchsorted(n, 5 * n // 4, "right")  # sorted by size: no larger set can reach 4/5
-                for k, end in enumerate(ends.tolist()):
-                    near = np.flatnonzero((own[k + 1 : end] != own[k]) & possible(size[f + k + 1 : f + end], size[f + k])) + k + 1
-                    a.append(np.full(len(near), f + k))
-                    b.append(f + near)
-                    held += len(near)
-                    if held > 1 << 16:
-                        yield _pairs(node[x := np.concatenate(a)], node[y := np.concatenate(b)], size[x], size[y])
-                        a, b, held = [], [], 0
-                if held:
-                    yield _pairs(node[x := np.concatenate(a)], node[y := np.concatenate(b)], size[x], size[y])
-
-    found = members.repartition(parts, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, FOUND)
-    return found.select("a", "b", "need")
-
-
 def verified(docs: DataFrame, pairs: DataFrame, words: int, text_col: str) -> DataFrame:
     """The pairs (a, b) whose texts have similarity 4/5 or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.col("node").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
@@ -279,50 +85,22 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, text_col: str) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def classes(docs: DataFrame, rows: DataFrame, words: int = SHINGLE_WORDS, text_col: str = "text", small: int = SMALL_CELL, known: DataFrame | None = None) -> DataFrame:
-    """node and root, the smallest node of its component, of all nodes in ``rows`` (written by ``prefixes``).
-
-    known: links (a, b) that are verified already; pairs that they connect are not looked at again.
-    """
-    parts = parallelism(docs)
-    found = written(candidates(cells_of(rows), parts, small), "candidates")
-    pairs = _enough(found.where("not large"))
-    if known is not None:
-        roots = written(components(known), "roots")
-        for side in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    edges = verified(docs, written(pairs, "pairs"), words, text_col)
-    edges = written(edges if known is None else edges.unionByName(known), "edges")
-    members = found.where("large").select("cell", F.col("a").alias("node"), "size")
-    if members.limit(1).count():
-        roots = written(components(edges), "roots")
-        rest = members.join(roots, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
-        rest = written(crossing(rest, parts), "crossing")
-        of_small = found.where("not large and cell = 0").select("a", "b", "need").join(rest.select("a", "b").distinct(), ["a", "b"], "left_semi")
-        rest = written(_enough(rest.unionByName(of_small)), "pairs")
-        if rest.limit(1).count():
-            edges = edges.unionByName(written(verified(docs, rest, words, text_col), "edges"))
-    roots = written(components(edges), "roots")
-    return rows.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_CELL, known: DataFrame | None = None) -> DataFrame:
+def kept(docs: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, all columns, from each component: that with the smallest id (null is the largest).
 
-    Where ids repeat, rows of a component with the same smallest id are told apart by their columns, and the first stays.
+    rows: id (null as the largest number) and node of every row; roots: node and root of the nodes that have a link.  Where ids
+    repeat, rows of a component with the same smallest id are told apart by their columns, and the first stays.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    own = docs.select(key.alias("tidemark_key_"), F.col(text_col).alias("tidemark_text_"))
-    rows = written(prefixes(own, words, "tidemark_key_", "tidemark_text_"), "prefixes")
-    roots = written(classes(docs, rows, words, text_col, small, known), "classes")
-    chosen = rows.select("id", "node").join(roots, "node").groupBy("root").agg(F.min("id").alias("tidemark_key_"))
+    own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = own.groupBy("root").agg(F.min("id").alias("tidemark_key_"))
     if not rows.groupBy("id").count().where("count > 1").limit(1).count():
         return docs.withColumn("tidemark_key_", key).join(chosen.select("tidemark_key_"), "tidemark_key_").select(*docs.columns)
     named = roots.withColumnRenamed("node", "tidemark_node_").withColumnRenamed("root", "tidemark_root_")
-    kept = _with_node(docs, text_col).withColumn("tidemark_key_", key).join(named, "tidemark_node_").join(chosen.withColumnRenamed("root", "tidemark_root_"), ["tidemark_root_", "tidemark_key_"])
+    all_ = _with_node(docs, text_col).withColumn("tidemark_key_", key).join(named, "tidemark_node_", "left").withColumn("tidemark_root_", F.coalesce("tidemark_root_", "tidemark_node_"))
+    all_ = all_.join(chosen.withColumnRenamed("root", "tidemark_root_"), ["tidemark_root_", "tidemark_key_"])
     order = Window.partitionBy("tidemark_root_", "tidemark_key_").orderBy(F.xxhash64(utf8(text_col)), F.to_json(F.struct(*docs.columns)))
-    return kept.withColumn("tidemark_row_", F.row_number().over(order)).where("tidemark_row_ = 1").select(*docs.columns)
+    return all_.withColumn("tidemark_row_", F.row_number().over(order)).where("tidemark_row_ = 1").select(*docs.columns)
 
 
 def _with_node(docs: DataFrame, text_col: str) -> DataFrame:

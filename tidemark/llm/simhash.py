@@ -216,34 +216,40 @@ def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
     return kept.withColumn("tidemark_row_", F.row_number().over(order)).where("tidemark_row_ = 1").select(*docs.columns)
 
 
-def similar_links(docs: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, text_col: str = "text", groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Links (a, b) between texts (nodes of ``jaccard``) that SimHash finds within ``bits`` and whose sets of shingles have similarity 0.8."""
+def named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id (null as the largest number), node (the text's words) and fp of every row; no shuffle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "bytes", 2 << 20):
-                texts = part.column(0).to_pylist()
+                texts = part.column(1).to_pylist()
                 nodes = [jaccard.node_of(jaccard.words_of(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fingerprint_texts(texts, words).view(np.int64))], ["node", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(fingerprint_texts(texts, words).view(np.int64))], ["id", "node", "fp"])
 
-    rows = written(docs.select(utf8(text_col).alias("bytes")).mapInArrow(compute, "node long, fp long").distinct(), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    return docs.select(key.alias("id"), utf8(text_col).alias("bytes")).mapInArrow(compute, "id long, node long, fp long")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, text_col: str = "text", groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """Links (a, b) between nodes of ``rows`` that SimHash finds within ``bits`` and whose sets of shingles have similarity 0.8."""
+    nodes = rows.select("node", "fp").distinct()
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     edges = links(prints.select("fp"), groups or grid_groups(prints.count()), bits, cell_limit)
-    same = rows.join(prints.where("n > 1"), "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    same = nodes.join(prints.where("n > 1"), "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     for side in ("a", "b"):
         edges = edges.join(prints.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), side)
     pairs = same.unionByName(edges.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
     return jaccard.verified(docs, written(pairs, "pairs"), words, text_col)
 
 
-def similar_representatives(docs: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", small: int = jaccard.SMALL_CELL) -> DataFrame:
-    """One row of ``docs``, all columns, from each group of texts linked by shingle similarity 0.8: that with the smallest id.
+def similar_representatives(docs: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, from each group of texts that SimHash links within ``bits`` and the sets of shingles confirm.
 
-    SimHash links what is close to a copy, verified on the sets of shingles.  No radius of a 64-bit fingerprint is sure to
-    hold all pairs of similarity 0.8, so a prefix filter then looks for the links between groups that are left.
+    No radius of a 64-bit fingerprint that the grid can search is sure to hold all pairs of similarity 0.8: see the README.
     """
-    known = written(similar_links(docs, words, bits, text_col), "similar-links")
-    return jaccard.representatives(docs, words, id_col, text_col, small, known)
+    rows = written(named(docs, words, id_col, text_col), "fingerprints")
+    edges = written(similar_links(docs, rows, words, bits, text_col), "similar-links")
+    return jaccard.kept(docs, rows, written(components(edges), "roots"), id_col, text_col)
 
 
 def _with_fingerprint(docs: DataFrame, words: int, text_col: str) -> DataFrame:
