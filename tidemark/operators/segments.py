@@ -127,7 +127,7 @@ def _application(marker: int, body: bytes, whole: bytes) -> tuple[bool, list[str
     if marker == 0xE0 and body[:5] == b"JFIF\0" and len(body) >= 14:
         return True, ["JFIF thumbnail"] * (len(body) > 14), b"\xff\xe0\0\x10" + body[:12] + b"\0\0"
     if marker == 0xE0:
-        return False, ["JFXX/APP0" if body[:5] == b"JFXX\0" else "APP0"], None
+        return False, ["APP0" if body[:5] == b"JFIF\0" else "JFXX/APP0"], None
     if marker == 0xE1:
         return False, ["EXIF", *exif_tokens(body[6:])] if body[:6] == b"Exif\0\0" else ["XMP"], None
     if marker == 0xE2 and body[:12] == b"ICC_PROFILE\0" and len(whole) <= PROFILE_BYTES or marker == 0xEE and body[:5] == b"Adobe":
@@ -292,7 +292,7 @@ def clean_cuesheet(body: bytes) -> bytes:
 
 
 # FLAC block types.
-FLAC_TOKENS = {2: "applicationMetadata", 4: "vorbisComment", 6: "flacPicture"}
+FLAC_TOKENS = {2: "application", 4: "vorbisComment", 6: "flacPicture"}
 
 
 def flac(b: bytes) -> Iterator[Segment]:

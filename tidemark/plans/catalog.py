@@ -451,7 +451,7 @@ def clean_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(spark, sf_dir, "gif", lambda t: _join(b"GIF89a\1\0\1\0\0\0\0", b"\x21\xfe", _blocks(t), b"\x21\xff\x0bICCRGBG1012\1x\0", b"\x2c\0\0\0\0\1\0\1\0\0\2", _blocks(t), b"\x3bafter"))
 
 
-@query("q_clean_flac", _expected("unhex('664C614380000022' || repeat('2A', 34)) || t", "id3,vorbisComment,applicationMetadata"))
+@query("q_clean_flac", _expected("unhex('664C614380000022' || repeat('2A', 34)) || t", "id3,vorbisComment,application"))
 def clean_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(spark, sf_dir, "flac", lambda t: _join(b"ID3\4\0\0\0\0\0\2xxfLaC\0\0\0\x22" + b"\x2a" * 34 + b"\4", _big(F.octet_length(t), 3), t, b"\2\0\0\4abcd\x81\0\0\2\0\0", t))
 
