@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
             context.setCheckpointDir(folder)
     return folder.rstrip("/")
