@@ -3,13 +3,13 @@
 1. Documents are tokenized once; ids wait in a shared table.
 2. Counts of all ids (at most the vocabulary) give code lengths by package-merge, at most ``MAX_BITS`` bits, and from the
    lengths alone the canonical code.  The file keeps the lengths, not the codes.
-3. Documents are range-partitioned and sorted by doc_id, coded there and packed into blocks of about
+3. Each document's ids are coded; then documents are range-partitioned and sorted by doc_id and packed into blocks of about
    ``BLOCK_IDS`` ids.  A block row holds its documents, their numbers of ids and the bit offset of a checkpoint at every
    document's start and every ``CHECKPOINT_IDS`` ids within one, so any block, and any run between checkpoints, decodes alone.
 4. Decoding reads one table entry per id for thousands of runs at a time.
 
 The file is a Parquet table of blocks beside a Parquet table of code lengths.  Null text is empty: the end id only.
-Repeated doc_ids stay apart, in the order of their number of ids and a hash of them; null doc_ids come first.
+Repeated doc_ids stay apart, in the order of their number of ids and a hash of their code; null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MADE, buffer_of, documents, parallelism, shared_dir, sliced, utf8, written
+from tidemark.llm.common import MADE, buffer_of, documents, forget, parallelism, shared_dir, sliced, utf8, written
 from tidemark.llm.words import word_ids
 
 TOKENIZER = "word_bpe_49k.json"
@@ -240,9 +240,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
             yield out()
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_n", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("doc_bits", pa.list_(pa.int64())), ("point_bits", pa.list_(pa.int64())), ("code", pa.binary())])
-    # The ids are dealt to ranges of doc_id as they are and coded there, so that finding the ranges reads no more than numbers.
-    # Rows that share an id are dealt by what follows it, so a repeated id doesn't fill one task.
-    ordered = ids.withColumn("h", F.xxhash64("id", "n", F.crc32("ids"))).repartitionByRange(parallelism(ids), "id", "n", "h").sortWithinPartitions("id", "n", "h", "ids").select("id", "n", "ids").mapInArrow(code, "id long, n long, points array<long>, code binary")
+    # Coded rows wait in a table of their own, so that finding the ranges reads no more than numbers.  Rows that share an id
+    # are dealt by what follows it, so a repeated id doesn't fill one task.
+    coded = ids.mapInArrow(code, "id long, n long, points array<long>, code binary").withColumn("h", F.xxhash64("code"))
+    parts, coded = parallelism(ids), written(coded, "coded", "none")
+    forget(ids)
+    ordered = coded.repartitionByRange(parts, "id", "n", "h").sortWithinPartitions("id", "n", "h", "code").drop("h")
     blocks = ordered.mapInArrow(block, BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
