@@ -5,7 +5,7 @@
    bigram model the most likelihood, until nothing moves.  Their bigram counts are a matrix of fixed size, summed over all
    training texts; every other word stands in it by its ending (a hash of its last two bytes, as words of a language and form
    share endings), and the end of a text is a class of its own.  Then all words of ``MIN_COUNT`` or more, as far as
-   the table of frequent words goes, are exchanged ``PARALLEL_ROUNDS`` times: Spark sums each word's neighbours by class, and tasks
+   the table of frequent words goes, are exchanged ``PARALLEL_ROUNDS`` times (once: a round costs two passes over the texts): Spark sums each word's neighbours by class, and tasks
    move every word to its best class against the class bigrams of the round.  Words below that keep the class of their ending.
 3. P(w | v) = P(class(w) | class(v)) P(w | class(w)).  Transitions are smoothed towards the class frequencies, emissions by
    ``DELTA`` for each known word and one unknown word of the class.
@@ -43,7 +43,7 @@ PRIOR = 5.0
 ROUNDS = 12
 HELD_WORDS = 600_000
 MIN_COUNT = 12
-PARALLEL_ROUNDS = 2
+PARALLEL_ROUNDS = 1
 HELD_CELLS = 4_000_000
 
 
@@ -319,16 +319,17 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     number = {bytes(r["word"]): r["n"] for r in top}
     symbols = Symbols([bytes(r["word"]) for r in top])
     frequent = np.array([number.get(w, 0) for w in symbols.index], np.float64)
-    of = exchange(bigrams(docs, symbols, text_col), symbols.clustered)
+    pairs = bigrams(docs, symbols, text_col)
+    of = exchange(pairs, symbols.clustered)
     classes = int(of.max()) + 1
+    member = np.zeros((WIDTH, classes))
+    member[np.arange(WIDTH), of] = 1
+    n = member.T @ pairs @ member
     movable = int(np.searchsorted(-frequent[1:], -MIN_COUNT, "right")) + 1  # frequent words come in order of their counts
     of = symbols.single(of)
-    for _ in range(PARALLEL_ROUNDS):
-        n = class_bigrams(docs, symbols, of, classes, text_col)
-        if movable <= symbols.clustered + 1:
-            break
-        of = np.concatenate([of[:WIDTH], moved(written(neighbours(docs, symbols, of, movable, classes, text_col), "neighbours"), of[symbols.symbol], n)])
-    else:
+    for _ in range(PARALLEL_ROUNDS if movable > symbols.clustered + 1 else 0):
+        cells = written(neighbours(docs, symbols, of, movable, classes, text_col), "neighbours")
+        of = np.concatenate([of[:WIDTH], moved(cells, of[symbols.symbol], n)])
         n = class_bigrams(docs, symbols, of, classes, text_col)
     share = (n.sum(axis=0) + 1) / (n.sum() + classes)
     transition = np.log10((n + PRIOR * share) / (n.sum(axis=1, keepdims=True) + PRIOR))
