@@ -35,6 +35,19 @@ def test_whole_path(spark):
     assert got[3].error == "unsupported_without_tool" and got[7].error_category == "metadata_tool" and got[7].message and bytes(got[6].cleaned) == b"hi"
 
 
+def test_refused_files_are_not_cleaned(spark):
+    from tests.test_packages import stored_package
+
+    crowded = docx(*((f"word/media/{i}.png", b"x") for i in range(2_100)))
+    loose = stored_package([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", b"<d/>")])
+    rows = [(1, "a.docx", bytearray(docx())), (2, "a.docx", bytearray(crowded)), (3, "a.docx", bytearray(loose)), (4, "a.xlsx", bytearray(docx())), (5, "a.docx", bytearray(b"PK\3\4junk")), (6, "a.png", bytearray(b"GIF89a\1\0\1\0\0\0\0\x3b")), (7, "../a.txt", bytearray(b"hi")), (8, "a.txt", bytearray(b"hello there")), (9, "", None)]
+    files = spark.createDataFrame(rows, "file_id long, name string, content binary")
+    got = {r.file_id: r for r in hygiene.clean(files, {"document": 10}).collect()}
+    assert {i: r.error for i, r in got.items()} == {1: "file_too_large", **dict.fromkeys((2, 3, 4, 5, 6), "suspicious_file"), 7: "invalid_filename", 8: "file_too_large", 9: "invalid_filename"}
+    assert all(r.cleaned is None and r.error_category == "validation" and r.message for r in got.values())
+    assert {r.file_id for r in hygiene.clean(files).where("ok").collect()} == {1, 8}
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "local_session", lambda: spark)
     (tmp_path / "a.mp3").write_bytes(b"ID3\3\0\0\0\0\0\0" + FRAMES)

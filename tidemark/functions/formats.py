@@ -184,6 +184,15 @@ def browser_kind(name: Column, content: Column) -> Column:
     )
 
 
+def refusal_message(code: Column) -> Column:
+    return (
+        F.when(code == "invalid_filename", "The file name is not valid.")
+        .when(code == "suspicious_file", "The content does not match the file's name.")
+        .when(code == "unsupported_format", "The format is not supported.")
+        .when(code == "file_too_large", "The file is too large.")
+    )
+
+
 def validated(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """The validation ladder over ``files`` (file_id, name, content, and optionally mime and packaged).
 
@@ -226,12 +235,6 @@ def validated(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame
         .when(size > cap, "file_too_large")
         .when(known_mime & ~F.array_contains("mime_types", F.lower("mime")), "suspicious_file")
     )
-    message = (
-        F.when(code == "invalid_filename", "The file name is not valid.")
-        .when(code == "suspicious_file", "The content does not match the file's name.")
-        .when(code == "unsupported_format", "The format is not supported.")
-        .when(code == "file_too_large", "The file is too large.")
-    )
     upload = F.struct("category", "format", F.col("ext_").alias("extension"), F.col("ext_").alias("output_extension"), F.col("mime_types")[0].alias("mime_type"), size.alias("size"))
-    out = out.withColumn("error_code", code).withColumn("error_message", message)
+    out = out.withColumn("error_code", code).withColumn("error_message", refusal_message(F.col("error_code")))
     return out.withColumn("upload", F.when(F.col("error_code").isNull(), upload)).drop("ext_", "magic_", "format", "category", "extensions", "mime_types")

@@ -24,6 +24,7 @@ class Segments:
 
     def eval(self, content: bytes, kind: str) -> Iterator[tuple]:
         try:
+            segments._need(kind in segments.READERS, "unknown kind")
             found = list(segments.READERS[kind](bytes(content or b"")))
         except segments.Damaged as error:
             yield 0, "error", 0, len(content or b""), False, str(error)

@@ -10,13 +10,15 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 from xml.dom import minidom
 from xml.parsers.expat import ExpatError
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import resolve_target
@@ -47,6 +49,9 @@ MIMETYPES = {
     "epub": "application/epub+zip",
 }
 
+# Fixed value: folders of which an EPUB must have one.
+BOOK = "^(OEBPS|OPS|EPUB)/"
+
 # Empty property parts, by the end of their relationship's type.
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n'
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/metadata/core-properties"
@@ -332,38 +337,76 @@ def entries(files: DataFrame, id_col: str = "file_id", content_col: str = "conte
     return files.select(F.col(id_col).cast("long").alias("file_id"), F.coalesce(F.col(content_col), F.lit(b"")).alias("content")).mapInArrow(read, ENTRY_SCHEMA)
 
 
+def _fits(entries: Column, usize: Column, csize: Column, bad: Column) -> Column:
+    ok = ~bad & entries.between(1, MOST_ENTRIES) & (usize <= MOST_BYTES) & (usize <= MOST_RATIO * F.greatest(csize, F.lit(1)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _complete(format: Column, has: Callable[[str], Column], mime: Column, book: Column) -> Column:
+    """Whether a package has the parts of its format; ``has`` tells whether it holds a name."""
+    out = F.lit(False)
+    for name, parts in REQUIRED.items():
+        good = reduce(and_, map(has, parts))
+        if name in MIMETYPES:
+            good = good & mime.eqNullSafe(F.lit(MIMETYPES[name]))
+        out = F.when(format == name, good & book if name == "epub" else good).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
 def within_limits(rows: DataFrame) -> DataFrame:
     """file_id, entries, usize, csize and ok: the limits of an upload, over rows of ``entries``."""
     found = rows.groupBy("file_id").agg(F.count("name").alias("entries"), F.sum("usize").alias("usize"), F.sum("csize").alias("csize"), F.bool_or(F.col("error").isNotNull() | ((F.col("csize") == 0) & (F.col("usize") > 0))).alias("bad"))
-    ok = ~F.col("bad") & F.col("entries").between(1, MOST_ENTRIES) & (F.col("usize") <= MOST_BYTES) & (F.col("usize") <= MOST_RATIO * F.greatest("csize", F.lit(1)))
-    return found.select("file_id", "entries", "usize", "csize", F.coalesce(ok, F.lit(False)).alias("ok"))
+    return found.select("file_id", "entries", "usize", "csize", _fits(F.col("entries"), F.col("usize"), F.col("csize"), F.col("bad")).alias("ok"))
 
 
 def has_required_parts(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """The rows of ``files`` (file_id, format) whose package has all parts of its format: a semi join on counts of matched parts."""
-    spark = rows.sparkSession
-    dim = spark.createDataFrame([(f, p) for f, parts in REQUIRED.items() for p in parts], "format string, part string")
-    wanted = dim.groupBy("format").agg(F.count("*").alias("parts"))
-    matched = files.join(F.broadcast(dim), "format").join(rows.select("file_id", F.col("name").alias("part")), ["file_id", "part"]).groupBy("file_id").agg(F.count_distinct("part").alias("parts"), F.first("format").alias("format"))
-    full = matched.join(F.broadcast(wanted), ["format", "parts"], "left_semi")
-    mime = spark.createDataFrame(list(MIMETYPES.items()), "format string, mime string")
-    declared = rows.where("name = 'mimetype' and method = 0").select("file_id", F.decode("head", "UTF-8").alias("mime"))
-    typed = files.join(declared, "file_id").join(F.broadcast(mime), ["format", "mime"], "left_semi")
-    book = rows.where(F.col("name").rlike("^(OEBPS|OPS|EPUB)/")).select("file_id").distinct()
-    needs = files.where(F.col("format").isin(list(REQUIRED))).join(full.select("file_id"), "file_id", "left_semi")
-    typed_needs = needs.where(F.col("format").isin(list(MIMETYPES))).join(typed.select("file_id"), "file_id", "left_semi")
-    return (
-        needs.where(~F.col("format").isin(list(MIMETYPES)))
-        .unionByName(typed_needs.where("format <> 'epub'"))
-        .unionByName(typed_needs.where("format = 'epub'").join(book, "file_id", "left_semi"))
+    """The rows of ``files`` (file_id, format) whose package has all parts of its format: one aggregate over its entries, one join."""
+    parts = sorted({p for own in REQUIRED.values() for p in own})
+    found = rows.groupBy("file_id").agg(
+        *(F.bool_or(F.col("name") == p).alias(f"part_{i}_") for i, p in enumerate(parts)),
+        F.max(F.when((F.col("name") == "mimetype") & (F.col("method") == 0), F.decode("head", "ISO-8859-1"))).alias("mime_"),
+        F.bool_or(F.col("name").rlike(BOOK)).alias("book_"),
     )
+    complete = _complete(F.col("format"), lambda p: F.col(f"part_{parts.index(p)}_"), F.col("mime_"), F.col("book_"))
+    return files.join(found, "file_id").where(complete).select(*files.columns)
+
+
+def directory(content: Column) -> Column:
+    """The entries of a package as an array (head: the text of a small stored one); null for what can't be read."""
+
+    @F.arrow_udf("array<struct<name:string,method:int,csize:bigint,usize:bigint,head:string>>")
+    def read(content: pa.Array) -> pa.Array:
+        entry = pa.struct([("name", pa.string()), ("method", pa.int32()), ("csize", pa.int64()), ("usize", pa.int64()), ("head", pa.string())])
+        out = []
+        for b in content.to_pylist():
+            try:
+                out.append(None if b is None else [(e.name, e.method, e.csize, e.usize, e.data.decode("latin-1") if e.method == 0 and e.csize <= 256 else None) for e in read_entries(b)])
+            except (Damaged, struct.error):
+                out.append(None)
+        return pa.array(out, pa.list_(entry))
+
+    return read(content)
+
+
+def is_acceptable(format: Column, listing: Column) -> Column:
+    """Whether a package with this ``directory`` keeps the limits of an upload and has the parts of its format; no shuffle."""
+    total = lambda field: F.aggregate(listing, F.lit(0).cast("long"), lambda n, e: n + e[field])
+    limits = _fits(F.size(listing), total("usize"), total("csize"), F.exists(listing, lambda e: (e["csize"] == 0) & (e["usize"] > 0)))
+    mime = F.get(F.filter(listing, lambda e: (e["name"] == "mimetype") & (e["method"] == 0)), F.lit(0))["head"]
+    return limits & _complete(format, lambda p: F.exists(listing, lambda e: e["name"] == p), mime, F.exists(listing, lambda e: e["name"].rlike(BOOK)))
+
+
+def with_contiguity(rows: DataFrame, header_bytes: int = 30) -> DataFrame:
+    """``rows`` with ok: whether each entry of the package begins where the ones before it end; one shuffle."""
+    package = Window.partitionBy("file_id")
+    before = package.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    expected = F.coalesce(F.sum(F.lit(header_bytes) + F.octet_length("name") + F.col("csize")).over(before), F.lit(0))
+    return rows.withColumn("fits_", expected == F.col("local_offset")).withColumn("ok", F.bool_and("fits_").over(package)).drop("fits_")
 
 
 def contiguous(rows: DataFrame, header_bytes: int = 30) -> DataFrame:
     """file_id and ok: each entry begins where the ones before it end (a running sum)."""
-    before = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    expected = F.coalesce(F.sum(F.lit(header_bytes) + F.octet_length("name") + F.col("csize")).over(before), F.lit(0))
-    return rows.withColumn("fits_", expected == F.col("local_offset")).groupBy("file_id").agg(F.bool_and("fits_").alias("ok"))
+    return with_contiguity(rows, header_bytes).groupBy("file_id").agg(F.bool_and("ok").alias("ok"))
 
 
 def unique_names(rows: DataFrame, archive: str = "archive", name: str = "name", order: str = "pos") -> DataFrame:

@@ -269,9 +269,8 @@ def zip_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed 64 to an archive by the package writer, read again entry by entry."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.floor(F.col("doc_id") / 64).alias("archive"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("content"), F.col("doc_id").alias("pos"))
-    entries = packages.entries(packages.archives(rows), "archive", "data")
-    ok = packages.contiguous(entries)
-    return entries.join(ok, "file_id").select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("doc_id"), "local_offset", "ok")
+    entries = packages.with_contiguity(packages.entries(packages.archives(rows), "archive", "data"))
+    return entries.select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("doc_id"), "local_offset", "ok")
 
 
 @query(
@@ -529,6 +528,24 @@ def whole_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("file_id", "ok", "strategy", "summary")
 
 
+@query(
+    "q_hygiene_refusals",
+    "SELECT doc_id AS file_id, doc_id % 6 = 0 AS ok, CASE doc_id % 6 WHEN 1 THEN 'suspicious_file' WHEN 2 THEN 'invalid_filename' WHEN 3 THEN 'unsupported_format' WHEN 4 THEN 'suspicious_file' WHEN 5 THEN 'unsupported_format' END AS error, CASE WHEN doc_id % 6 IN (1, 4) THEN 'The content does not match the file''s name.' WHEN doc_id % 6 = 2 THEN 'The file name is not valid.' WHEN doc_id % 6 IN (3, 5) THEN 'The format is not supported.' END AS message FROM documents",
+)
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a whole package, one without its main part, and files whose names or contents don't fit, through the whole path."""
+    docs = table(spark, sf_dir, "documents")
+    k, text = F.col("doc_id") % 6, F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    main = F.when(k == 0, "word/document.xml").otherwise("word/other.xml")
+    parts = [(F.lit("[Content_Types].xml"), F.lit(b"<Types/>")), (F.lit("_rels/.rels"), F.lit(b"<Relationships/>")), (main, _join(b"<w:doc>", text, b"</w:doc>"))]
+    rows = docs.where(k <= 1).select(F.col("doc_id").alias("archive"), F.inline(F.array(*(F.struct(F.lit(i).alias("pos"), n.alias("name"), c.alias("content")) for i, (n, c) in enumerate(parts)))))
+    built = packages.archives(rows).select(F.col("archive").cast("long").alias("file_id"), F.lit("a.docx").alias("name"), F.col("data").alias("content"))
+    name = F.when(k == 2, "a..txt").when(k == 3, "a.png").when(k == 4, "a.jpg").otherwise("a.xyz")
+    content = F.when(k == 4, _join(b"\x89PNG\r\n\x1a\n", text)).otherwise(_join(b"text ", text))
+    others = docs.where(k > 1).select(F.col("doc_id").alias("file_id"), name.alias("name"), content.alias("content"))
+    return hygiene.clean(built.unionByName(others)).select("file_id", "ok", "error", "message")
+
+
 @query("q_verify_packages", "SELECT doc_id, doc_id % 3 = 0 AS accepted FROM documents")
 def verify_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages around every text: cleaned ones are accepted, dirty ones and those with bytes behind their end are not."""

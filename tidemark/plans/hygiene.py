@@ -1,4 +1,4 @@
-"""The whole path of a file: validate, inspect, clean, verify, report; one Python stage, no shuffle."""
+"""The whole path of a file: validate, inspect, clean, verify, report; no shuffle."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.formats import browser_kind, extension
+from tidemark.functions.formats import browser_kind, extension, looks_like_zip, refusal_message, validated
 from tidemark.functions.rules import failure_message, key_categories, summary, tokens_categories
 from tidemark.operators import inspection, markup, packages, segments, verification
 from tidemark.operators.segments import Damaged
@@ -41,26 +41,36 @@ def clean_one(content: bytes, kind: str | None) -> tuple[bytes | None, list[str]
         return None, [], keys, "unsafe_svg" if kind == "svg" else "metadata_tool", str(error)
 
 
-def clean(files: DataFrame) -> DataFrame:
+def checked(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """file_id, name, content and error_code (null: accepted): the validation ladder, with limits and parts of packages."""
+    rows = files.select(F.col("file_id").cast("long").alias("file_id"), "name", F.coalesce("content", F.lit(b"")).alias("content"))
+    rows = rows.withColumn("listing_", packages.directory(F.when(looks_like_zip(F.col("content")), F.col("content"))))
+    rows = rows.withColumn("packaged", packages.is_acceptable(extension(F.col("name")), F.col("listing_"))).drop("listing_")
+    return validated(rows, caps).select("file_id", "name", "content", "error_code")
+
+
+def clean(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """file_id, name, kind, ok, strategy, cleaned, removed, removed_categories, summary, error_category, error and message.
 
-    files: file_id, name, content.  Kinds come from names and contents; BMP files are copied, as they hold no metadata.
+    files: file_id, name, content; caps: most bytes by category.  Files that the validation ladder refuses have the category
+    ``validation`` and are not read further.  Kinds come from names and contents; BMP files are copied, as they hold no metadata.
     """
     ship(files.sparkSession)
-    typed = files.withColumn("kind", F.when((extension(F.col("name")) == "bmp") & F.startswith(F.col("content"), F.lit(b"BM")), "bmp").otherwise(browser_kind(F.col("name"), F.coalesce(F.col("content"), F.lit(b"")))))
+    typed = checked(files, caps).withColumn("kind", F.when((extension(F.col("name")) == "bmp") & F.startswith(F.col("content"), F.lit(b"BM")), "bmp").otherwise(browser_kind(F.col("name"), F.coalesce(F.col("content"), F.lit(b"")))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file_id", "name", "kind", "cleaned", "removed", "keys", "error_category", "error"]
         kinds = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string())
         for batch in batches:
-            out = [clean_one(c, k) for k, c in zip(batch.column("kind").to_pylist(), batch.column("content").to_pylist())]
+            given = zip(batch.column("kind").to_pylist(), batch.column("content").to_pylist(), batch.column("refusal").to_pylist())
+            out = [(None, [], [], "validation", r) if r else clean_one(c, k) for k, c, r in given]
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 
-    rows = typed.select(F.col("file_id").cast("long").alias("file_id"), "name", "kind", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(work, "file_id long, name string, kind string, cleaned binary, removed array<string>, keys array<string>, error_category string, error string")
+    rows = typed.select("file_id", "name", "kind", F.when(F.col("error_code").isNull(), F.col("content")).otherwise(F.lit(b"")).alias("content"), F.col("error_code").alias("refusal")).mapInArrow(work, "file_id long, name string, kind string, cleaned binary, removed array<string>, keys array<string>, error_category string, error string")
     table = F.create_map(*(F.lit(x) for pair in STRATEGIES.items() for x in pair))
     ok, categories = F.col("error").isNull(), tokens_categories(F.col("removed"))
     return rows.select(
         "file_id", "name", "kind", ok.alias("ok"), F.when(ok, table[F.col("kind")]).alias("strategy"), "cleaned", "removed", categories.alias("removed_categories"), key_categories(F.col("keys")).alias("found_categories"),
-        F.when(ok, summary(F.size("removed"), categories)).alias("summary"), "error_category", "error", F.when(~ok, failure_message(F.col("error_category"))).alias("message"),
+        F.when(ok, summary(F.size("removed"), categories)).alias("summary"), "error_category", "error", F.when(~ok, F.when(F.col("error_category") == "validation", refusal_message(F.col("error"))).otherwise(failure_message(F.col("error_category")))).alias("message"),
     )
