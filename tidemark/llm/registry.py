@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import brown, decontaminate, huffman, langid, mpegaudio, packing, simhash, suffixes, tokens, toxicity
+from tidemark.llm import brown, decontaminate, huffman, langid, mpegaudio, packing, simhash, suffixes, tokens, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_brown_scores": brown.op8_brown_scores,
         "op9_simhash_neardup": simhash.op9_simhash_neardup,
         "op10_huffman_ids": huffman.op10_huffman_ids,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
