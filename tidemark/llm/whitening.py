@@ -3,7 +3,7 @@
 1. Vectors become integers, a coordinate c as ``floor(SCALE * c) + SHIFT``, so that sums and distances are exact.  They are
    written once as blocks of ``BLOCK_ROWS`` rows, each a little-endian matrix, and every later pass reads these blocks.
 2. One pass is the product V Q of the covariance V with a thin matrix Q: each task adds up ``Xc' (Xc Q)`` over its centred
-   blocks, Spark sums the tasks' rows by dimension, and dimension x columns numbers reach the driver, whatever the row count.
+   blocks, Spark adds the tasks' sums by ``FAN_IN``, and so many matrices of dimension x columns at most reach the driver.
 3. A filter is the three-term recurrence of the Chebyshev polynomial on the unwanted part of the spectrum, one pass a degree;
    its degree follows from the gap found by the round before.  QR and a Rayleigh-Ritz step follow, and their residuals
    ``V u - e u`` decide: below ``TOLERANCE`` of the largest eigenvalue, or as low as rounding lets them fall, they certify.
@@ -31,11 +31,13 @@ from tidemark.session import ship
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
 #: Columns iterated beyond those wanted: the gap behind them sets the speed.
-GUARD = 16
+GUARD = 24
+#: Partial sums that one task, or the driver, adds up.
+FAN_IN = 64
 BLOCK_ROWS = 4096
 #: Coordinates above this lose exactness in doubles.
 MOST = float(1 << 40)
-TOLERANCE, ACCEPTED = 2e-15, 1e-11
+TOLERANCE, ACCEPTED, AIM = 2e-14, 1e-11, 2e-15
 MAX_DEGREE, MAX_ROUNDS = 40, 60
 #: Eigenvalues below this share of the largest are zero.
 RANK = 1e-12
@@ -80,6 +82,7 @@ class Fit:
     vectors: np.ndarray | None = None
     values: np.ndarray | None = None
     trace: float = 0.0
+    tasks: int = 1
     passes: int = 0
     residual: float = 0.0
 
@@ -94,23 +97,24 @@ class Fit:
         return (x - whole) - rest
 
 
-def summed(table: DataFrame, of, rows: int, columns: int) -> np.ndarray:
-    """Sum over all blocks of the matrix ``of(block)``, rows x columns: added up in each task, then by row on Spark."""
-    names = [f"c{j}" for j in range(columns)]
+def summed(table: DataFrame, of, rows: int, columns: int, tasks: int) -> np.ndarray:
+    """Sum over all blocks of the matrix ``of(block)``, rows x columns: within each task, then by ``FAN_IN`` tasks on Spark until so few are left."""
 
-    def work(batches):
+    def added(found):
         total = None
-        for batch in batches:
-            for x in matrices(batch):
-                part = of(x)
-                total = part if total is None else total + part
+        for part in found:
+            total = part if total is None else total + part
         if total is not None:
-            yield pa.record_batch([pa.array(np.arange(rows), pa.int32()), *[pa.array(np.ascontiguousarray(total[:, j])) for j in range(columns)]], ["i", *names])
+            yield pa.record_batch([pa.array([np.ascontiguousarray(total, np.float64).tobytes()])], ["m"])
+
+    def read(data):
+        return np.frombuffer(data, np.float64).reshape(rows, columns)
 
-    kind = "double" if columns else "long"
-    parts = table.mapInArrow(work, ", ".join(["i int", *[f"{c} {kind}" for c in names]]))
-    found = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).orderBy("i").toArrow()
-    return np.column_stack([found.column(c).to_numpy() for c in names]) if found.num_rows else np.zeros((rows, columns))
+    parts = table.mapInArrow(lambda batches: added(of(x) for batch in batches for x in matrices(batch)), "m binary")
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.repartition(tasks).mapInArrow(lambda batches: added(read(m) for batch in batches for m in batch.column(0).to_pylist()), "m binary")
+    return sum((read(r.m) for r in parts.collect()), np.zeros((rows, columns)))
 
 
 def counted(table: DataFrame) -> Fit | None:
@@ -127,7 +131,7 @@ def counted(table: DataFrame) -> Fit | None:
         return None
     if len({r.n for r in found}) > 1:
         raise ValueError("vectors of different lengths")
-    return Fit(int(found[0].n), [int(r.s) for r in found])
+    return Fit(int(found[0].n), [int(r.s) for r in found], tasks=table.rdd.getNumPartitions())
 
 
 def product(table: DataFrame, fit: Fit, q: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def product(table: DataFrame, fit: Fit, q: np.ndarray) -> np.ndarray:
         own = (x - whole) - rest
         return own.T @ (own @ q)
 
-    return summed(table, of, *q.shape) / fit.n
+    return summed(table, of, *q.shape, fit.tasks) / fit.n
 
 
 def filtered(times, q: np.ndarray, vq: np.ndarray, degree: int, bound: float, top: float) -> np.ndarray:
@@ -162,7 +166,7 @@ def components(table: DataFrame, fit: Fit, wanted: int = COMPONENTS, guard: int
         own = (x - whole_rest[0]) - whole_rest[1]
         return np.array([[np.einsum("ij,ij->", own, own)]])
 
-    fit.trace = float(summed(table, squares, 1, 1)[0, 0]) / fit.n
+    fit.trace = float(summed(table, squares, 1, 1, fit.tasks)[0, 0]) / fit.n
     columns = min(d, wanted + guard)
     if fit.trace <= 0:
         fit.vectors, fit.values = np.zeros((d, 0)), np.zeros(0)
@@ -182,7 +186,7 @@ def components(table: DataFrame, fit: Fit, wanted: int = COMPONENTS, guard: int
         last = fit.residual
         bound = max(float(values[-1]), RANK * values[0])
         gap = math.acosh(max(1 + 1e-9, 2 * values[kept - 1] / bound - 1))
-        degree = min(MAX_DEGREE, max(2, math.ceil(math.acosh(max(2.0, fit.residual / 1e-16)) / gap)))
+        degree = min(MAX_DEGREE, max(2, math.ceil(math.acosh(max(2.0, fit.residual / AIM)) / gap)))
         q = np.linalg.qr(filtered(lambda y: product(table, fit, y), q, vq, degree, bound, float(values[0])))[0]
     raise ArithmeticError(f"no convergence: residual {fit.residual} after {fit.passes} passes")
 
@@ -228,13 +232,13 @@ def identity_error(table: DataFrame, fit: Fit) -> float:
     if not k:
         return 0.0
     basis, (whole, rest) = fit.vectors / np.sqrt(fit.values), fit.centre
-    mean = summed(table, lambda x: (((x - whole) - rest) @ basis).sum(axis=0, keepdims=True), 1, k) / fit.n
+    mean = summed(table, lambda x: (((x - whole) - rest) @ basis).sum(axis=0, keepdims=True), 1, k, fit.tasks) / fit.n
 
     def products(x):
         own = ((x - whole) - rest) @ basis - mean
         return own.T @ own
 
-    return float(np.abs(summed(table, products, k, k) / fit.n - np.eye(k)).max())
+    return float(np.abs(summed(table, products, k, k, fit.tasks) / fit.n - np.eye(k)).max())
 
 
 def whiten(vectors: DataFrame, wanted: int = COMPONENTS, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, Fit | None]:
