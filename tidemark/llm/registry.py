@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import brown, chat, decontaminate, huffman, langid, mpegaudio, packing, simhash, suffixes, tokens, toxicity, whitening
+from tidemark.llm import brown, chat, decontaminate, huffman, langid, mpegaudio, packing, phrases, simhash, suffixes, tokens, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_brown_scores": brown.op8_brown_scores,
         "op9_simhash_neardup": simhash.op9_simhash_neardup,
         "op10_huffman_ids": huffman.op10_huffman_ids,
+        "op11_phrase_collocations": phrases.op11_phrase_collocations,
         "op12_chat_formatting": chat.op12_chat_formatting,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_phrase_collocations": phrases.ORACLE_SQL}
