@@ -63,3 +63,15 @@ def test_few_and_no_vectors(spark):
 def test_different_lengths_are_refused(spark):
     with pytest.raises(Exception, match="vectors of"):
         whitening.whiten(table(spark, [(1, [1.0, 2.0]), (2, [3.0])], 1))
+
+
+def test_one_vector_with_a_third_of_all_rows(spark):
+    """One eigenvalue far above the rest: it is locked, and the others converge to the same accuracy."""
+    rng = np.random.default_rng(4)
+    own = (rng.standard_normal((600, 64)) + 0.0).tolist()
+    hot = (20 * rng.standard_normal(64)).tolist()
+    found, fit = whitening.whiten(table(spark, enumerate(own + [hot] * 300)))
+    assert found.first().identity_error < 1e-10 and fit.passes < 100
+    _, _, x, values, basis = by_numpy(own + [hot] * 300)
+    assert np.allclose(fit.values, values[:32], rtol=1e-10)
+    assert np.allclose(np.abs((fit.vectors * basis[:, :32]).sum(axis=0)), 1, atol=1e-9)

@@ -7,6 +7,7 @@
 3. A filter is the three-term recurrence of the Chebyshev polynomial on the unwanted part of the spectrum, one pass a degree;
    its degree follows from the gap found by the round before.  QR and a Rayleigh-Ritz step follow, and their residuals
    ``V u - e u`` decide: below ``TOLERANCE`` of the largest eigenvalue, or as low as rounding lets them fall, they certify.
+   Certified leading pairs are locked and taken out of V.
 4. A last pass writes each row's whitened coordinates.
 
 Dropped: null vectors and vectors with a null or non-finite entry.  Kept: repeated rows, repeated and null ids.  Vectors of
@@ -38,7 +39,9 @@ BLOCK_ROWS = 4096
 #: Coordinates above this lose exactness in doubles.
 MOST = float(1 << 40)
 TOLERANCE, ACCEPTED, AIM = 2e-14, 1e-11, 2e-15
-MAX_DEGREE, MAX_ROUNDS = 40, 60
+MAX_DEGREE, MAX_ROUNDS = 40, 100
+#: A filter may raise the largest eigenvalue so much above the last wanted one; more would drown the latter in rounding.
+SPREAD = 1e8
 #: Eigenvalues below this share of the largest are zero.
 RANK = 1e-12
 
@@ -167,27 +170,41 @@ def components(table: DataFrame, fit: Fit, wanted: int = COMPONENTS, guard: int
         return np.array([[np.einsum("ij,ij->", own, own)]])
 
     fit.trace = float(summed(table, squares, 1, 1, fit.tasks)[0, 0]) / fit.n
-    columns = min(d, wanted + guard)
     if fit.trace <= 0:
         fit.vectors, fit.values = np.zeros((d, 0)), np.zeros(0)
         return fit
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((d, columns)))[0]
+    done, known = np.zeros((d, 0)), np.zeros(0)  # certified eigenpairs: taken out of V, so that the filter damps them
+
+    def outside(y):
+        return y - done @ (done.T @ y)
+
+    def times(y):
+        return product(table, fit, y) - done @ (known[:, None] * (done.T @ y))
+
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((d, min(d, wanted + guard))))[0]
     last = math.inf
     for _ in range(MAX_ROUNDS):
-        vq = product(table, fit, q)
+        vq = times(q)
         values, turn = np.linalg.eigh((q.T @ vq + vq.T @ q) / 2)
         values, turn = values[::-1], turn[:, ::-1]
         q, vq = q @ turn, vq @ turn
-        kept = int(np.sum(values[:wanted] > RANK * values[0]))
-        fit.residual = float(np.linalg.norm(vq - q * values, axis=0)[:kept].max()) / values[0]
-        if fit.residual <= TOLERANCE or (fit.residual <= ACCEPTED and fit.residual > last / 2):
-            fit.vectors, fit.values = q[:, :kept], values[:kept]
+        top = max([*known, values[0]])
+        kept = int(np.sum(values[: wanted - len(known)] > RANK * top))
+        residuals = np.linalg.norm(vq - q * values, axis=0)[:kept] / top
+        fit.residual = float(residuals.max(initial=0))
+        fine = kept if fit.residual <= ACCEPTED and fit.residual > last / 2 else int(np.argmax([*(residuals > TOLERANCE), True]))
+        done, known = np.hstack([done, q[:, :fine]]), np.append(known, values[:fine])
+        if fine == kept:
+            order = np.argsort(-known, kind="stable")
+            fit.vectors, fit.values = done[:, order], known[order]
             return fit
-        last = fit.residual
-        bound = max(float(values[-1]), RANK * values[0])
-        gap = math.acosh(max(1 + 1e-9, 2 * values[kept - 1] / bound - 1))
-        degree = min(MAX_DEGREE, max(2, math.ceil(math.acosh(max(2.0, fit.residual / AIM)) / gap)))
-        q = np.linalg.qr(filtered(lambda y: product(table, fit, y), q, vq, degree, bound, float(values[0])))[0]
+        last, q, vq, values = (math.inf if fine else fit.residual), q[:, fine:], vq[:, fine:], values[fine:]
+        bound = max(float(values[-1]), RANK * top)
+        far, near = (math.acosh(max(1 + 1e-9, 2 * float(v) / bound - 1)) for v in (values[0], values[kept - fine - 1]))
+        degree = math.acosh(max(2.0, fit.residual / AIM)) / near
+        degree = min(MAX_DEGREE, math.ceil(degree), int(math.log(SPREAD) / (far - near)) if far > near else MAX_DEGREE)
+        q = outside(filtered(times, q, vq, max(2, degree), bound, float(values[0])))
+        q = np.linalg.qr(outside(np.linalg.qr(q)[0]))[0]
     raise ArithmeticError(f"no convergence: residual {fit.residual} after {fit.passes} passes")
 
 
