@@ -63,6 +63,7 @@ PROPERTY_PARTS = {
 }
 _ODF = "urn:oasis:names:tc:opendocument:xmlns:"
 ODF_META = f'<?xml version="1.0" encoding="UTF-8"?>\n<office:document-meta xmlns:office="{_ODF}office:1.0" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:meta="{_ODF}meta:1.0" office:version="1.2"><office:meta/></office:document-meta>'
+MAX_DEPTH = 256  # levels of XML elements
 EPUB_DROPPED = "creator contributor publisher date description rights source coverage relation".split()
 EPUB_META = re.compile(r"^(rendition:|media:|schema:access|ibooks:)")
 EPUB_MODIFIED = "1980-01-01T00:00:00Z"
@@ -162,9 +163,15 @@ def stored_package(files: list[tuple[str, bytes]]) -> bytes:
 def parse(content: bytes) -> minidom.Document:
     _need(b"<!doctype" not in content[:65536].lower(), "document type declarations aren't allowed")
     try:
-        return minidom.parseString(content)
+        document = minidom.parseString(content)
     except (ExpatError, ValueError) as error:
         raise Damaged("not well-formed XML") from error
+    level, depth = document.childNodes, 0
+    while level:
+        depth += 1
+        _need(depth <= MAX_DEPTH, "XML nested too deeply")
+        level = [child for node in level for child in node.childNodes]
+    return document
 
 
 def local(node) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -93,7 +95,7 @@ def problem(content: bytes, kind: str, product: str = "tidemark") -> str | None:
                             return "meta left"
         else:
             return "unknown kind"
-    except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, NotImplementedError) as error:
+    except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, NotImplementedError, EOFError, zlib.error, struct.error) as error:
         return f"unreadable: {type(error).__name__}"
     return None
 
