@@ -99,14 +99,14 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     kind = _KIND[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = kind == 0
-    starts_text = np.zeros(len(data) + 1, bool)
-    starts_text[offsets - offsets[0]] = True
-    begins = np.flatnonzero(inside[1:-1] & (~inside[:-2] | starts_text[:-1]))
+    texts = np.zeros(len(data) + 1, bool)
+    texts[offsets - offsets[0]] = True
+    begins = np.flatnonzero(inside[1:-1] & (~inside[:-2] | texts[:-1]))
+    stops = np.flatnonzero(inside[1:-1] & (~inside[2:] | texts[1:]))
     piece = np.searchsorted(np.flatnonzero(kind == 2), begins) + np.searchsorted(offsets - offsets[0], begins, "right")
     letters = _FOLD[data[inside[1:-1]]]
-    before = np.cumsum(inside[1:-1])
-    ends = np.append(before[begins] - 1, len(letters)) if len(begins) else np.zeros(1, np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)])
+    ends = np.concatenate([[0], np.cumsum(stops - begins + 1)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
     coded = words.dictionary_encode()
     return coded.dictionary, np.asarray(coded.indices).astype(np.int64), piece
 
