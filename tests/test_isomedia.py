@@ -7,7 +7,7 @@ import struct
 
 import pytest
 
-from tidemark.operators import isomedia
+from tidemark.operators import containers, isomedia
 from tidemark.operators.segments import Damaged
 
 VIDEO = [b"frame-one", b"two", b"frame-three-long"]
@@ -73,7 +73,7 @@ def movie(first=True, wide=False, private=True, data=True, long=False, chapters=
 
 def clean(spark, *files):
     frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(files)], "file_id long, content binary")
-    rows = {r.file_id: r for r in isomedia.cleaned(frame, ["file_id"]).collect()}
+    rows = {r.file_id: r for r in containers.cleaned(frame, ["file_id"], "isomedia").collect()}
     return [rows[i] for i in range(len(files))]
 
 

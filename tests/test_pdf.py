@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from tidemark.operators import pdf
+from tidemark.operators import containers, pdf
 from tidemark.operators.segments import Damaged
 
 PAGE = b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Metadata 7 0 R/PieceInfo<</App<</Private(secret)>>>>/LastModified(D:2020)/MediaBox[0 0 9 9]>>"
@@ -66,7 +66,7 @@ def compressed(objects, predictor):
 
 def clean(spark, *files):
     frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(files)], "file_id long, content binary")
-    rows = {r.file_id: r for r in pdf.cleaned(frame, ["file_id"]).collect()}
+    rows = {r.file_id: r for r in containers.cleaned(frame, ["file_id"], "pdf").collect()}
     return [rows[i] for i in range(len(files))]
 
 

@@ -7,7 +7,7 @@ import struct
 
 import pytest
 
-from tidemark.operators import tiff
+from tidemark.operators import containers, tiff
 from tidemark.operators.segments import Damaged
 
 STRIPS = [b"first strip", b"second", b"x"]
@@ -52,7 +52,7 @@ def built(order="<", private=True, pages=2, gap=b"LEFT OVER", shorts=False):
 
 def clean(spark, *files):
     frame = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(files)], "file_id long, content binary")
-    rows = {r.file_id: r for r in tiff.cleaned(frame, ["file_id"]).collect()}
+    rows = {r.file_id: r for r in containers.cleaned(frame, ["file_id"], "tiff").collect()}
     return [rows[i] for i in range(len(files))]
 
 

@@ -13,7 +13,6 @@ again: every playing track must yield the same sample bytes, by digest, or the f
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.segments import Damaged, _need
-from tidemark.operators.splice import spliced
+from tidemark.operators.splice import let, spliced
 from tidemark.session import ship
 
 # Boxes that hold boxes, boxes that hold metadata or padding, and handlers of tracks that play.
@@ -184,10 +183,10 @@ def _goes(n: Column) -> Column:
     return n["kind"].isin(DROPPED) | data | n["path"].startswith("/moov/trak/tref/") & n["kind"].isin(DROPPED_REFERENCES)
 
 
-def removed(nodes: Column) -> Column:
+def dropped(nodes: Column) -> Column:
     """The boxes that go, each only as a whole: begin, end, kind."""
     chosen = F.transform(F.filter(nodes, _goes), lambda n: n["id"])
-    whole = F.filter(nodes, lambda n: _goes(n) & ~F.arrays_overlap(n["within"], chosen))
+    whole = let(chosen, lambda ids: F.filter(nodes, lambda n: F.array_contains(ids, n["id"]) & ~F.arrays_overlap(n["within"], ids)))
     return F.transform(whole, lambda n: F.struct(n["begin"].alias("begin"), n["end"].alias("end"), n["kind"].alias("kind")))
 
 
@@ -208,9 +207,8 @@ def _zeros(at: Column, size: Column) -> Column:
     return _patch(at, 1, F.array_repeat(F.lit(0).cast("long"), size.cast("int")))
 
 
-def _private(nodes: Column, gone: Column) -> Column:
+def _private(stay: Column) -> Column:
     """Patches that set times, names of handlers and names of compressors to zero."""
-    stay = _staying(nodes, gone)
     times = F.transform(F.filter(stay, lambda n: n["kind"].isin(TIMED) & (F.size(n["facts"]) == 3)), lambda n: _zeros(n["body"] + 4, n["facts"][0].cast("int")))
     names = F.transform(F.filter(stay, lambda n: (n["kind"] == "hdlr") & (n["end"] - n["body"] > 24)), lambda n: _zeros(n["body"] + 24, n["end"] - n["body"] - 24))
     seen = F.transform(F.filter(stay, lambda n: (n["path"] == "/moov/trak") & (n["handler"] == "vide")), lambda n: n["id"])
@@ -218,9 +216,8 @@ def _private(nodes: Column, gone: Column) -> Column:
     return F.concat(times, names, F.transform(entries, lambda n: _zeros(n["body"] + 8 + 50, F.lit(32))))
 
 
-def patches(nodes: Column, gone: Column) -> Column:
+def patches(stay: Column, gone: Column, fragmented: Column) -> Column:
     """Numbers that change when ``gone`` boxes are removed; or, in fragmented files, the headers of the boxes put in their place."""
-    stay = _staying(nodes, gone)
     inside = lambda n: F.aggregate(gone, F.lit(0).cast("long"), lambda t, r: t + F.when((r["begin"] >= n["begin"]) & (r["end"] <= n["end"]), r["end"] - r["begin"]).otherwise(F.lit(0).cast("long")))
     around = F.filter(stay, lambda n: n["kind"].isin(CONTAINERS) & (inside(n) > 0))
     sizes = F.transform(around, lambda n: _patch(F.when(n["body"] - n["begin"] == 16, n["begin"] + 8).otherwise(n["begin"]), F.when(n["body"] - n["begin"] == 16, 8).otherwise(4), F.array(n["end"] - n["begin"] - inside(n))))
@@ -228,33 +225,35 @@ def patches(nodes: Column, gone: Column) -> Column:
     offsets = F.transform(tables, lambda n: _patch(n["body"] + 8, F.when(n["kind"] == "stco", 4).otherwise(8), F.transform(n["offsets"], lambda o: o - _before(gone, o))))
     free = F.lit(int.from_bytes(b"free", "big"))
     emptied = F.flatten(F.transform(gone, lambda r: F.array(_patch(r["begin"], 4, F.array(r["end"] - r["begin"])), _patch(r["begin"] + 4, 4, F.array(free)), _zeros(r["begin"] + 8, r["end"] - r["begin"] - 8))))
-    return F.concat(_private(nodes, gone), F.when(is_fragmented(nodes), emptied).otherwise(F.concat(sizes, offsets)))
+    return F.concat(_private(stay), F.when(fragmented, emptied).otherwise(F.concat(sizes, offsets)))
 
 
-def plan(nodes: Column) -> Column:
+def _tokens(nodes: Column, gone: Column) -> Column:
+    dated = F.exists(nodes, lambda n: n["kind"].isin(TIMED) & (F.size(n["facts"]) == 3) & ((n["facts"][1] != "0") | (n["facts"][2] != "0")))
+    kinds = F.transform(F.filter(gone, lambda r: ~r["kind"].isin("free", "skip", "wide", "mfra", *DROPPED_REFERENCES)), lambda r: F.when(r["kind"] == "trak", "dataTrack").otherwise(r["kind"]))
+    return F.array_distinct(F.concat(kinds, F.filter(F.array(F.when(dated, "time")), lambda t: t.isNotNull())))
+
+
+def plan(g: Column) -> Column:
     """What ``splice.spliced`` needs, the tokens, and the error of files that can't be handled."""
-    gone = removed(nodes)
+    nodes = g["nodes"]
     data_track = F.exists(nodes, lambda n: (n["path"] == "/moov/trak") & ~n["handler"].isin(list(HANDLERS)))
-    stay = _staying(nodes, gone)
-    areas = F.transform(F.filter(stay, lambda n: n["kind"] == "mdat"), lambda n: F.struct(n["body"].alias("begin"), n["end"].alias("end")))
-    chunks = F.flatten(F.transform(F.filter(stay, lambda n: F.size(n["offsets"]) > 0), lambda n: F.zip_with(n["offsets"], n["sizes"], lambda o, s: F.struct(o.alias("begin"), (o + s).alias("end")))))
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    ranges = F.transform(gone, lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end")))
-    dated = F.exists(nodes, lambda n: n["kind"].isin(TIMED) & (F.size(n["facts"]) == 3) & ((n["facts"][1] != "0") | (n["facts"][2] != "0")))
-    tokens = F.concat(
-        F.array_distinct(F.transform(F.filter(gone, lambda r: ~r["kind"].isin("free", "skip", "wide", "mfra", "trak", *DROPPED_REFERENCES)), lambda r: r["kind"])),
-        F.when(F.exists(gone, lambda r: r["kind"] == "trak"), F.array(F.lit("dataTrack"))).otherwise(F.array().cast("array<string>")),
-        F.when(dated, F.array(F.lit("time"))).otherwise(F.array().cast("array<string>")),
-    )
-    fragmented = is_fragmented(nodes)
-    return F.struct(
-        F.when(fragmented, none).otherwise(ranges).alias("removed"),
-        patches(nodes, gone).alias("patches"),
-        F.when(fragmented, none).otherwise(areas).alias("blanked"),
-        chunks.alias("spared"),
-        tokens.alias("tokens"),
-        F.when(fragmented & data_track, "data track in a fragmented file").when(F.exists(gone, lambda r: fragmented & (r["end"] - r["begin"] < 8)), "box too small").alias("error"),
-    )
+
+    def made(fragmented: Column, gone: Column, stay: Column) -> Column:
+        areas = F.transform(F.filter(stay, lambda n: n["kind"] == "mdat"), lambda n: F.struct(n["body"].alias("begin"), n["end"].alias("end")))
+        chunks = F.flatten(F.transform(F.filter(stay, lambda n: F.size(n["offsets"]) > 0), lambda n: F.zip_with(n["offsets"], n["sizes"], lambda o, s: F.struct(o.alias("begin"), (o + s).alias("end")))))
+        ranges = F.transform(gone, lambda r: F.struct(r["begin"].alias("begin"), r["end"].alias("end")))
+        return F.struct(
+            F.when(fragmented, none).otherwise(ranges).alias("removed"),
+            patches(stay, gone, fragmented).alias("patches"),
+            F.when(fragmented, none).otherwise(areas).alias("blanked"),
+            chunks.alias("spared"),
+            _tokens(nodes, gone).alias("tokens"),
+            F.when(fragmented & data_track, "data track in a fragmented file").alias("error"),
+        )
+
+    return let(is_fragmented(nodes), lambda f: let(dropped(nodes), lambda gone: let(_staying(nodes, gone), lambda stay: made(f, gone, stay))))
 
 
 def digests(nodes: Column) -> Column:
@@ -265,7 +264,7 @@ def digests(nodes: Column) -> Column:
 def boxes(files: DataFrame, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
     """file_id, id, parent, kind, path, begin, end, keep and shift (bytes removed before it: a running sum) of every box; one shuffle."""
     ship(files.sparkSession)
-    rows = files.select(F.col(id_col).alias("file_id"), nodes(F.coalesce(F.col(content_col), F.lit(b"")))["nodes"].alias("n")).withColumn("gone", removed(F.col("n")))
+    rows = files.select(F.col(id_col).alias("file_id"), nodes(F.coalesce(F.col(content_col), F.lit(b"")))["nodes"].alias("n")).withColumn("gone", dropped(F.col("n")))
     rows = rows.select("file_id", "gone", F.explode("n").alias("n"))
     inside = F.exists("gone", lambda r: (r["begin"] <= F.col("n.begin")) & (F.col("n.end") <= r["end"]))
     top = F.exists("gone", lambda r: (r["begin"] == F.col("n.begin")) & (r["end"] == F.col("n.end")))
@@ -274,23 +273,11 @@ def boxes(files: DataFrame, id_col: str = "file_id", content_col: str = "content
     return rows.withColumn("shift", F.coalesce(F.sum("lost").over(earlier), F.lit(0))).drop("lost")
 
 
-def cleaned(files: DataFrame, keep: list[str], content_col: str = "content") -> DataFrame:
-    """keep, cleaned (null if refused), removed (tokens) and error of every file; no shuffle."""
-    ship(files.sparkSession)
-    rows = files.select(*keep, F.coalesce(F.col(content_col), F.lit(b"")).alias("content_")).withColumn("g_", nodes(F.col("content_")))
-    rows = rows.withColumn("plan_", plan(F.col("g_.nodes"))).withColumn("error", F.coalesce("g_.error", "plan_.error"))
-    rows = rows.select(*keep, "content_", "plan_", digests(F.col("g_.nodes")).alias("digests_"), "error")
-    kinds = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in keep)
-    out = rows.mapInArrow(lambda batches: _applied(batches, keep), f"{kinds}cleaned binary, removed array<string>, digests_ array<string>, error string")
-    after = nodes(F.col("cleaned"))
-    same = out.withColumn("after_", after).withColumn("error", F.coalesce("error", "after_.error", F.when(~digests(F.col("after_.nodes")).eqNullSafe(F.col("digests_")), "samples moved"), F.when(F.size(plan(F.col("after_.nodes"))["tokens"]) > 0, "metadata left")))
-    return same.select(*keep, F.when(F.col("error").isNull(), F.col("cleaned")).alias("cleaned"), F.when(F.col("error").isNull(), F.col("removed")).otherwise(F.array().cast("array<string>")).alias("removed"), "error")
-
-
-def _applied(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        given = zip(batch.column("content_").to_pylist(), batch.column("plan_").to_pylist(), batch.column("error").to_pylist())
-        plans = [None if error else (b, p) for b, p, error in given]
-        out = [None if x is None else spliced(x[0], x[1]["removed"], x[1]["patches"], x[1]["blanked"], x[1]["spared"]) for x in plans]
-        tokens = [[] if x is None else x[1]["tokens"] for x in plans]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), pa.array(tokens, _TEXTS), batch.column("digests_"), batch.column("error")], [*keep, "cleaned", "removed", "digests_", "error"])
+def problem(before: Column, after: Column, result: Column) -> Column:
+    """What is wrong with a result, by its own boxes; null if nothing."""
+    return F.coalesce(after["error"], F.when(~digests(after["nodes"]).eqNullSafe(digests(before["nodes"])), "samples moved"), F.when(F.size(_tokens(after["nodes"], dropped(after["nodes"]))) > 0, "metadata left"))
+
+
+def apply(b: bytes, plan: dict) -> bytes:
+    _need(plan["error"] is None, plan["error"])
+    return spliced(b, plan["removed"], plan["patches"], plan["blanked"], plan["spared"])

@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -387,17 +387,15 @@ def objects(files: DataFrame, id_col: str = "file_id", content_col: str = "conte
     return rows.select("file_id", "n.id", "n.home", "n.gen", "n.type", "n.begin", "n.end", "n.reached", F.coalesce(F.array_contains("kept", F.col("n.id")), F.lit(False)).alias("keep"))
 
 
-def cleaned(files: DataFrame, keep: list[str], content_col: str = "content") -> DataFrame:
-    """keep, cleaned (null if refused), removed (tokens) and error of every file; no shuffle."""
-    ship(files.sparkSession)
-    rows = files.select(*keep, F.coalesce(F.col(content_col), F.lit(b"")).alias("content_")).withColumn("g_", nodes(F.col("content_")))
-    rows = rows.select(*keep, "content_", kept(F.col("g_.nodes")).alias("parts_"), tokens(F.col("g_.nodes")).alias("removed"), F.col("g_.error").alias("error"))
+def problem(before: Column, after: Column, result: Column) -> Column:
+    """What is wrong with a result, by its own nodes and bytes; null if nothing."""
+    count = lambda g: F.size(kept(g["nodes"]))
+    return F.coalesce(after["error"], F.when(count(before) != count(after), "objects lost"), F.when(~is_clean(result) | (F.size(tokens(after["nodes"])) > 0), "metadata left"))
+
+
+def plan(g: Column) -> Column:
+    return F.struct(kept(g["nodes"]).alias("parts"), tokens(g["nodes"]).alias("tokens"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = zip(batch.column("content_").to_pylist(), batch.column("parts_").to_pylist(), batch.column("error").to_pylist())
-            out = pa.array([None if error else rewritten(b, parts) for b, parts, error in given], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out, batch.column("removed"), batch.column("error")], [*keep, "cleaned", "removed", "error"])
 
-    kinds = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(work, f"{kinds}cleaned binary, removed array<string>, error string")
+def apply(b: bytes, plan: dict) -> bytes:
+    return rewritten(b, plan["parts"])

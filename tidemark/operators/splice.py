@@ -1,16 +1,21 @@
-"""The one helper of the structured formats that touches bytes: it leaves out ranges and writes numbers, as rows of a plan say."""
+"""The one helper of the container formats that touches bytes: it leaves out ranges and writes numbers, as a plan says."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
-#: Numbers of ``width`` bytes (negative: little-endian) written at ``at``; width 1 with zeros blanks a range.
-PATCH = "struct<at:bigint,width:int,values:array<bigint>>"
-RANGE = "struct<begin:bigint,end:bigint>"
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def spliced(b: bytes, removed: list[dict], patches: list[dict], blanked: list[dict] = (), spared: list[dict] = ()) -> bytes:
-    """``b`` with patches, without ``removed`` ranges; in ``blanked`` ranges all bytes outside ``spared`` ones become zero."""
+    """``b`` with patches (numbers of ``width`` bytes at ``at``, little-endian if negative), without ``removed`` ranges; in ``blanked`` ranges all bytes outside ``spared`` ones become zero."""
     out = bytearray(b)
     for area in blanked:
         begin, end = area["begin"], area["end"]

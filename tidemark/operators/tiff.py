@@ -9,14 +9,13 @@ what was removed before them.  The result is read again: the image data must be
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.segments import PROFILE_BYTES, Damaged, _need
-from tidemark.operators.splice import spliced
+from tidemark.operators.splice import let, spliced
 from tidemark.session import ship
 
 # Bytes of each field type; tags that rendering needs; pairs of tags that hold offsets and sizes of image data.
@@ -120,24 +119,30 @@ def _range(begin: Column, end: Column) -> Column:
 
 
 def plan(g: Column) -> Column:
-    """What ``splice.spliced`` needs: removed ranges and patches; and the ranges whose bytes stay."""
-    stay, zero = kept(g), F.lit(0).cast("long")
-    own = lambda d: F.filter(stay, lambda e: e["ifd"] == d["ifd"])
-    tables = F.transform(g["directories"], lambda d: _range(d["begin"], d["begin"] + 6 + 12 * F.size(own(d))))
+    """What ``splice.spliced`` needs: removed ranges, patches, the ranges whose bytes stay; and the tokens."""
+    return let(kept(g), lambda stay: let(_spared(g, stay), lambda spared: let(_gaps(g, spared), lambda gaps: F.struct(
+        gaps.alias("removed"), _patches(g, stay, gaps).alias("patches"), spared.alias("spared"), F.array(_range(F.lit(0), g["size"])).alias("blanked"), tokens(g).alias("tokens")
+    ))))
+
+
+def _spared(g: Column, stay: Column) -> Column:
+    """The header, shrunk directories, values and image data, in order."""
+    tables = F.transform(g["directories"], lambda d: _range(d["begin"], d["begin"] + 6 + 12 * F.size(F.filter(stay, lambda e: e["ifd"] == d["ifd"]))))
     values = F.transform(F.filter(stay, lambda e: ~e["inline"]), lambda e: _range(e["begin"], e["end"]))
     data = F.flatten(F.transform(F.filter(stay, lambda e: F.size(e["sizes"]) > 0), lambda e: F.zip_with(e["offsets"], e["sizes"], lambda o, s: _range(o, o + s))))
-    spared = F.array_sort(F.concat(F.array(_range(zero, F.lit(8))), tables, values, data))
-    start = F.struct(zero.alias("end"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("gaps"))
-    # Gaps between the spared ranges, in even amounts from even places.
-    even = lambda c, up: c + up * F.pmod(c, F.lit(2)) - (1 - up) * F.pmod(c, F.lit(2))
-    gap = lambda a, b: F.struct(even(a, 1).alias("begin"), even(b, 0).alias("end"))
-    walked = F.aggregate(
-        F.concat(spared, F.array(_range(g["size"], g["size"]))),
-        start,
-        lambda acc, r: F.struct(F.greatest(acc["end"], r["end"]).alias("end"), F.when(even(acc["end"], 1) < even(r["begin"], 0), F.concat(acc["gaps"], F.array(gap(acc["end"], r["begin"])))).otherwise(acc["gaps"]).alias("gaps")),
-        lambda acc: acc["gaps"],
-    )
-    return F.transform(F.array(walked), lambda gaps: F.struct(gaps.alias("removed"), _patches(g, stay, gaps).alias("patches"), spared.alias("spared"), F.array(_range(zero, g["size"])).alias("blanked"), tokens(g).alias("tokens")))[0]
+    return F.array_sort(F.concat(F.array(_range(F.lit(0), F.lit(8))), tables, values, data))
+
+
+def _gaps(g: Column, spared: Column) -> Column:
+    """Gaps between the spared ranges, in even amounts from even places."""
+    up, down = (lambda c: c + F.pmod(c, F.lit(2))), (lambda c: c - F.pmod(c, F.lit(2)))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("gaps"))
+
+    def step(acc: Column, r: Column) -> Column:
+        gap = _range(up(acc["end"]), down(r["begin"]))
+        return F.struct(F.greatest(acc["end"], r["end"]).alias("end"), F.when(gap["begin"] < gap["end"], F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"]).alias("gaps"))
+
+    return F.aggregate(F.concat(spared, F.array(_range(g["size"], g["size"]))), start, step, lambda acc: acc["gaps"])
 
 
 def _patches(g: Column, stay: Column, gaps: Column) -> Column:
@@ -184,20 +189,10 @@ def entries(files: DataFrame, id_col: str = "file_id", content_col: str = "conte
     return rows.select("file_id", "e.ifd", "e.tag", "e.type", "e.count", "e.begin", "e.end", _stays(F.col("e")).alias("keep"))
 
 
-def cleaned(files: DataFrame, keep: list[str], content_col: str = "content") -> DataFrame:
-    """keep, cleaned (null if refused), removed (tokens) and error of every file; no shuffle."""
-    ship(files.sparkSession)
-    rows = files.select(*keep, F.coalesce(F.col(content_col), F.lit(b"")).alias("content_")).withColumn("g_", nodes(F.col("content_")))
-    rows = rows.select(*keep, "content_", F.when(F.col("g_.error").isNull(), plan(F.col("g_"))).alias("plan_"), digests(F.col("g_")).alias("digests_"), F.col("g_.error").alias("error"))
-    kinds = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in keep)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            plans = batch.column("plan_").to_pylist()
-            out = [None if p is None else spliced(b, p["removed"], p["patches"], p["blanked"], p["spared"]) for b, p in zip(batch.column("content_").to_pylist(), plans)]
-            gone = [[] if p is None else p["tokens"] for p in plans]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), pa.array(gone, pa.list_(pa.string())), batch.column("digests_"), batch.column("error")], [*keep, "cleaned", "removed", "digests_", "error"])
-
-    out = rows.mapInArrow(work, f"{kinds}cleaned binary, removed array<string>, digests_ array<string>, error string").withColumn("after_", nodes(F.col("cleaned")))
-    same = out.withColumn("error", F.coalesce("error", "after_.error", F.when(~digests(F.col("after_")).eqNullSafe(F.col("digests_")), "image data moved"), F.when(F.size(tokens(F.col("after_"))) > 0, "metadata left")))
-    return same.select(*keep, F.when(F.col("error").isNull(), F.col("cleaned")).alias("cleaned"), F.when(F.col("error").isNull(), F.col("removed")).otherwise(F.array().cast("array<string>")).alias("removed"), "error")
+def problem(before: Column, after: Column, result: Column) -> Column:
+    """What is wrong with a result, by its own entries; null if nothing."""
+    return F.coalesce(after["error"], F.when(~digests(after).eqNullSafe(digests(before)), "image data moved"), F.when(F.size(tokens(after)) > 0, "metadata left"))
+
+
+def apply(b: bytes, plan: dict) -> bytes:
+    return spliced(b, plan["removed"], plan["patches"], plan["blanked"], plan["spared"])
