@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     for path in args.paths[1:]:
         scanned = scanned.unionByName(files.scan(spark, path))
     if args.command == "inspect":
-        kinds = scanned.withColumn("kind", hygiene.browser_kind(F.col("name"), F.col("content")))
+        kinds = scanned.withColumn("kind", F.coalesce(hygiene.containers.container_kind(F.col("name"), F.col("content")), hygiene.browser_kind(F.col("name"), F.col("content"))))
         rows = inspection.inspect(kinds).where("sensitive").join(scanned.select("file_id", "path"), "file_id").groupBy("path").agg(F.count("*").alias("fields"), F.array_sort(F.collect_set("category")).alias("categories"))
         for line in rows.orderBy("path").toLocalIterator():
             print(json.dumps(line.asDict()) if args.json else f"{line.path}: {line.fields} {', '.join(line.categories)}")

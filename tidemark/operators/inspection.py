@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import is_sensitive, key_category
-from tidemark.operators import packages, segments
-from tidemark.operators.segments import Damaged
+from tidemark.operators import isomedia, packages, pdf, segments, tiff
+from tidemark.operators.segments import FAULTS
 from tidemark.session import ship
 
 # Names of directory tags, text frames, FLAC stream facts and RTF groups.
@@ -164,13 +164,61 @@ def _rtf(b: bytes) -> Iterator[tuple[str, str]]:
         yield "RTF:Generator", m[1].decode("latin-1")
 
 
+def _pdf_text(value) -> str:
+    if not isinstance(value, bytes):
+        return str(value)
+    raw = bytes.fromhex(re.sub(r"\s", "", value[1:-1].decode("latin-1")).ljust(2, "0")) if value[:1] == b"<" and len(value) % 2 == 0 else value[1:-1] if value[:1] == b"(" else value
+    return raw.decode("utf-16" if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else "latin-1", "replace")
+
+
+def _pdf(b: bytes) -> Iterator[tuple[str, str]]:
+    file = pdf._File(b)
+    info = pdf._get(file.trailer, b"Info")
+    own = file.object(info.num) if isinstance(info, pdf.Ref) else None
+    for key, (value, _, _) in (own.value if own and isinstance(own.value, dict) else {}).items():
+        yield f"PDF:{key.decode('latin-1')}", _pdf_text(value)
+    for node in pdf.graph(b):
+        if node["type"] == "Metadata":
+            yield "XMP:XMP", str(node["end"] - node["begin"])
+
+
+def _iso(b: bytes) -> Iterator[tuple[str, str]]:
+    zero = "0000:00:00 00:00:00"
+    number = 0
+    for box in isomedia.tree(b):
+        if box["path"] == "/moov/trak":
+            number += 1
+        if box["kind"] == "mvhd" and len(box["facts"]) == 3:
+            yield "QuickTime:CreateDate", zero if box["facts"][1] == "0" else box["facts"][1]
+            yield "QuickTime:ModifyDate", zero if box["facts"][2] == "0" else box["facts"][2]
+        elif box["kind"] == "hdlr" and box["facts"] and box["facts"][0]:
+            yield f"Track{number}:HandlerDescription", box["facts"][0]
+        elif box["kind"] == "uuid":
+            yield "XMP:XMP", str(box["end"] - box["body"])
+        elif box["kind"] in ("udta", "meta"):
+            yield f"UserData:{box['kind']}", str(box["end"] - box["body"])
+
+
+def _tiff(b: bytes) -> Iterator[tuple[str, str]]:
+    order, _, entries = tiff.graph(b)
+    for e in entries:
+        group, name = ("IFD0" if not e["ifd"] else "IFD1"), IFD_TAGS.get(e["tag"], f"0x{e['tag']:04x}")
+        raw = b[e["begin"] : e["end"]]
+        if e["tag"] == tiff.PROFILE:
+            yield "ICC_Profile:ProfileSize", str(len(raw))
+        elif e["tag"] == 700:
+            yield "XMP:XMP", raw.decode("utf-8", "replace")
+        else:
+            yield f"{group}:{name}", raw.split(b"\0")[0].decode("latin-1") if e["type"] == 2 else str(int.from_bytes(raw[: tiff.TYPE_BYTES.get(e["type"], 1)], order))
+
+
 def fields_of(content: bytes, kind: str) -> list[tuple[str, str]]:
     """Metadata of one file, in file order; a kind without embedded metadata has none."""
     if kind in ("mp3", "flac"):
         return list(_tagged(content, kind))
     if kind in ("ooxml", "odf", "epub"):
         return list(_package(content, kind))
-    reader = {"jpeg": _jpeg, "png": _png, "webp": _webp, "gif": _gif, "rtf": _rtf}.get(kind)
+    reader = {"jpeg": _jpeg, "png": _png, "webp": _webp, "gif": _gif, "rtf": _rtf, "pdf": _pdf, "isomedia": _iso, "tiff": _tiff}.get(kind)
     return list(reader(content)) if reader else []
 
 
@@ -184,7 +232,7 @@ def inspect(files: DataFrame, kind_col: str = "kind", id_col: str = "file_id", c
             for file, kind, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
                     out += [(file, k, v) for k, v in fields_of(content, kind)]
-                except (Damaged, IndexError) as error:
+                except FAULTS as error:
                     out.append((file, "Error", str(error)))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["file_id", "key", "value"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.packages import parse
-from tidemark.operators.segments import Damaged, _need
+from tidemark.operators.segments import FAULTS, _need
 from tidemark.session import ship
 
 # Elements and attributes that an SVG must not keep.
@@ -127,7 +127,7 @@ def cleaned_svg(files: DataFrame, keep: list[str], content_col: str = "content")
             for content in batch.column("content_").to_pylist():
                 try:
                     out.append((clean_svg(content), None))
-                except Damaged as error:
+                except FAULTS as error:
                     out.append((None, str(error)))
             columns = list(zip(*out)) or [()] * 2
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string())], [*keep, "cleaned", "error"])

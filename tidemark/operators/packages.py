@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import resolve_target
-from tidemark.operators.segments import Damaged, _need
+from tidemark.operators.segments import FAULTS, Damaged, _need
 from tidemark.session import ship
 
 # Limits of an upload, and of an entry that is inflated.
@@ -336,7 +336,7 @@ def entries(files: DataFrame, id_col: str = "file_id", content_col: str = "conte
                 try:
                     for i, e in enumerate(read_entries(content)):
                         out.append((file, i, e.name, e.method, e.crc, e.csize, e.usize, e.flags, e.offset, e.data if e.method == 0 and e.csize <= 256 else None, None))
-                except Damaged as error:
+                except FAULTS as error:
                     out.append((file, 0, *[None] * 8, str(error)))
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
@@ -388,7 +388,7 @@ def directory(content: Column) -> Column:
         for b in content.to_pylist():
             try:
                 out.append(None if b is None else [(e.name, e.method, e.csize, e.usize, e.data.decode("latin-1") if e.method == 0 and e.csize <= 256 else None) for e in read_entries(b)])
-            except (Damaged, struct.error):
+            except FAULTS:
                 out.append(None)
         return pa.array(out, pa.list_(entry))
 
@@ -439,7 +439,7 @@ def cleaned(files: DataFrame, keep: list[str], kind_col: str = "kind", content_c
             for kind, content in zip(batch.column("kind_").to_pylist(), batch.column("content_").to_pylist()):
                 try:
                     out.append((*clean_package(content, kind), None))
-                except Damaged as error:
+                except FAULTS as error:
                     out.append((None, [], str(error)))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], pa.string())], [*keep, "cleaned", "removed", "error"])

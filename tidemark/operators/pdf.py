@@ -291,6 +291,7 @@ def graph(b: bytes) -> list[dict]:
             found[num] = own, cuts
             todo += refs
     _need(found[root.num][0] is not None and _get(found[root.num][0].value, b"Pages") is not None, "PDF without catalogue")
+    info = getattr(_get(file.trailer, b"Info"), "num", None)
     facts = ["Info"] * (b"Info" in file.trailer) + ["revision"] * (bool(file.extra) or len(re.findall(rb"%%EOF", b)) > 1)
     out = [{"id": 0, "home": None, "gen": root.gen, "type": "trailer", "begin": root.num, "end": 0, "reached": True, "cuts": [], "facts": facts}]
     for num in sorted(file.places):
@@ -302,7 +303,7 @@ def graph(b: bytes) -> list[dict]:
             own = None
         if own:
             place, kind = file.places[num], _get(own.value, b"Type")
-            out.append({"id": num, "home": place[0] if place[1] is not None else None, "gen": own.gen, "type": kind[1:].decode("latin-1") if isinstance(kind, bytes) else "", "begin": own.begin, "end": own.end, "reached": reached, "cuts": cuts, "facts": []})
+            out.append({"id": num, "home": place[0] if place[1] is not None else None, "gen": own.gen, "type": kind[1:].decode("latin-1") if isinstance(kind, bytes) else "", "begin": own.begin, "end": own.end, "reached": reached, "cuts": cuts, "facts": ["Info"] if num == info else []})
     return out
 
 
@@ -339,7 +340,7 @@ def tokens(nodes: Column) -> Column:
         ("pdfInfo", has(lambda n: F.array_contains(n["facts"], "Info"))),
         ("pdfMetadata", has(lambda n: (n["type"] == "Metadata") | (n["reached"] & (F.size(n["cuts"]) > 0)))),
         ("pdfRevision", has(lambda n: F.array_contains(n["facts"], "revision"))),
-        ("pdfUnreferenced", has(lambda n: ~n["reached"] & ~n["type"].isin(DROPPED_TYPES))),
+        ("pdfUnreferenced", has(lambda n: ~n["reached"] & ~n["type"].isin(DROPPED_TYPES) & (F.size(n["facts"]) == 0))),
     ]
     return F.filter(F.array(*(F.when(test, name) for name, test in rules)), lambda t: t.isNotNull())
 

@@ -7,6 +7,8 @@ breaks its format's rules gets an error in its row and no output; it never fails
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -23,6 +25,10 @@ class Damaged(ValueError):
     """The bytes break the rules of their format."""
 
 
+#: What a reader of damaged bytes may raise; it becomes an error in the file's row.
+FAULTS = (Damaged, ValueError, LookupError, TypeError, OverflowError, RecursionError, struct.error, zlib.error)
+
+
 class Segment(NamedTuple):
     """``token`` names what a dropped segment held (None: not reported); ``data`` replaces a kept segment's bytes."""
 

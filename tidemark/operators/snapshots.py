@@ -21,55 +21,75 @@ def metadata_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["file_id", "key"], "full_outer").withColumn("change", change)
 
 
-def snapshot_verdict(before: DataFrame, after: DataFrame) -> DataFrame:
-    """file_id and error (null: accepted): the first rule that a cleaned file's metadata breaks; one shuffle."""
-    none = F.lit(None).cast("string")
-    sides = before.select("file_id", "key", F.col("value").alias("old"), none.alias("new")).unionByName(after.select("file_id", "key", none.alias("old"), F.col("value").alias("new")))
-    rows = sides.withColumn("tag", F.element_at(F.split("key", ":"), -1))
+def map_error(before: Column, after: Column) -> Column:
+    """The first rule that a cleaned file's metadata breaks (null: none), from both maps of one row: no shuffle."""
 
-    def first(tags: list[str], side: str):
-        return F.coalesce(*(F.max(F.when(F.col("tag") == t, F.col(side))) for t in tags))
+    def first(tags: list[str], side: Column) -> Column:
+        own = lambda t: F.array_max(F.transform(F.filter(F.map_entries(side), lambda e: F.element_at(F.split(e["key"], ":"), -1) == t), lambda e: e["value"]))
+        return F.coalesce(*map(own, tags))
 
     kind = lambda side: F.regexp_replace(F.lower(first(["FileTypeExtension", "FileType"], side)), "^jpeg$", "jpg")
-    moved = lambda tag: (first([tag], "old") != first([tag], "new"))
-    profile = lambda side: F.bool_or(F.col("key").rlike("^ICC[-_]") & F.col(side).isNotNull())
-    colours = lambda side: F.bool_or(F.col("tag").rlike(COLOR_TAG) & F.col(side).isNotNull())
+    moved = lambda tag: first([tag], before) != first([tag], after)
+    profile = lambda side: F.exists(F.map_keys(side), lambda k: k.rlike("^ICC[-_]"))
+    colours = lambda side: F.exists(F.map_keys(side), lambda k: F.element_at(F.split(k, ":"), -1).rlike(COLOR_TAG))
+    turn = lambda side: first(["Orientation"], side)
+    # Keys of both sides with whether their values differ, and whether what the result holds is sensitive.
+    left = F.map_zip_with(before, after, lambda k, old, new: F.coalesce(new.isNotNull() & is_sensitive(k, new), F.lit(False)))
     rules = [
-        (kind("old") != kind("new"), "file type changed"),
+        (kind(before) != kind(after), "file type changed"),
         (moved("ImageWidth"), "image width changed"),
         (moved("ImageHeight"), "image height changed"),
-        (profile("old") & ~profile("new"), "colour profile lost"),
-        (first(["Orientation"], "old").isNotNull() & ~first(["Orientation"], "old").eqNullSafe(first(["Orientation"], "new")), "orientation lost"),
-        (colours("old") & ~colours("new"), "colour space lost"),
+        (profile(before) & ~profile(after), "colour profile lost"),
+        (turn(before).isNotNull() & ~turn(before).eqNullSafe(turn(after)), "orientation lost"),
+        (colours(before) & ~colours(after), "colour space lost"),
         *((moved(f), f"{f} changed") for f in FACTS),
-        (F.bool_or(F.col("new").isNotNull() & is_sensitive(F.col("key"), F.col("new"))), "sensitive metadata left"),
+        (F.exists(F.map_values(left), lambda x: x), "sensitive metadata left"),
     ]
-    out = F.when(F.coalesce(rules[0][0], F.lit(False)), rules[0][1])
-    for test, text in rules[1:]:
-        out = out.when(F.coalesce(test, F.lit(False)), text)
-    return rows.groupBy("file_id").agg(out.alias("error"))
+    return F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), text) for test, text in rules))
 
 
-def stream_verdict(before: DataFrame, after: DataFrame, played: list[str] = PLAYED, only: bool = False) -> DataFrame:
-    """file_id and error: probes (file_id, duration, streams array<struct>) compared stream by stream of each type.
+def as_map(fields: Column) -> Column:
+    """An array of (key, value) as a map; the first value of a key counts, null values are left out."""
+    whole = F.filter(fields, lambda f: f["key"].isNotNull() & f["value"].isNotNull())
+    keys = F.array_distinct(F.transform(whole, lambda f: f["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(whole, lambda f: f["key"] == k)[0]["value"]))
+
+
+def snapshot_verdict(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file_id and error (null: accepted) of long-form metadata (file_id, key, value): one shuffle, without rows that no rule reads."""
+    sides = before.select("file_id", "key", "value", F.lit(False).alias("new")).unionByName(after.select("file_id", "key", "value", F.lit(True).alias("new")))
+    read = F.element_at(F.split("key", ":"), -1).rlike(f"^({'|'.join(['FileTypeExtension', 'FileType', 'ImageWidth', 'ImageHeight', 'Orientation', *FACTS])})$|{COLOR_TAG}") | F.col("key").rlike("^ICC[-_]") | F.col("new") & is_sensitive(F.col("key"), F.col("value"))
+    # Rows that no rule reads keep their file in the result, as one null.
+    field = F.when(read, F.struct("key", "value", "new"))
+    rows = sides.select("file_id", field.alias("f")).groupBy("file_id").agg(F.collect_list("f").alias("f"))
+    side = lambda new: as_map(F.filter("f", lambda f: f["new"] == F.lit(new)))
+    return rows.select("file_id", side(False).alias("old"), side(True).alias("new")).select("file_id", map_error(F.col("old"), F.col("new")).alias("error"))
+
+
+def streams_error(before: Column, after: Column, fields: list[str], played: list[str] = PLAYED, only: bool = False) -> Column:
+    """What changed between two probes of one row, (duration, streams) each: streams of each type are compared in order; no shuffle.
 
     Data and attachment streams may vanish.  Fields and durations count where both sides have them.  For audio files,
     ``played`` is audio alone and ``only`` asks that no other stream is left.
     """
+    of = lambda probe, kind: F.filter(F.coalesce(probe["streams"], F.filter(F.coalesce(before["streams"], after["streams"]), lambda s: F.lit(False))), lambda s: s["codec_type"] == kind)
+    differs = lambda a, b: F.coalesce(*(F.when(a[f] != b[f], True) for f in fields), F.lit(False))
+    counts, changed = F.lit(False), F.lit(False)
+    for kind in played:
+        a, b = of(before, kind), of(after, kind)
+        counts = counts | (F.size(a) != F.size(b))
+        changed = changed | F.exists(F.zip_with(a, b, differs), lambda x: x)
+    others = F.coalesce(F.exists(after["streams"], lambda s: ~s["codec_type"].isin(played)), F.lit(False)) if only else F.lit(False)
+    d1, d2 = before["duration"].cast("double"), after["duration"].cast("double")
+    return F.when(others, "other streams left").when(counts, "stream count changed").when(changed, "stream changed").when(F.abs(d1 - d2) > F.greatest(F.lit(1.0), 0.01 * d1), "duration changed")
 
-    def numbered(df: DataFrame, side: str) -> DataFrame:
-        typed = F.flatten(F.transform(F.array(*map(F.lit, played)), lambda t: F.transform(F.filter("streams", lambda s: s["codec_type"] == t), lambda s, i: F.struct(t.alias("kind"), i.alias("n"), s.alias(side)))))
-        return df.select("file_id", F.inline(typed))
-
-    both = numbered(before, "old").join(numbered(after, "new"), ["file_id", "kind", "n"], "full_outer")
-    differs = F.coalesce(F.bool_or(F.lit(False)), F.lit(False))
-    for field in [f for f in STREAM_FIELDS if f in both.schema["old"].dataType.fieldNames()]:
-        differs = differs | F.coalesce(F.bool_or(F.col(f"old.{field}") != F.col(f"new.{field}")), F.lit(False))
-    per_file = both.groupBy("file_id").agg(F.bool_or(F.col("old").isNull() | F.col("new").isNull()).alias("counts"), differs.alias("fields"))
-    others = F.exists("streams", lambda s: ~s["codec_type"].isin(played)) if only else F.lit(False)
-    lengths = before.select("file_id", F.col("duration").cast("double").alias("d1")).join(after.select("file_id", F.col("duration").cast("double").alias("d2"), others.alias("others")), "file_id", "full_outer")
-    error = F.when(F.col("others"), "other streams left").when(F.col("counts"), "stream count changed").when(F.col("fields"), "stream changed").when(F.abs(F.col("d1") - F.col("d2")) > F.greatest(F.lit(1.0), 0.01 * F.col("d1")), "duration changed")
-    return lengths.join(per_file, "file_id", "left").select("file_id", error.alias("error"))
+
+def stream_verdict(before: DataFrame, after: DataFrame, played: list[str] = PLAYED, only: bool = False) -> DataFrame:
+    """file_id and error of probes (file_id, duration, streams array<struct>) of two tables: one join by file."""
+    side = lambda df, name: df.select("file_id", F.struct("duration", "streams").alias(name))
+    fields = [f for f in STREAM_FIELDS if f in before.schema["streams"].dataType.elementType.fieldNames()]
+    both = side(before, "old").join(side(after, "new"), "file_id", "full_outer")
+    return both.select("file_id", streams_error(F.col("old"), F.col("new"), fields, played, only).alias("error"))
 
 
 def document_error(kind: Column, before: Column, after: Column) -> Column:
