@@ -53,8 +53,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts have similarity 4/5 or more."""
+def sets(docs: DataFrame, pairs: DataFrame, words: int = SHINGLE_WORDS, text_col: str = "text") -> DataFrame:
+    """A written table (node, own): the sets of shingles of the texts in ``pairs`` (a, b), and of few others."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.col("node").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("h")).groupBy(F.shiftright("h", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
     flags = np.zeros(1 << MAP_BITS - 6, np.int64)  # 8 MB, whatever the corpus; it only spares work
     flags[wanted.column("place").to_numpy()] = wanted.column("bits").to_numpy()
@@ -74,13 +74,18 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, text_col: str) -> Da
                         sets.append(shingles(own, words).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "own"])
 
+    own = docs.select(utf8(text_col).alias("bytes")).mapInArrow(compute, "node long, own binary")
+    return written(own.dropDuplicates(["node"]), "shingle-sets")
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have similarity 4/5 or more."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = docs.select(utf8(text_col).alias("bytes")).mapInArrow(compute, "node long, own binary")
-    sets = written(sets.dropDuplicates(["node"]), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm import jaccard
+from tidemark.llm import bands, jaccard
 from tidemark.llm.common import documents, parallelism, sliced, utf8, written
 from tidemark.llm.components import components
 
@@ -36,10 +36,9 @@ CELL_LIMIT = 8192
 _EVEN = 0x5555555555555555
 
 
-def fingerprint_texts(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """Unsigned fingerprints of whole texts."""
-    digest = xxhash.xxh64_digest
-    out, hashes, counts, which = np.zeros(len(texts), np.uint64), [], [], []
+def shingle_hashes(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> tuple[bytes, np.ndarray, list[int]]:
+    """Big-endian XXH64 of all shingles of all texts, how many each text has, and which texts have any."""
+    digest, hashes, counts, which = xxhash.xxh64_digest, [], [], []
     for i, text in enumerate(texts):
         own = text.lower().split()
         if not own:
@@ -54,11 +53,21 @@ def fingerprint_texts(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int
             hashes += [digest(joined[b + k : e + k + words - 1], seed) for k, (b, e) in enumerate(zip([0, *ends[: n - 1]], ends[words - 1 :]))]
         counts.append(n)
         which.append(i)
+    return b"".join(hashes), np.array(counts, np.int64), which
+
+
+def _majorities(hashes: bytes, n: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel()
+
+
+def fingerprint_texts(texts: list[bytes], words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Unsigned fingerprints of whole texts."""
+    out = np.zeros(len(texts), np.uint64)
+    hashes, n, which = shingle_hashes(texts, words, seed)
     if which:
-        bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
-        n = np.array(counts)
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out[which] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel()
+        out[which] = _majorities(hashes, n)
     return out
 
 
@@ -217,39 +226,64 @@ def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
 
 
 def named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id (null as the largest number), node (the text's words) and fp of every row; no shuffle."""
+    """id (null as the largest number), node (the text's words), fp and bands (keys; none of a text without words) of every row; no shuffle."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "bytes", 2 << 20):
                 texts = part.column(1).to_pylist()
                 nodes = [jaccard.node_of(jaccard.words_of(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(fingerprint_texts(texts, words).view(np.int64))], ["id", "node", "fp"])
+                hashes, n, which = shingle_hashes(texts, words)
+                prints, sizes, keys = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
+                if which:
+                    prints[which], sizes[which] = _majorities(hashes, n), bands.BANDS
+                    keys = bands.keys_of(np.frombuffer(hashes, ">u8").astype(np.uint64), n).ravel().view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), lists], ["id", "node", "fp", "bands"])
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(key.alias("id"), utf8(text_col).alias("bytes")).mapInArrow(compute, "id long, node long, fp long")
+    return docs.select(key.alias("id"), utf8(text_col).alias("bytes")).mapInArrow(compute, "id long, node long, fp long, bands array<long>")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, text_col: str = "text", groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Links (a, b) between nodes of ``rows`` that SimHash finds within ``bits`` and whose sets of shingles have similarity 0.8."""
-    nodes = rows.select("node", "fp").distinct()
+def near_pairs(nodes: DataFrame, bits: int = MAX_BITS, groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) that the grid finds within ``bits``: least nodes of linked fingerprints, and equal ones with their least."""
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     edges = links(prints.select("fp"), groups or grid_groups(prints.count()), bits, cell_limit)
     same = nodes.join(prints.where("n > 1"), "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     for side in ("a", "b"):
         edges = edges.join(prints.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), side)
-    pairs = same.unionByName(edges.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
-    return jaccard.verified(docs, written(pairs, "pairs"), words, text_col)
+    return same.unionByName(edges.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, text_col: str = "text", groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """Links (a, b) between nodes of ``rows`` whose sets of shingles have similarity 0.8: candidates from the grid and from bands, all checked exactly."""
+    nodes = written(rows.select("node", "fp", "bands").dropDuplicates(["node"]), "nodes")
+    proposed = written(bands.to_leaders(bands.entries(nodes)), "to-leaders")
+    pairs = near_pairs(nodes.select("node", "fp"), bits, groups, cell_limit).unionByName(proposed.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    pairs = written(_ordered(pairs), "pairs")
+    sets = jaccard.sets(docs, pairs, words, text_col)
+    good = written(jaccard.checked(pairs, sets), "good-pairs")
+    # What failed with its leader has another chance, with its nearest neighbour of the same key.
+    ends = (F.least("node", "other") == good.a) & (F.greatest("node", "other") == good.b)
+    failed = written(proposed.join(good, ends, "left_anti").select("key", "node", "fp"), "failed")
+    again = bands.to_neighbours(failed).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    more = jaccard.checked(written(_ordered(again).join(pairs, ["a", "b"], "left_anti"), "more-pairs"), sets)
+    return good.unionByName(more)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_representatives(docs: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs``, all columns, from each group of texts that SimHash links within ``bits`` and the sets of shingles confirm.
+    """One row of ``docs``, all columns, from each group of texts linked by sets of shingles with Jaccard similarity 0.8.
 
-    No radius of a 64-bit fingerprint that the grid can search is sure to hold all pairs of similarity 0.8: see the README.
+    No radius of a 64-bit fingerprint that the grid can search is sure to hold all pairs of similarity 0.8, so bands of minima
+    propose pairs beside it, and fingerprints sift them (module ``bands``).
     """
     rows = written(named(docs, words, id_col, text_col), "fingerprints")
     edges = written(similar_links(docs, rows, words, bits, text_col), "similar-links")
-    return jaccard.kept(docs, rows, written(components(edges), "roots"), id_col, text_col)
+    return jaccard.kept(docs, rows.select("id", "node"), written(components(edges), "roots"), id_col, text_col)
 
 
 def _with_fingerprint(docs: DataFrame, words: int, text_col: str) -> DataFrame:
