@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import containers, isomedia, streams
 from tidemark.plans import hygiene
 from tidemark.plans.catalog import _big, _expected, _join, _little, query, table
+from tidemark.sources import uploads
 
 MARK = b"\xde\xad\xbe\xef"
 
@@ -202,3 +203,30 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", streams.probe(F.col("content"), F.col("kind")).alias("p"))
     stream = F.col("p.streams")[0]
     return found.select("doc_id", "p.duration", stream["codec_name"].alias("codec"), stream["sample_rate"].alias("sample_rate"), stream["channels"].alias("channels"))
+
+
+# --- Uploaded packages ----------------------------------------------------------------------------------------------------
+
+
+def package_of(text: Column, header: Column, second: Column) -> Column:
+    """A package of one stored entry ``a.bin`` that holds the text, with central records at ``header`` and ``second`` (null: none)."""
+    size = F.octet_length(text)
+    local = _join(b"PK\3\4\x14\0\0\0\0\0\0\0\0\0", _little(F.crc32(text)), _little(size), _little(size), b"\5\0\0\0a.bin", text)
+    central = lambda at: _join(b"PK\1\2\x14\0\x14\0\0\0\0\0\0\0\0\0", _little(F.crc32(text)), _little(size), _little(size), b"\5" + bytes(13), _little(at), b"a.bin")
+    count = F.when(second.isNull(), F.lit(b"\1\0\1\0")).otherwise(F.lit(b"\2\0\2\0"))
+    records = F.concat(central(header), F.coalesce(central(second), F.lit(b"")))
+    return F.concat(local, records, F.lit(b"PK\5\6\0\0\0\0"), count, _little(F.octet_length(records)), _little(F.octet_length(local)), F.lit(b"\0\0"))
+
+
+@query(
+    "q_upload_faults",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 2 THEN 'bad directory' WHEN 2 * strlen(coalesce(text, '')) > strlen(coalesce(text, '')) + 35 + 2 * 51 + 22 THEN 'entries larger than the archive' ELSE 'entries overlap' END AS fault,
+ CASE WHEN doc_id % 3 = 2 THEN 0 ELSE 1 + (doc_id % 3 = 1)::INT END::INT AS entries, CASE WHEN doc_id % 3 < 2 THEN strlen(coalesce(text, '')) END AS size FROM documents""",
+)
+def upload_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages around every text: whole ones, ones whose two records name the same bytes, and ones whose record points beside its entry."""
+    k = F.col("doc_id") % 3
+    zero = F.lit(0).cast("long")
+    content = package_of(_text(), F.when(k == 2, F.lit(9).cast("long")).otherwise(zero), F.when(k == 1, zero))
+    rows = table(spark, sf_dir, "documents").select("doc_id", content.alias("content")).withColumn("l", uploads.listing(F.col("content")))
+    return rows.select("doc_id", uploads.fault(F.col("l")).alias("fault"), F.size("l.entries").alias("entries"), F.get(F.col("l.entries"), F.lit(0))["csize"].alias("size"))

@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.formats import browser_kind, extension, looks_like_zip, refusal_message, validated
+from tidemark.functions.formats import browser_kind, extension, refusal_message, validated
 from tidemark.functions.rules import failure_message, is_sensitive, key_categories, summary, tokens_categories
 from tidemark.operators import containers, inspection, markup, packages, segments, snapshots, streams, verification
 from tidemark.operators.segments import FAULTS, Damaged
 from tidemark.session import ship
+from tidemark.sources import uploads
 
 RESULT = ["cleaned", "removed", "error_category", "error", "before", "after", "probe_before", "probe_after"]
 #: Strategies by kind; a kind without one can't be cleaned and is reported, never copied.
@@ -53,8 +54,9 @@ def clean_one(content: bytes, kind: str | None, plan: dict | None = None) -> tup
 def checked(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """file_id, name, content and error_code (null: accepted): the validation ladder, with limits and parts of packages."""
     rows = files.select(F.col("file_id").cast("long").alias("file_id"), "name", F.coalesce("content", F.lit(b"")).alias("content"))
-    rows = rows.withColumn("listing_", packages.directory(F.when(looks_like_zip(F.col("content")), F.col("content"))))
-    rows = rows.withColumn("packaged", packages.is_acceptable(extension(F.col("name")), F.col("listing_"))).drop("listing_")
+    rows = rows.withColumn("listing_", uploads.listing(F.col("content")))
+    sound = F.col("listing_").isNotNull() & uploads.fault(F.col("listing_")).isNull()
+    rows = rows.withColumn("packaged", sound & packages.is_acceptable(extension(F.col("name")), F.col("listing_.entries"))).drop("listing_")
     return validated(rows, caps).select("file_id", "name", "content", "error_code")
 
 
