@@ -1,4 +1,4 @@
-"""Formats whose cleaning is a plan in Columns: PDF, ISO media and TIFF (and what else gives the same functions).
+"""Formats whose cleaning is a plan in Columns: PDF, ISO media, TIFF and Ogg.
 
 Each format's module reads a file into one nested column (``nodes``), decides by Column rules (``plan``, with the tokens of what goes), has a
 helper for the bytes (``apply``), and judges the result by reading it again (``problem``).
@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.formats import extension, looks_like_pdf, starts_with
-from tidemark.operators import isomedia, pdf, tiff
+from tidemark.operators import isomedia, ogg, pdf, tiff
 from tidemark.operators.segments import Damaged
 from tidemark.session import ship
 
-MODULES = {"pdf": pdf, "isomedia": isomedia, "tiff": tiff}
-STRATEGIES = {"pdf": "pdf-rewrite", "isomedia": "container-rewrite", "tiff": "directory-rewrite"}
+MODULES = {"pdf": pdf, "isomedia": isomedia, "tiff": tiff, "ogg": ogg}
+STRATEGIES = {"pdf": "pdf-rewrite", "isomedia": "container-rewrite", "tiff": "directory-rewrite", "ogg": "page-rewrite"}
 
 
 def container_kind(name: Column, content: Column) -> Column:
@@ -28,6 +28,7 @@ def container_kind(name: Column, content: Column) -> Column:
         F.when((ext == "pdf") & looks_like_pdf(content), "pdf")
         .when(ext.isin("mp4", "m4v", "mov", "qt", "3gp", "3gpp", "m4a") & first.isin("ftyp", "moov", "mdat", "wide", "free", "skip", "pnot"), "isomedia")
         .when(ext.isin("tif", "tiff") & (starts_with(content, b"II*\0") | starts_with(content, b"MM\0*")), "tiff")
+        .when(ext.isin("ogg", "oga", "opus") & starts_with(content, b"OggS"), "ogg")
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import is_sensitive, key_category
-from tidemark.operators import isomedia, packages, pdf, segments, tiff
+from tidemark.operators import isomedia, ogg, packages, pdf, segments, tiff
 from tidemark.operators.segments import FAULTS
 from tidemark.session import ship
 
@@ -199,6 +199,11 @@ def _iso(b: bytes) -> Iterator[tuple[str, str]]:
             yield f"UserData:{box['kind']}", str(box["end"] - box["body"])
 
 
+def _ogg(b: bytes) -> Iterator[tuple[str, str]]:
+    for stream in ogg.tree(b)[1]:
+        yield from ogg.comments(stream["comment"], stream["codec"])
+
+
 def _tiff(b: bytes) -> Iterator[tuple[str, str]]:
     order, _, entries = tiff.graph(b)
     for e in entries:
@@ -218,7 +223,7 @@ def fields_of(content: bytes, kind: str) -> list[tuple[str, str]]:
         return list(_tagged(content, kind))
     if kind in ("ooxml", "odf", "epub"):
         return list(_package(content, kind))
-    reader = {"jpeg": _jpeg, "png": _png, "webp": _webp, "gif": _gif, "rtf": _rtf, "pdf": _pdf, "isomedia": _iso, "tiff": _tiff}.get(kind)
+    reader = {"jpeg": _jpeg, "png": _png, "webp": _webp, "gif": _gif, "rtf": _rtf, "pdf": _pdf, "isomedia": _iso, "tiff": _tiff, "ogg": _ogg}.get(kind)
     return list(reader(content)) if reader else []
 
 

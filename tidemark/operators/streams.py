@@ -1,6 +1,6 @@
 """Stream facts of media files without decoding: duration, and of each stream its type, codec, size, rate and channels.
 
-ISO media give them by boxes, FLAC by its stream block, MP3 by walking its frame headers.  ``probe`` makes them a column, which
+ISO media give them by boxes, FLAC by its stream block, MP3 by walking its frame headers, Ogg by its headers and positions.  ``probe`` makes them a column, which
 ``snapshots.streams_error`` compares before and after cleaning.
 """
 
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 import pyarrow as pa
 
-from tidemark.operators import isomedia, segments
+from tidemark.operators import isomedia, ogg, segments
 from tidemark.operators.segments import FAULTS
 
 FIELDS = ["codec_name", "width", "height", "sample_rate", "channels"]
-PROBED = ["isomedia", "flac", "mp3"]
+PROBED = ["isomedia", "flac", "mp3", "ogg"]
 
 # Bit rates (kbit/s) of layer III by version 1 and 2, and sample rates of version 1.
 MP3_RATES = [[0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0], [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0]]
@@ -64,6 +64,13 @@ def _mp3(b: bytes) -> dict:
     return {"duration": seconds if first else None, "streams": [_stream("audio", "mp3", rate=first[0], channels=first[1])] if first else []}
 
 
+def _ogg(b: bytes) -> dict:
+    """Positions count samples; of several streams the longest gives the duration."""
+    found = ogg.tree(b)[1]
+    seconds = [s["last"] / s["rate"] for s in found if s["rate"]]
+    return {"duration": max(seconds, default=None), "streams": [_stream("audio", s["codec"], rate=s["rate"], channels=s["channels"]) for s in found]}
+
+
 _STREAM = pa.struct([("codec_type", pa.string()), ("codec_name", pa.string()), *((c, pa.int64()) for c in ("width", "height", "sample_rate", "channels"))])
 _PROBE = pa.struct([("duration", pa.float64()), ("streams", pa.list_(_STREAM))])
 PROBE = "struct<duration:double,streams:array<struct<codec_type:string,codec_name:string,width:bigint,height:bigint,sample_rate:bigint,channels:bigint>>>"
@@ -74,7 +81,7 @@ def probe_of(content: bytes | None, kind: str | None) -> dict | None:
     if content is None or kind not in PROBED:
         return None
     try:
-        return {"isomedia": _iso, "flac": _flac, "mp3": _mp3}[kind](content)
+        return {"isomedia": _iso, "flac": _flac, "mp3": _mp3, "ogg": _ogg}[kind](content)
     except FAULTS:
         return None
 
