@@ -54,7 +54,7 @@ _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = pa.scalar(" ", pa.large_string())
-COUNTS = "lang string, words int, phrase string, a long"
+_TAB = pa.scalar("\t", pa.large_string())
 
 
 class Table:
@@ -120,14 +120,14 @@ def _tallied(lang: str, column: pa.Array, levels: int, tables: list[Table]) -> I
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
     names = words.cast(pa.large_string())
+    keyed = pc.binary_join_element_wise(pa.scalar(lang, pa.large_string()), names, _TAB)
 
-    def batch(level, phrases, counts):
-        n = len(counts)
-        return pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, level, np.int32)), phrases.cast(pa.string()), pa.array(counts)], ["lang", "words", "phrase", "a"])
+    def batch(keys, counts):
+        return pa.record_batch([keys.cast(pa.string()), pa.array(counts)], ["key", "a"])
 
     if len(tables) <= 1:  # the first pass over these texts counts every word
-        yield batch(0, pa.array([""]), np.array([len(ids)]))
-        yield batch(1, names, np.bincount(ids, minlength=len(words)))
+        yield batch(pa.array([f"{lang}\t"]), np.array([len(ids)]))
+        yield batch(keyed, np.bincount(ids, minlength=len(words)))
     if levels < 2 or not tables:
         return
     known = [t.holds(1, hashes) for t in tables]
@@ -138,7 +138,7 @@ def _tallied(lang: str, column: pa.Array, levels: int, tables: list[Table]) -> I
     left, right = keys >> 32, keys & 0xFFFFFFFF
     fresh = ~np.logical_or.reduce([k[left] & k[right] for k in known[:-1]]) if len(known) > 1 else np.ones(len(keys), bool)
     if fresh.any():
-        yield batch(2, pc.binary_join_element_wise(names.take(pa.array(left[fresh])), names.take(pa.array(right[fresh])), _SPACE), counts[fresh])
+        yield batch(pc.binary_join_element_wise(keyed.take(pa.array(left[fresh])), names.take(pa.array(right[fresh])), _SPACE), counts[fresh])
     if levels < 3 or not len(keys):
         return
     mixed = pair_hash(hashes[left], hashes[right])
@@ -150,11 +150,11 @@ def _tallied(lang: str, column: pa.Array, levels: int, tables: list[Table]) -> I
         fresh = ~np.logical_or.reduce([p[first] & p[second] for p in linked[:-1]])
         first, second, counts = first[fresh], second[fresh], counts[fresh]
     if len(counts):
-        yield batch(3, pc.binary_join_element_wise(names.take(pa.array(left[first])), names.take(pa.array(right[first])), names.take(pa.array(right[second])), _SPACE), counts)
+        yield batch(pc.binary_join_element_wise(keyed.take(pa.array(left[first])), names.take(pa.array(right[first])), names.take(pa.array(right[second])), _SPACE), counts)
 
 
-def tally(texts: DataFrame, levels: int, tables: list) -> DataFrame:
-    """Exact counts by language of the phrases that the newest of the broadcast ``tables`` admits: lang, words (0: all words), phrase, a."""
+def tally(texts: DataFrame, levels: int, tables: list, least: int) -> DataFrame:
+    """Exact counts from ``least`` on, by language, of the phrases that the newest of the broadcast ``tables`` admits: lang, words (0: all words), phrase, a."""
 
     def work(batches):
         held = [t.value for t in tables]
@@ -164,7 +164,11 @@ def tally(texts: DataFrame, levels: int, tables: list) -> DataFrame:
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
                     yield from _tallied(lang, part.column("text").filter(pc.equal(langs.indices, k)), levels, held)
 
-    return texts.mapInArrow(work, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    # One short key, as nearly all rows of the shuffle are phrases that occur once: a phrase holds no tab, so the last one ends the language.
+    counted = texts.mapInArrow(work, "key string, a long").groupBy("key").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.endswith("key", F.lit("\t")))
+    phrase = F.substring_index("key", "\t", -1)
+    words = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    return counted.select(F.expr("substr(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), words.cast("int").alias("words"), phrase.alias("phrase"), "a")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_count: int = MIN_COUNT) -> tuple[DataFrame, int]:
@@ -174,14 +178,14 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     sample = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(SAMPLE)) == 0).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), utf8(text).alias("text"))
     share = spark.sparkContext.broadcast
 
-    single = written(tally(sample, 1, []).where((F.col("words") == 1) & (F.col("a") >= SAMPLE_COUNT)), "sample-words")
+    single = written(tally(sample, 1, [], SAMPLE_COUNT).where("words = 1"), "sample-words")
     guess = share(table_of(single))
-    double = written(tally(sample, 2, [guess]).where((F.col("words") == 2) & (F.col("a") >= SAMPLE_COUNT)), "sample-pairs")
+    double = written(tally(sample, 2, [guess], SAMPLE_COUNT).where("words = 2"), "sample-pairs")
     proposal = single.unionByName(double)
     tables = [share(table_of(proposal))]
     known, made = None, [single, double]
     while True:
-        counted = written(tally(texts, MAX_WORDS, tables).where((F.col("a") >= min_count) | (F.col("words") == 0)), "phrases")
+        counted = written(tally(texts, MAX_WORDS, tables, min_count), "phrases")
         made.append(counted)
         known = counted if known is None else known.unionByName(counted)
         failures = known.where(F.col("words").between(1, MAX_WORDS - 1)).join(proposal, ["lang", "words", "phrase"], "left_anti")
