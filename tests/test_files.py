@@ -4,6 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidemark.operators import reports
+from tidemark.operators.packages import stored_package
 from tidemark.sources import files
 from tidemark.streaming import arrivals
 
@@ -21,11 +22,16 @@ def test_scan_stream_and_copies(spark, tmp_path):
     assert "content" not in plan.partition("ReadSchema")[2] and "length" in plan.partition("PushedFilters")[2]
     arrivals.start(files.arriving(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     first = spark.read.parquet(str(tmp_path / "out"))
-    assert [(r.name, bytes(r.cleaned), r.removed) for r in first.collect()] == [("a.mp3", FRAMES, ["id3"])]
+    assert sorted((r.name, bytes(r.cleaned), r.removed) for r in first.collect()) == [("a.mp3", FRAMES, ["id3"]), ("b.txt", b"hi", [])]
+    # The same bytes under another name don't come again after a restart; packages and SVG are cleaned too.
+    (folder / "again.mp3").write_bytes(b"ID3\3\0\0\0\0\0\0" + FRAMES)
+    (folder / "d.svg").write_bytes(b"<svg><script/><g/></svg>")
+    (folder / "e.docx").write_bytes(stored_package([("[Content_Types].xml", b"<Types/>"), ("_rels/.rels", b"<Relationships/>"), ("word/document.xml", b"<d/>")]))
     (folder / "c.mp3").write_bytes(FRAMES)
     arrivals.start(files.arriving(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
-    assert rows.count() == 2
+    assert sorted((r.name, r.ok) for r in rows.collect()) == [("a.mp3", True), ("b.txt", True), ("c.mp3", True), ("d.svg", True), ("e.docx", True)]
+    rows = rows.where("name like '%.mp3'")
     files.write_copies(rows.withColumn("output", reports.output_path(F.concat(F.lit("/x/"), "name"), folder=str(tmp_path / "copies"))))
     assert (tmp_path / "copies/clean-a.mp3").read_bytes() == FRAMES and sorted(os.listdir(tmp_path / "copies")) == ["clean-a.mp3", "clean-c.mp3"]
 
