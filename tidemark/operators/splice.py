@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+_BUILT: dict[tuple[str, str], Column] = {}
+
+
+def remembered(spark: SparkSession, key: str, build: Callable[[], Column]) -> Column:
+    """The Column of ``build``, made once for each application: plans of many nested functions take a second to put together."""
+    whole = spark.sparkContext.applicationId, key
+    if whole not in _BUILT:
+        _BUILT[whole] = build()
+    return _BUILT[whole]
+
+
 def spliced(b: bytes, removed: list[dict], patches: list[dict], blanked: list[dict] = (), spared: list[dict] = ()) -> bytes:
     """``b`` with patches (numbers of ``width`` bytes at ``at``, little-endian if negative), without ``removed`` ranges; in ``blanked`` ranges all bytes outside ``spared`` ones become zero."""
     out = bytearray(b)

@@ -12,6 +12,7 @@ from tidemark.functions.formats import browser_kind, extension, refusal_message,
 from tidemark.functions.rules import failure_message, is_sensitive, key_categories, summary, tokens_categories
 from tidemark.operators import containers, inspection, markup, packages, segments, snapshots, streams, verification
 from tidemark.operators.segments import FAULTS, Damaged
+from tidemark.operators.splice import remembered
 from tidemark.session import ship
 from tidemark.sources import uploads
 
@@ -54,7 +55,7 @@ def clean_one(content: bytes, kind: str | None, plan: dict | None = None) -> tup
 def checked(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """file_id, name, content and error_code (null: accepted): the validation ladder, with limits and parts of packages."""
     rows = files.select(F.col("file_id").cast("long").alias("file_id"), "name", F.coalesce("content", F.lit(b"")).alias("content"))
-    rows = rows.withColumn("listing_", uploads.listing(F.col("content")))
+    rows = rows.withColumn("listing_", remembered(files.sparkSession, "listing", lambda: uploads.listing(F.col("content"))))
     sound = F.col("listing_").isNotNull() & uploads.fault(F.col("listing_")).isNull()
     rows = rows.withColumn("packaged", sound & packages.is_acceptable(extension(F.col("name")), F.col("listing_.entries"))).drop("listing_")
     return validated(rows, caps).select("file_id", "name", "content", "error_code")
@@ -98,8 +99,8 @@ def clean(files: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     # Both metadata maps and both probes of a file stand in its row.
     wrong = F.coalesce(
         "problem_",
-        snapshots.map_error(snapshots.as_map(F.col("before")), snapshots.as_map(F.col("after"))),
-        F.when(F.col("probe_before").isNotNull(), snapshots.streams_error(F.col("probe_before"), F.col("probe_after"), streams.FIELDS)),
+        remembered(files.sparkSession, "snapshots", lambda: snapshots.map_error(snapshots.as_map(F.col("before")), snapshots.as_map(F.col("after")))),
+        remembered(files.sparkSession, "streams", lambda: F.when(F.col("probe_before").isNotNull(), snapshots.streams_error(F.col("probe_before"), F.col("probe_after"), streams.FIELDS))),
     )
     rows = rows.withColumn("wrong", F.when(F.col("error").isNull(), wrong)).withColumn("keys", F.transform("before", lambda f: f["key"]))
     rows = rows.withColumns({"error": F.coalesce("error", "wrong"), "error_category": F.coalesce("error_category", F.when(F.col("wrong").isNotNull(), "visual_integrity"))})
