@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.formats import extension, looks_like_pdf, starts_with
 from tidemark.operators import isomedia, ogg, pdf, tiff
 from tidemark.operators.segments import Damaged
-from tidemark.operators.splice import remembered
+from tidemark.operators.splice import let, remembered
 from tidemark.session import ship
 
 MODULES = {"pdf": pdf, "isomedia": isomedia, "tiff": tiff, "ogg": ogg}
@@ -37,7 +37,7 @@ def planned(files: DataFrame, kind: str = "kind", content: str = "content", modu
     """``files`` with, for each format, the columns ``<kind>_nodes`` and ``<kind>_plan``, and removed_ (tokens) and fault_ of all."""
     for name, module in modules.items():
         files = files.withColumn(f"{name}_nodes", module.nodes(F.when(F.col(kind) == name, F.col(content))))
-    plans = {name: remembered(files.sparkSession, f"plan {name}", lambda n=name, m=module: m.plan(F.col(f"{n}_nodes"))) for name, module in modules.items()}
+    plans = {name: remembered(files.sparkSession, f"plan {name}", lambda n=name, m=module: let(F.col(f"{n}_nodes"), m.plan)) for name, module in modules.items()}
     files = files.withColumns({f"{name}_plan": F.when(F.col(f"{name}_nodes.error").isNull() & (F.col(kind) == name), plan) for name, plan in plans.items()})
     fault = F.coalesce(*(F.col(f"{name}_nodes.error") for name in modules))
     return files.withColumn("removed_", F.coalesce(*(F.col(f"{name}_plan.tokens") for name in modules), F.array().cast("array<string>"))).withColumn("fault_", fault)
@@ -57,7 +57,7 @@ def judged(rows: DataFrame, kind: str = "kind", result: str = "cleaned", modules
     for name, module in modules.items():
         mine = (F.col(kind) == name) & F.col(result).isNotNull()
         rows = rows.withColumn(f"{name}_after", module.nodes(F.when(mine, F.col(result))))
-        wrong = remembered(rows.sparkSession, f"problem {name} {result}", lambda n=name, m=module: m.problem(F.col(f"{n}_nodes"), F.col(f"{n}_after"), F.col(result)))
+        wrong = remembered(rows.sparkSession, f"problem {name} {result}", lambda n=name, m=module: let(F.col(f"{n}_after"), lambda after: m.problem(F.col(f"{n}_nodes"), after, F.col(result))))
         out = F.coalesce(out, F.when(mine, wrong))
     return rows.withColumn("problem_", out).drop(*(f"{name}_after" for name in modules))
 

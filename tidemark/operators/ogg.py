@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.segments import Damaged, _need
+from tidemark.operators.segments import FAULTS, Damaged, _need
+from tidemark.session import ship
 
 # First bytes of each codec's identification and comment packets, number of header packets, an empty comment.
 CODECS = {"vorbis": (b"\x01vorbis", b"\x03vorbis", 3), "opus": (b"OpusHead", b"OpusTags", 2)}
@@ -146,6 +148,29 @@ def nodes(content: Column) -> Column:
     return read(content)
 
 
+def streams(files: DataFrame, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
+    """file_id, serial, codec, digest (of audio), pages, last (the last page's number) of every logical stream; a damaged file gives one row of codec ``error``."""
+    ship(files.sparkSession)
+    schema = "file_id long, serial long, codec string, digest string, pages long, last long"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    pages, found = tree(content)
+                    for s in found:
+                        own = [p["sequence"] for p in pages if p["serial"] == s["serial"]]
+                        out.append((file, s["serial"], s["codec"], s["digest"], len(own), own[-1]))
+                except FAULTS:
+                    out.append((file, None, "error", None, 0, None))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in schema.split(", ")])
+
+    return files.select(F.col(id_col).cast("long").alias("file_id"), F.coalesce(F.col(content_col), F.lit(b"")).alias("content")).mapInArrow(read, schema)
+
+
 def plan(g: Column) -> Column:
     """Pages that stay with their new numbers, the streams' headers with the number of pages they take, and the tokens."""
     length = lambda s: F.when(s["codec"] == "vorbis", len(EMPTY["vorbis"])).otherwise(len(EMPTY["opus"]))

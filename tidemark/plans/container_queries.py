@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import containers, isomedia, streams
+from tidemark.operators import containers, isomedia, ogg, streams
 from tidemark.plans import hygiene
 from tidemark.plans.catalog import _big, _expected, _join, _little, query, table
 from tidemark.sources import uploads
@@ -205,6 +206,42 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p.duration", stream["codec_name"].alias("codec"), stream["sample_rate"].alias("sample_rate"), stream["channels"].alias("channels"))
 
 
+# --- Ogg ------------------------------------------------------------------------------------------------------------------
+
+PACKET = 60_000
+
+
+def ogg_of(text: Column) -> Column:
+    """An Opus stream whose audio packets, one a page, are the text in pieces, with a comment that fills several pages."""
+
+    @F.arrow_udf("binary")
+    def built(text: pa.Array) -> pa.Array:
+        out = []
+        for b in text.to_pylist():
+            head, fields = b"OpusHead\1\2" + bytes(9), [b"ARTIST=Ann", b"COMMENT=" + b"secret " * 12_000]
+            tags = b"OpusTags" + (4).to_bytes(4, "little") + b"Lavf" + len(fields).to_bytes(4, "little") + b"".join(len(f).to_bytes(4, "little") + f for f in fields)
+            pages = [ogg.page(2, bytes(8), 7, 0, ogg.laced([head]), head), *ogg.paged([tags], 7, 1)]
+            for at in range(0, max(1, len(b)), PACKET):
+                pages.append(ogg.page(0, bytes(8), 7, len(pages), ogg.laced([b[at : at + PACKET]]), b[at : at + PACKET]))
+            out.append(b"".join(pages))
+        return pa.array(out, pa.binary())
+
+    return built(text)
+
+
+@query(
+    "q_clean_ogg",
+    f"""WITH c AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+ p AS (SELECT doc_id, n, greatest(1, (n + {PACKET - 1}) // {PACKET}) AS k, list_transform(range(greatest(1, (n + {PACKET - 1}) // {PACKET})), lambda i: '000000000000000000' || repeat('FF', least({PACKET}, n - i * {PACKET}) // 255) || printf('%02X', least({PACKET}, n - i * {PACKET}) % 255) || substr(h, {2 * PACKET} * i + 1, {2 * PACKET})) AS pages FROM c)
+ SELECT doc_id, sha256(unhex(array_to_string(pages, ''))) AS digest, 'opus' AS codec, CAST(k + 2 AS BIGINT) AS pages, CAST(k + 1 AS BIGINT) AS last FROM p""",
+)
+def clean_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments over several pages give way to one page; audio pages keep bodies, lacing and positions, and count on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", ogg_of(_text()).alias("content"))
+    found = ogg.streams(containers.cleaned(docs, ["doc_id"], "ogg"), "doc_id", "cleaned")
+    return found.select(F.col("file_id").alias("doc_id"), "codec", "digest", "pages", "last")
+
+
 # --- Uploaded packages ----------------------------------------------------------------------------------------------------
 
 
