@@ -23,4 +23,4 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_every_operator_is_registered():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
