@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -342,6 +343,43 @@ def test_recall_at_every_edit_rate_that_the_threshold_admits(words):
     assert not block.find([t.encode() for t in texts]) or max(s for *_, s in block.find([t.encode() for t in texts])) < 0.9
 
 
+def _random_words(r, n, pool):
+    return " ".join(r.choice(pool) for _ in range(n))
+
+
+def test_one_very_long_item_among_many_takes_bounded_memory():
+    r = random.Random(8)
+    pool = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(20_000)]
+    long = _random_words(r, 4_000, pool).encode()
+    short = [_random_words(r, 15, pool).encode() for _ in range(4_000)]
+    tracemalloc.start()
+    try:
+        block = decontaminate.Items(list(enumerate([long, *short])))
+        assert tracemalloc.get_traced_memory()[1] < 160 << 20  # walks of all items as long as the longest: 1.3 GB
+    finally:
+        tracemalloc.stop()
+    cut = long[:9_000] + b" other words here " + long[9_200:]
+    hits = block.find([b"before " + long + b" after", b"nothing of it", short[7] + b" and more"])
+    assert [(d, int(block.ids[m]), s) for d, m, s in hits] == [(0, 0, 1.0), (2, 8, 1.0)]
+    (hit,) = block.find([cut])
+    assert hit[:2] == (0, 0) and 0.98 < hit[2] < 1
+
+
+@pytest.mark.parametrize("postings", [50, 2_000])
+def test_items_with_one_opening_are_found_alike_in_runs_of_any_size(monkeypatch, postings):
+    r = random.Random(9)
+    pool = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(5_000)]
+    opening = "which of the following statements about this best describes "
+    items = [(k, (opening + _random_words(r, 8, pool)).encode()) for k in range(60)] + [(60, b"na na na na na na na na hey hey hey hey goodbye " * 4)]
+    texts = [(opening + _random_words(r, 40, pool)).encode() for _ in range(20)]
+    texts += [b"a b c " + items[k][1] + b" d e f" for k in (0, 7, 59)] + [b"oh " + items[60][1] * 2, b""]
+    block = decontaminate.Items(items)
+    want = block.find(texts)
+    assert {(d, m) for d, m, _ in want} == {(20, 0), (21, 7), (22, 59), (23, 60)}
+    monkeypatch.setattr(decontaminate, "POSTINGS", postings)
+    assert {(d, m) for d, m, _ in block.find(texts)} == {(d, m) for d, m, _ in want}
+
+
 def test_items_of_few_words_must_occur_as_they_are(spark):
     items = [(1, "ab"), (2, "Too short!"), (3, "not in here"), (4, "..."), (5, "one two three four"), (6, "検" * 90), (7, "日本")]
     texts = ["this is too, short.", "tab ab", "tab abc", "it is tooshort", "so one two three four five", "前 " + "検" * 88 + "別" * 2 + " 後", "日本 人", "日本人", None]

@@ -20,6 +20,10 @@ Texts and items are compared as lower-case words without punctuation, joined by
 Items of fewer than ``MIN_WORDS`` words that have under ``SHORT_BYTES`` bytes must occur as they are, as whole words; null items and
 those without a word match nothing; null texts hold nothing.  Equal items of different ids are found each on its own;
 repeated rows give a row each.  Items go to executors in blocks of ``BLOCK_BYTES`` of text, each against all documents.
+
+Memory: walks are made of windows sorted by length, ``EMBED_BYTES`` at a time (a single longer window: twelve times its bytes), and their
+random bits repeat after ``PERIOD`` steps.  Places of seeds are expanded by the items that hold them in runs of ``POSTINGS``: texts are
+halved, then items.  One text and one item with more than that (a string that both repeat) are compared by edit distance at once.
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ SLICE_BYTES = 2 << 20
 WALKS = 6
 KEYS = 48
 SAMPLED = 4
+PERIOD = 1 << 14
+EMBED_BYTES = 32 << 20
+EMBED_ROWS = 4096
+POSTINGS = 1 << 21
 BLOCK_BYTES = 16 << 20
 
 
@@ -146,45 +154,82 @@ class Items:
         self.seeds, self.bits = Grams(seeds.keys[used]), worth[used]
         self.first = np.concatenate([[0], np.cumsum(n)])
         self.item, self.at = flat[:, 1].copy(), flat[:, 2].copy()
+        self.seed_item = np.repeat(np.arange(len(used)), n) * np.int64(len(found)) + self.item
         whole = np.array([worth[np.searchsorted(seeds.keys, g)].sum() / GRAM for g in found])
         self.need = np.maximum(SHARE_BITS * whole, LEAST_BITS)
         random = np.random.default_rng(seed)
         self.length = np.array([len(t) for t in self.texts], np.int64)
-        longest = int(self.length.max(initial=1))
-        self.moves = random.integers(0, 2, (WALKS, 2 * longest, 256), np.uint8)
+        self.longest = int(self.length.max(initial=1))
+        # A row for each step: the moves of all walks, 256 each.
+        moves = random.integers(0, 2, (WALKS, min(2 * self.longest, PERIOD), 256), np.uint8)
+        self.moves = np.ascontiguousarray(moves.transpose(1, 0, 2)).reshape(-1, WALKS * 256)
         # Positions to sample as shares of a walk of twice the length, the same for all items.
         self.places = random.random((WALKS, KEYS * SAMPLED))
         data = b"".join(self.texts)
         start = np.cumsum(self.length) - self.length
-        self.keys = self.embed(np.frombuffer(data, np.uint8), start, start + self.length, np.arange(len(self.texts))) if len(self.texts) else np.zeros((0, WALKS * KEYS), np.uint64)
+        self.keys = self.embed(np.frombuffer(data, np.uint8), start, start + self.length, np.arange(len(self.texts)))
 
     def embed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Keys of windows of the given items: a window's walk has twice the item's length in steps; past the end it writes zeros."""
-        out = np.zeros((len(start), WALKS * KEYS), np.uint64)
-        data = np.append(data, np.uint8(0))
-        past = len(data) - 1
-        steps = 2 * self.length[item]
-        rows = np.arange(len(start))[:, None]
+        out = np.zeros((len(start), WALKS * KEYS), np.uint32)
+        data, steps = np.append(data, np.uint8(0)), 2 * self.length[item]
+        order = np.argsort(-steps, kind="stable")
+        k = 0
+        while k < len(order):
+            longest = int(steps[order[k]])
+            part = order[k : k + max(1, min(EMBED_ROWS, EMBED_BYTES // (WALKS * longest)))]
+            out[part] = self._keys(data, start[part], end[part], steps[part])
+            k += len(part)
+        return out
+
+    def _keys(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        past, rows = len(data) - 1, np.arange(len(start))[:, None]
+        walk = np.zeros((int(steps.max()), WALKS, len(start)), np.uint8)  # all walks of a step together
+        at = np.repeat(start.astype(np.int32)[None, :], WALKS, axis=0)
+        own_moves = (np.arange(WALKS, dtype=np.int16) * 256)[:, None]
+        for j, own in enumerate(walk):
+            np.take(data, np.where(at < end, at, past), out=own)
+            at += self.moves[j % PERIOD].take(own + own_moves)
+        out = np.zeros((len(start), WALKS * KEYS), np.uint32)
         for w in range(WALKS):
             wanted = (self.places[w] * steps[:, None]).astype(np.int64)
-            walk = np.zeros((int(steps.max()), len(start)), np.uint8)  # a row for each step
-            at = start.astype(np.int32)
-            for j, own in enumerate(walk):
-                np.take(data, np.where(at < end, at, past), out=own)
-                at += self.moves[w, j][own]
-            bytes_ = walk[wanted, rows].reshape(-1, KEYS, SAMPLED).astype(np.uint64)
-            out[:, w * KEYS : (w + 1) * KEYS] = (bytes_ << (np.arange(SAMPLED, dtype=np.uint64) * np.uint64(8))).sum(axis=2)
+            bytes_ = walk[wanted, w, rows].reshape(-1, KEYS, SAMPLED)
+            out[:, w * KEYS : (w + 1) * KEYS] = np.ascontiguousarray(bytes_).view("<u4")[:, :, 0]
         return out
 
-    def windows(self, data: bytes, starts: np.ndarray) -> np.ndarray:
-        """(text, item, begin in ``data``) of every window.  starts: where each text begins."""
+    def windows(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """(text, item, begin in ``data``) of every window, and pairs of text and item to compare as wholes."""
         place, seed = self.seeds.places(data)
-        n = self.first[seed + 1] - self.first[seed]
-        post = np.repeat(self.first[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place, worth, item = np.repeat(place, n), np.repeat(self.bits[seed], n), self.item[post]
-        begin = place - self.at[post]
         doc = np.searchsorted(starts, place, "right") - 1
-        order = np.argsort((item << 32) + begin + (1 << 20), kind="stable")
+        found, whole = [np.zeros((0, 3), np.int64)], []
+        todo = [(place, seed, doc, self.first[seed], self.first[seed + 1])] if len(place) else []
+        while todo:
+            place, seed, doc, low, high = todo.pop()
+            if (high - low).sum() <= POSTINGS:
+                found.append(self._chained(place, seed, doc, low, high))
+            elif doc[0] != doc[-1]:
+                cut = np.searchsorted(doc, (doc[0] + doc[-1]) // 2, "right")
+                todo += [tuple(x[half] for x in (place, seed, doc, low, high)) for half in (slice(cut, None), slice(cut))]
+            else:
+                # Items of a seed are in order: all places get the same cut between two items.
+                own = np.unique(np.concatenate([self.item[a:b] for a, b in set(zip(low.tolist(), high.tolist()))]))
+                if len(own) == 1:
+                    whole.append((int(doc[0]), int(own[0])))
+                    continue
+                key = seed * np.int64(len(self.length)) + own[len(own) // 2]
+                middle = np.clip(np.searchsorted(self.seed_item, key), low, high)
+                for a, b in ((middle, high), (low, middle)):
+                    some = b > a
+                    todo.append((place[some], seed[some], doc[some], a[some], b[some]))
+        return np.concatenate(found), whole
+
+    def _chained(self, place: np.ndarray, seed: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Windows from seeds at ``place``, each with its items ``low`` to ``high``."""
+        n = high - low
+        post = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place, worth, doc, item = np.repeat(place, n), np.repeat(self.bits[seed], n), np.repeat(doc, n), self.item[post]
+        begin = place - self.at[post]
+        order = np.argsort((item << 32) + begin + self.longest, kind="stable")
         place, worth, item, begin, doc = (x[order] for x in (place, worth, item, begin, doc))
         # Chains of neighbours that agree on a window's place within the slack.
         near = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (begin[1:] - begin[:-1] <= 8 + self.length[item[1:]] // 16)
@@ -199,9 +244,10 @@ class Items:
         rows = np.stack([doc, item, begin], axis=1)[chosen]
         if not len(rows):
             return rows
-        # Begins that are close to each other make one window.
+        # Begins that are close to each other, by the item's length, make one window.
+        step = rows[:, 2] // np.maximum(8, self.length[rows[:, 1]] // 32)
         new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] // 8 != rows[:-1, 2] // 8)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (step[1:] != step[:-1])
         return rows[new]
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float]]:
@@ -216,7 +262,11 @@ class Items:
                 for k, t in items[int(seeds.keys[which])]:
                     if data.startswith(t, p):
                         out[int(np.searchsorted(starts, p, "right")) - 1, k] = 1.0
-        rows = self.windows(data, starts) if len(self.texts) else np.zeros((0, 3), np.int64)
+        rows, whole = self.windows(data, starts)
+        for d, m in whole:
+            similarity = 1 - edit_distance_in(self.texts[m], own[d]) / int(self.length[m])
+            if similarity >= SIMILARITY:
+                out[d, m] = similarity
         array = np.frombuffer(data, np.uint8)
         for k in range(0, len(rows), 4096):
             part = rows[k : k + 4096]
