@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import formats
 from tidemark.operators import markup, packages
@@ -113,6 +114,7 @@ SVG = b'<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1
         (b'<rect onclick="x()" width="1"/>', '<rect width="1"/>'),
         (b'<use xlink:href="#a"/><use xlink:href="http://x"/>', '<use xlink:href="#a"/><use/>'),
         (b'<animate attributeName="href" to="x"/><animate attributeName="opacity"/>', '<animate attributeName="opacity"/>'),
+        (b"<g style=''/>", "<g/>"),
         (b"<style>a{fill:red}</style><style>@import url(x)</style>", "<style>a{fill:red}</style>"),
         (b"<!-- c --><title>t</title><desc>d</desc><metadata/>", ""),
         (b'<g xmlns:i="i" i:label="secret"><path d="M0"/></g>', '<g><path d="M0"/></g>'),
@@ -125,6 +127,26 @@ def test_svg(inside, left):
     assert body == left
 
 
+def test_output_facts_and_the_second_reading_agree(spark):
+    texts = {
+        "<svg><g/></svg>": (True, False, False),
+        " <x:svg xmlns:x='u'><x:script/></x:svg>": (True, True, False),
+        '<svg><a xml:onclick = "x"/></svg>': (True, True, False),
+        "<svg><text>on top = 3; title</text></svg>": (True, False, False),
+        "<svg><animate attributeName=' xlink:Href '/></svg>": (True, False, True),
+        "<svg><animate attributeName='onload'/></svg>": (True, False, True),
+        "<svg><animate attributeName='x'/></svg>": (True, False, False),
+        "<svg><a v='JavaScript:1'/></svg>": (True, True, False),
+        "<svg><!-- c --></svg>": (True, True, False),
+        "<g><svg/></g>": (False, False, False),
+    }
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    got = {r[0]: tuple(r)[1:] for r in rows.select("t", *markup.output_facts(F.col("t")).values()).collect()}
+    assert got == texts | {"": (False, False, False), None: (None, None, None)}
+    for text, (is_svg, content, target) in texts.items():
+        assert (markup.output_problem(text.strip()) is None) == (is_svg and not content and not target)
+
+
 def test_svg_that_is_refused():
     for bad in (b"<!DOCTYPE svg><svg/>", b"<html/>", b"<svg><g></svg>", b"", SVG % b"<text>javascript:x</text>"):
         with pytest.raises(Damaged):

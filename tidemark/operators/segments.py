@@ -275,26 +275,32 @@ def mp3(b: bytes) -> Iterator[Segment]:
     yield from reversed(last)
 
 
+# Sizes of cue sheet records, and their fields that tell something as (offset, length, bits that stay).
+# The last byte of a header or track says how many records follow below it.
+CUE_HEADER = (396, [(0, 128, 0x00), (136, 1, 0x80), (137, 258, 0x00)])
+CUE_TRACK = (36, [(9, 12, 0x00), (21, 1, 0xC0), (22, 13, 0x00)])
+CUE_INDEX = (12, [(9, 3, 0x00)])
+
+
 def clean_cuesheet(body: bytes) -> bytes:
     """A cue sheet without catalogue number, ISRCs and reserved bytes."""
-    _need(len(body) >= 396, "short cue sheet")
-    out = bytearray(body)
-    out[:128] = bytes(128)
-    out[136] &= 0x80
-    out[137:395] = bytes(258)
-    at = 396
-    for _ in range(body[395]):
-        _need(at + 36 <= len(out), "short cue sheet track")
-        out[at + 9 : at + 21] = bytes(12)
-        out[at + 21] &= 0xC0
-        out[at + 22 : at + 35] = bytes(13)
-        points, at = out[at + 35], at + 36
-        for _ in range(points):
-            _need(at + 12 <= len(out), "short cue sheet index")
-            out[at + 9 : at + 12] = bytes(3)
-            at += 12
-    _need(at == len(out), "cue sheet of wrong length")
-    return bytes(out)
+    done: list[bytes] = []
+
+    def record(size: int, fields: list[tuple[int, int, int]]) -> int:
+        at = sum(map(len, done))
+        own = bytearray(body[at : at + size])
+        _need(len(own) == size, "short cue sheet")
+        for offset, length, stays in fields:
+            own[offset : offset + length] = bytes(b & stays for b in own[offset : offset + length])
+        done.append(bytes(own))
+        return own[-1]
+
+    for _ in range(record(*CUE_HEADER)):
+        for _ in range(record(*CUE_TRACK)):
+            record(*CUE_INDEX)
+    out = b"".join(done)
+    _need(len(out) == len(body), "cue sheet of wrong length")
+    return out
 
 
 # FLAC block types.

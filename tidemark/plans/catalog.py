@@ -370,11 +370,21 @@ def prune_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q_svg_unsafe",
-    f"SELECT page_id, regexp_matches(html, {quoted(markup.UNSAFE_OUTPUT)}) AS unsafe_content, regexp_matches(html, {quoted(markup.UNSAFE_TARGET)}) AS unsafe_target, regexp_matches(html, {quoted(markup.STARTS_AS_SVG)}) AS is_svg FROM pages",
+    r"""
+    WITH parts AS (SELECT page_id, html, lower(html) AS low, regexp_extract_all(html, '<[^<>]*>') AS tags FROM pages),
+    named AS (SELECT *, list_transform(tags, lambda t: regexp_replace(lower(regexp_extract(t, '^<([^ \t\r\n/<>]*)', 1)), '^.*:', '')) AS names,
+        list_transform(flatten(list_transform(tags, lambda t: regexp_extract_all(t, '[ \t\r\n]([^ \t\r\n=<>/]+)[ \t\r\n]*=', 1))), lambda a: regexp_replace(lower(a), '^.*:', '')) AS attributes,
+        list_transform(regexp_extract_all(low, 'attributename[ \t\r\n]*=[ \t\r\n]*["'']([^"'']*)', 1), lambda t: trim(t)) AS targets FROM parts)
+    SELECT page_id,
+        len(list_filter(names, lambda n: n IN ('script', 'metadata', 'foreignobject', 'handler', 'title', 'desc'))) > 0 OR len(list_filter(attributes, lambda a: starts_with(a, 'on'))) > 0
+            OR contains(low, 'javascript:') OR contains(low, '<!doctype') OR contains(low, '<!--') AS unsafe_content,
+        len(list_filter(targets, lambda t: t IN ('href', 'xlink:href', 'src', 'style', 'class') OR regexp_matches(t, '^(.*:)?(href|src|style|class|on[^:]*)$'))) > 0 AS unsafe_target,
+        CASE WHEN html IS NOT NULL THEN coalesce(starts_with(ltrim(html), tags[1]) AND names[1] = 'svg', false) END AS is_svg
+    FROM named""",
 )
 def svg_unsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, html = table(spark, sf_dir, "pages"), F.col("html")
-    return pages.select("page_id", html.rlike(markup.UNSAFE_OUTPUT).alias("unsafe_content"), html.rlike(markup.UNSAFE_TARGET).alias("unsafe_target"), html.rlike(markup.STARTS_AS_SVG).alias("is_svg"))
+    facts = markup.output_facts(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", *(fact.alias(name) for name, fact in facts.items()))
 
 
 # --- Byte cleaners --------------------------------------------------------------------------------------------------------
