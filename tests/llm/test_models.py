@@ -390,3 +390,19 @@ def test_items_of_few_words_must_occur_as_they_are(spark):
 def test_held_out_fold_matches_crc32(spark):
     rows = documents(spark, ["x"] * 50).select("doc_id", toxicity.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_temperature_and_limit_come_from_all_learned_texts(spark):
+    """Over the 4,000 rows that a sample once held; brute force over every row."""
+    r = np.random.default_rng(3)
+    letters = ["abcd", "cdef"]
+    texts = [(k, "ab"[k % 2], "".join(r.choice(list(letters[k % 2] + " "), int(r.integers(1, 12)))) + "c") for k in range(9000)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    found = langid.learn(docs)
+    rows = langid.totals(docs, found, ["lang"]).where("letters > 0").collect()
+    total, own = np.array([x.total for x in rows]), np.array([x.letters for x in rows])
+    true = total[np.arange(len(rows)), [found.langs.index(x.lang) for x in rows]]
+    entropy = np.sort(-true / own)
+    assert len(rows) == 9000 and found.limit == entropy[math.ceil(langid.REJECT_QUANTILE * len(rows)) - 1] + langid.REJECT_MARGIN
+    loss = [np.mean(np.log(np.exp(s * total).sum(axis=1)) - s * true) for s in langid.SLOPES]
+    assert found.slope == langid.SLOPES[int(np.argmin(loss))]

@@ -10,9 +10,10 @@ letter but one, with which every longer n-gram and context that a letter's proba
 log-probability is the exact sum of its blocks'.  Each block is sent to executors in its own pass; usually there is one.
 A text goes to the language with the least cross-entropy per letter.
 
-The score is the probability of that language under a softmax of the total log-probabilities with a temperature fitted on a
-bounded sample of learned texts (about ``CALIBRATION_ROWS``, whole texts).  ``rejected`` marks texts whose cross-entropy exceeds
-what ``REJECT_QUANTILE`` of the sample's texts have in their own language: such texts are in none of the learned languages.
+The score is the probability of that language under a softmax of the total log-probabilities with a temperature fitted on
+all learned texts.  ``rejected`` marks texts whose cross-entropy exceeds by ``REJECT_MARGIN`` what ``REJECT_QUANTILE`` of all
+learned texts have in their own language at most: such texts are in none of the learned languages.  Losses are summed as whole
+numbers and the quantile is found by counting, so neither depends on the order of rows.
 
 Null texts and texts without a letter: ``und``, score 0, rejected.  Null languages and held-out rows are not learned; a null
 doc_id counts as held out; a language without any letter is not learned.  With no learnable row every text is ``und``.
@@ -21,6 +22,7 @@ doc_id counts as held out; a language without any letter is not learned.  With n
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +39,10 @@ from tidemark.llm.toxicity import held_out
 
 ORDER = 4
 BLOCK_NGRAMS = 1 << 22  # about 150 MB
-CALIBRATION_ROWS = 2000
 REJECT_QUANTILE = 0.999
+REJECT_MARGIN = 0.25
+SLOPES = np.geomspace(1e-3, 1, 31)
+LOSS_UNIT = 1 << 16
 _BITS = 12
 
 
@@ -327,27 +331,57 @@ def totals(docs: DataFrame, found: Identifier, keep: list[str], text_col: str =
     return out.select(*keep, "total", "letters")
 
 
-def learn(docs: DataFrame, rows: int = CALIBRATION_ROWS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", block_ngrams: int = BLOCK_NGRAMS) -> Identifier:
-    """Learn from all rows of ``docs`` that have a language, and fit temperature and limit on about ``rows`` of them."""
-    found = models(docs, block_ngrams, lang_col, text_col)
-    if not found.langs:
-        return found
-    every = max(1, docs.count() // rows)
-    chosen = docs.where(F.col(lang_col).isNotNull() & (F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = sorted(totals(chosen, found, ["lang"]).where("letters > 0").limit(2 * rows).collect())  # numbers only
-    if sample:
-        own, truth = np.array([r["letters"] for r in sample]), np.array([found.langs.index(r["lang"]) for r in sample])
-        total = np.array([r["total"] for r in sample])
-        gap = total - total.max(axis=1, keepdims=True)
-        slopes = np.geomspace(1e-3, 1, 31)
-        loss = [np.mean(np.log(np.exp(np.clip(s * gap, -700, 0)).sum(axis=1)) - s * gap[np.arange(len(gap)), truth]) for s in slopes]
-        found.slope = float(slopes[int(np.argmin(loss))])
-        found.limit = float(np.quantile(-total[np.arange(len(total)), truth] / own, REJECT_QUANTILE)) + 0.25
+def ranked(bits: DataFrame, k: int) -> int:
+    """The number at place ``k`` (from 0) of the column ``bits`` (not negative), in order: its leading bits are counted first, then the next ones."""
+    for shift in (44, 30, 15, 0):
+        before = 0
+        for r in sorted(bits.groupBy(F.shiftright("bits", shift).alias("own")).count().collect()):
+            if before + r["count"] > k:
+                break
+            before += r["count"]
+        bits, k = bits.where(F.shiftright("bits", shift) == r["own"]), k - before
+    return r["own"]
+
+
+def calibrated(found: Identifier, scored: DataFrame, lang_col: str = "lang") -> Identifier:
+    """``found`` with temperature and limit from all rows of ``scored`` (language, total, letters) that have a language and a letter."""
+    langs = found.langs
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.asarray(batch.column("letters"))
+            total = np.asarray(batch.column("total").flatten()).reshape(len(own), -1)
+            truth = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            true = total[np.arange(len(own)), truth]
+            gap, best = total - total.max(axis=1, keepdims=True), true - total.max(axis=1)
+            loss = [np.floor((np.log(np.exp(np.clip(s * gap, -700, 0)).sum(axis=1)) - s * best) * LOSS_UNIT).astype(np.int64) for s in SLOPES]
+            losses = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(SLOPES)), pa.array(np.stack(loss, axis=1).ravel()))
+            # The bits of positive doubles have the order of the numbers.
+            yield pa.RecordBatch.from_arrays([pa.array((-true / own).view(np.int64)), losses], ["bits", "losses"])
+
+    rows = scored.select(F.col(lang_col).alias("lang"), "total", "letters").where(F.col("lang").isin(langs) & (F.col("letters") > 0))
+    rows = written(rows.mapInArrow(compute, "bits long, losses array<long>"), "calibration")
+    sums = [F.sum(F.col("losses")[k].cast("decimal(38,0)")) for k in range(len(SLOPES))]
+    n, *loss = rows.agg(F.count("*"), *sums).first()
+    if n:
+        found.slope = float(SLOPES[loss.index(min(loss))])
+        found.limit = float(np.int64(ranked(rows.select("bits"), max(1, math.ceil(REJECT_QUANTILE * n)) - 1)).view(np.float64)) + REJECT_MARGIN
     return found
 
 
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", block_ngrams: int = BLOCK_NGRAMS) -> Identifier:
+    """Learn from all rows of ``docs`` that have a language; temperature and limit come from all of them too."""
+    found = models(docs, block_ngrams, lang_col, text_col)
+    return calibrated(found, totals(docs, found, [lang_col], text_col), lang_col) if found.langs else found
+
+
 def identify(docs: DataFrame, found: Identifier, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred, score and rejected for every row."""
+    return decided(totals(docs, found, keep, text_col), found, keep)
+
+
+def decided(scored: DataFrame, found: Identifier, keep: list[str]) -> DataFrame:
+    """``keep`` columns, lang_pred, score and rejected for every row of ``scored`` (total and letters beside them)."""
     decide = Identifier(found.langs, [], found.slope, found.limit).decide
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,11 +390,15 @@ def identify(docs: DataFrame, found: Identifier, keep: list[str], text_col: str
             lang, score, rejected = decide(np.asarray(batch.column("total").flatten()).reshape(len(own), -1), own)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return totals(docs, found, keep, text_col).mapInArrow(compute, f"{kinds}lang_pred string, score double, rejected boolean")
+    kinds = "".join(f"`{c}` {scored.schema[c].dataType.simpleString()}, " for c in keep)
+    return scored.select(*keep, "total", "letters").mapInArrow(compute, f"{kinds}lang_pred string, score double, rejected boolean")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the language of all documents, learned outside the held-out fold."""
     docs = documents(spark, sf_dir).withColumn("held_out", held_out())
-    return identify(docs, learn(docs.where("not held_out")), ["doc_id", "held_out"])
+    found = models(docs.where("not held_out"))
+    scored = written(totals(docs, found, ["doc_id", "held_out", "lang"]), "totals")  # learned texts are scored once for both uses
+    if found.langs:
+        found = calibrated(found, scored.where("not held_out"))
+    return decided(scored, found, ["doc_id", "held_out"])
