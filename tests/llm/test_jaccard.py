@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tests.llm.helpers import AWKWARD, documents
 from tidemark.llm import simhash as module
 
@@ -111,3 +113,26 @@ def test_repeated_and_null_ids(spark):
     kept = module.similar_representatives(doubled)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
     assert module.similar_representatives(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_every_pair_of_similarity_four_fifths_counts(spark, block):
+    """No pair is left to chance: near the limit bands miss some, and members of a key that share only their leader's frame."""
+    r = random.Random(12)
+    texts = _texts()
+    for words in (30, 60, 300):
+        for _ in range(150):
+            own = [f"w{r.randrange(10**6)}" for _ in range(words)]
+            lost = int((words - 4) / 9)  # shingles that new words at the end cost, for a similarity of 0.8
+            texts += [" ".join(own), " ".join([*own[: words - lost], *(f"x{r.randrange(10**6)}" for _ in range(lost))])]
+    # Pairs that share three quarters with all others of their group, so that one leader stands for all.
+    for words in (100, 200):
+        frame = [f"v{r.randrange(10**6)}" for _ in range(words)]
+        for _ in range(40):
+            tail = [f"y{r.randrange(10**6)}" for _ in range(words // 3)]
+            texts += [" ".join([*frame, *tail]), " ".join([*frame, *tail[: len(tail) // 2], *(f"z{r.randrange(10**6)}" for _ in range(len(tail) // 3))])]
+    docs = documents(spark, texts)
+    rows = module.written(module.named(docs, 5, "doc_id", "text"), "fingerprints")
+    links = module.written(module.similar_links(docs, rows, block=block), "links")
+    kept = {x.doc_id for x in module.jaccard.kept(docs, rows.select("id", "node"), module.components(links)).select("doc_id").collect()}
+    assert kept == set(_components(texts))

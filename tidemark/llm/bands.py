@@ -6,9 +6,8 @@ walks them in order of their names and keeps only leaders: a text goes with the
 ``SIFT`` bits (a pair of similarity 0.8 differs by about 10 of 64 bits, standard deviation 3), else it leads.  So a group of any
 size gives one pair a text, and memory grows with the leaders alone.
 
-Pairs are checked exactly elsewhere.  Texts whose pair fails the check come back once more: each is paired with its nearest
-neighbour among those of its key that failed, in blocks of ``BLOCK``.  A text that similar ones link to by a chain alone may be
-missed in one band; it has the others.
+Pairs are checked exactly elsewhere.  What no key proposes, or a leader stands in for, is found by the exact search of module
+``prefixes`` between the components that these pairs make.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from tidemark.llm.common import parallelism
 
 BANDS, ROWS = 24, 8
 SIFT = 20
-BLOCK = 1 << 14
 
 _RANDOM = np.random.default_rng(11)
 _ODD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -88,38 +86,5 @@ def to_leaders(found: DataFrame, sift: int = SIFT) -> DataFrame:
     return _gathered(found).mapInArrow(propose, "key long, node long, fp long, other long")
 
 
-def to_neighbours(found: DataFrame, sift: int = SIFT) -> DataFrame:
-    """(node, other): each text of a key with its nearest neighbour there within ``sift`` bits; one shuffle."""
-
-    def solve(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
-        for at in range(0, len(fp), 256):
-            apart = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :])
-            apart[node[at : at + 256, None] == node[None, :]] = 65
-            best = apart.argmin(axis=1)
-            good = apart[np.arange(len(best)), best] <= sift
-            a.append(node[at : at + 256][good])
-            b.append(node[best[good]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["node", "other"])
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-        for runs in _runs(batches):
-            for key, nodes, fps in runs:
-                if key != current and held:
-                    if sum(len(h[0]) for h in held) > 1:
-                        yield solve(*map(np.concatenate, zip(*held)))
-                    held = []
-                current = key
-                held.append((nodes, fps))
-                if sum(len(h[0]) for h in held) > BLOCK:
-                    yield solve(*map(np.concatenate, zip(*held)))
-                    held = []
-        if held and sum(len(h[0]) for h in held) > 1:
-            yield solve(*map(np.concatenate, zip(*held)))
-
-    return _gathered(found).mapInArrow(propose, "node long, other long")
-
-
 def _gathered(found: DataFrame) -> DataFrame:
     return found.repartition(parallelism(found), "key").sortWithinPartitions("key", "node")

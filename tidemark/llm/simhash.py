@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm import bands, jaccard
+from tidemark.llm import bands, jaccard, prefixes
 from tidemark.llm.common import documents, parallelism, sliced, utf8, written
 from tidemark.llm.components import components
 
@@ -226,23 +226,31 @@ def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
 
 
 def named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id (null as the largest number), node (the text's words), fp and bands (keys; none of a text without words) of every row; no shuffle."""
+    """id (null as the largest number), node (the text's words), fp, bands (keys; none of a text without words), n (shingles of the set) and first (its prefix) of every row."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    own = docs.select(key.alias("id"), utf8(text_col).alias("bytes"))
+    sent = docs.sparkSession.sparkContext.broadcast(prefixes.order_of(docs, words, text_col))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sent.value
         for batch in batches:
             for part in sliced(batch, "bytes", 2 << 20):
                 texts = part.column(1).to_pylist()
                 nodes = [jaccard.node_of(jaccard.words_of(t)) for t in texts]
                 hashes, n, which = shingle_hashes(texts, words)
                 prints, sizes, keys = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
+                count, first = np.zeros(len(texts), np.int64), [b""] * len(texts)
                 if which:
                     prints[which], sizes[which] = _majorities(hashes, n), bands.BANDS
                     keys = bands.keys_of(np.frombuffer(hashes, ">u8").astype(np.uint64), n).ravel().view(np.int64)
+                    for i, own in zip(which, np.split(np.frombuffer(hashes, np.int64), np.cumsum(n)[:-1])):
+                        own = np.unique(own)
+                        count[i], first[i] = len(own), order.first(own).tobytes()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), lists], ["id", "node", "fp", "bands"])
+                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), lists, pa.array(count), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "bands", "n", "first"])
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(key.alias("id"), utf8(text_col).alias("bytes")).mapInArrow(compute, "id long, node long, fp long, bands array<long>")
+    return own.mapInArrow(compute, "id long, node long, fp long, bands array<long>, n long, first binary")
 
 
 def near_pairs(nodes: DataFrame, bits: int = MAX_BITS, groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
@@ -255,20 +263,21 @@ def near_pairs(nodes: DataFrame, bits: int = MAX_BITS, groups: int | None = None
     return same.unionByName(edges.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, text_col: str = "text", groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Links (a, b) between nodes of ``rows`` whose sets of shingles have similarity 0.8: candidates from the grid and from bands, all checked exactly."""
+def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE_WORDS, bits: int = MAX_BITS, text_col: str = "text", groups: int | None = None, cell_limit: int = CELL_LIMIT, block: int = prefixes.BLOCK) -> DataFrame:
+    """Links (a, b) between nodes of ``rows`` (written by ``named``) that keep the components of all pairs of similarity 0.8.
+
+    Candidates from the grid and from bands are checked exactly and join most of what belongs together.  All other pairs of
+    similarity 0.8 lie between the components so found; the prefix filter proposes every one of them.
+    """
     nodes = written(rows.select("node", "fp", "bands").dropDuplicates(["node"]), "nodes")
-    proposed = written(bands.to_leaders(bands.entries(nodes)), "to-leaders")
-    pairs = near_pairs(nodes.select("node", "fp"), bits, groups, cell_limit).unionByName(proposed.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    pairs = written(_ordered(pairs), "pairs")
-    sets = jaccard.sets(docs, pairs, words, text_col)
-    good = written(jaccard.checked(pairs, sets), "good-pairs")
-    # What failed with its leader has another chance, with its nearest neighbour of the same key.
-    ends = (F.least("node", "other") == good.a) & (F.greatest("node", "other") == good.b)
-    failed = written(proposed.join(good, ends, "left_anti").select("key", "node", "fp"), "failed")
-    again = bands.to_neighbours(failed).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    more = jaccard.checked(written(_ordered(again).join(pairs, ["a", "b"], "left_anti"), "more-pairs"), sets)
-    return good.unionByName(more)
+    proposed = bands.to_leaders(bands.entries(nodes)).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = written(_ordered(near_pairs(nodes.select("node", "fp"), bits, groups, cell_limit).unionByName(proposed)), "pairs")
+    good = written(jaccard.checked(pairs, jaccard.sets(docs, pairs, words, text_col)), "good-pairs")
+    roots = written(components(good), "roots")
+    firsts = rows.select("node", "n", "first").dropDuplicates(["node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = prefixes.candidates(firsts, parallelism(docs), block).join(pairs, ["a", "b"], "left_anti")  # those were checked
+    rest = written(rest, "rest-pairs")
+    return good.unionByName(jaccard.checked(rest, jaccard.sets(docs, rest, words, text_col)))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -279,7 +288,7 @@ def similar_representatives(docs: DataFrame, words: int = jaccard.SHINGLE_WORDS,
     """One row of ``docs``, all columns, from each group of texts linked by sets of shingles with Jaccard similarity 0.8.
 
     No radius of a 64-bit fingerprint that the grid can search is sure to hold all pairs of similarity 0.8, so bands of minima
-    propose pairs beside it, and fingerprints sift them (module ``bands``).
+    propose pairs beside it, fingerprints sift them (module ``bands``), and an exact search finds the rest (module ``prefixes``).
     """
     rows = written(named(docs, words, id_col, text_col), "fingerprints")
     edges = written(similar_links(docs, rows, words, bits, text_col), "similar-links")
