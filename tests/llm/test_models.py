@@ -406,3 +406,21 @@ def test_temperature_and_limit_come_from_all_learned_texts(spark):
     assert len(rows) == 9000 and found.limit == entropy[math.ceil(langid.REJECT_QUANTILE * len(rows)) - 1] + langid.REJECT_MARGIN
     loss = [np.mean(np.log(np.exp(s * total).sum(axis=1)) - s * true) for s in langid.SLOPES]
     assert found.slope == langid.SLOPES[int(np.argmin(loss))]
+
+
+def test_neighbour_counts_are_held_in_bounded_memory():
+    """Ten million distinct cells leave in small batches; few cells that come again and again are kept and summed."""
+    r = np.random.default_rng(4)
+    held, seen, largest = brown.Sums(), 0, 0
+    tracemalloc.start()
+    for _ in range(100):
+        for key, n in held.add(r.integers(0, 1 << 62, 100_000)):
+            seen, largest = seen + int(n.sum()), max(largest, len(key))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert largest <= brown.SENT_ROWS and peak < 150_000_000
+    assert seen + sum(int(n.sum()) for _, n in held.rest()) == 10_000_000 and not list(held.rest())
+    few, keys = brown.Sums(300), [r.integers(0, 100, 500) for _ in range(20)]
+    assert not [x for k in keys for x in few.add(k)]
+    ((key, n),) = few.rest()
+    assert dict(zip(key.tolist(), n.tolist())) == Counter(np.concatenate(keys).tolist())

@@ -44,7 +44,41 @@ ROUNDS = 12
 HELD_WORDS = 600_000
 MIN_COUNT = 12
 PARALLEL_ROUNDS = 1
-HELD_CELLS = 4_000_000
+HELD_CELLS = 1 << 21
+SENT_ROWS = 1 << 16
+SLICE_BYTES = 2 << 20
+
+
+class Sums:
+    """Counts by key of many parts, in bounded memory: ``add`` and ``rest`` give back (keys, counts) of ``SENT_ROWS`` at most."""
+
+    def __init__(self, most: int = HELD_CELLS):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > self.most:
+            self._merge()
+            if self.size > self.most // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._merge()
+        key, n = self.parts.pop()
+        self.size = 0
+        for at in range(0, len(key), SENT_ROWS):
+            yield key[at : at + SENT_ROWS], n[at : at + SENT_ROWS]
+
+    def _merge(self) -> None:
+        key = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in self.parts)])
+        n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.parts)])
+        self.parts = []
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.parts = [(key[first], np.add.reduceat(n, first) if len(key) else n)]
+        self.size = len(first)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -53,19 +87,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            own = iter(held.items())
+            while part := list(itertools.islice(own, SENT_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 for text in part.column(0).to_pylist():
                     held.update(text.lower().split())
                 held[END] += part.num_rows
                 if len(held) > HELD_WORDS:
-                    yield out()
+                    yield from out()
                     held.clear()
-        if held:
-            yield out()
+        yield from out()
 
     return docs.select(utf8(text_col).alias("bytes")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -124,7 +159,7 @@ def bigrams(docs: DataFrame, symbols: Symbols, text_col: str = "text") -> np.nda
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WIDTH * WIDTH, np.int64)
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 symbol = sent.value.read(part.column(0).to_pylist())[1]
                 total += np.bincount(np.concatenate([[0], symbol[:-1]]) * WIDTH + symbol, minlength=len(total))
         found = np.flatnonzero(total)
@@ -206,7 +241,7 @@ def class_bigrams(docs: DataFrame, symbols: Symbols, of: np.ndarray, classes: in
         symbols, of = sent.value
         total = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 own = of[symbols.read(part.column(0).to_pylist())[1]]
                 total += np.bincount(np.concatenate([[0], own[:-1]]) * classes + own, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["pair", "n"])
@@ -223,28 +258,22 @@ def neighbours(docs: DataFrame, symbols: Symbols, of: np.ndarray, movable: int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, of = sent.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held = Sums()
 
-        def out() -> pa.RecordBatch:
-            key, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width - 1).astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
 
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 index, symbol, *_ = symbols.read(part.column(0).to_pylist())
                 own, before = of[symbol], np.concatenate([[0], index[:-1]])
                 last = np.concatenate([[0], own[:-1]])
                 mine, other, twice = (index > 0) & (index < movable), (before > 0) & (before < movable), index == before
                 keys = [index[mine & ~twice] * width + 1 + classes + last[mine & ~twice], before[other & ~twice] * width + 1 + own[other & ~twice], index[mine & twice] * width]
-                held.append(np.unique(np.concatenate(keys), return_counts=True))
-                size += len(held[-1][0])
-                if size > HELD_CELLS:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+                for key, n in held.add(np.concatenate(keys)):
+                    yield out(key, n)
+        for key, n in held.rest():
+            yield out(key, n)
 
     rows = docs.select(utf8(text_col).alias("bytes")).mapInArrow(count, "word long, cell int, n long")
     return rows.groupBy("word", "cell").agg(F.sum("n").alias("n"))
@@ -365,7 +394,7 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], te
         plain, emit = np.log10(own.counts + 1), np.log10(own.counts + DELTA)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in sliced(batch, "bytes"):
+            for part in sliced(batch, "bytes", SLICE_BYTES):
                 index, symbol, rare, places, ends = own.symbols.read(part.column("bytes").to_pylist())
                 begin = np.concatenate([[0], ends[:-1]])
                 cls = own.of[symbol]
