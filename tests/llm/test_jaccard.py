@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tests.llm.helpers import AWKWARD, documents
+from tidemark.llm import common
 from tidemark.llm import simhash as module
 
 
@@ -136,3 +137,38 @@ def test_every_pair_of_similarity_four_fifths_counts(spark, block):
     links = module.written(module.similar_links(docs, rows, block=block), "links")
     kept = {x.doc_id for x in module.jaccard.kept(docs, rows.select("id", "node"), module.components(links)).select("doc_id").collect()}
     assert kept == set(_components(texts))
+
+
+def test_a_common_passage_gives_no_row_for_every_two_texts(spark, monkeypatch):
+    """Unlike texts that share a passage which the sample for the order doesn't show: rows grow with the texts, not with their square."""
+    monkeypatch.setattr(module.prefixes, "SAMPLE_TEXTS", 0)
+    r = random.Random(13)
+    frame = [f"v{r.randrange(10**6)}" for _ in range(100)]
+    texts = [" ".join([*frame, *(f"w{r.randrange(10**6)}" for _ in range(35))]) for _ in range(300)]
+    texts += [texts[7] + " end"]
+    docs = documents(spark, texts)
+    rows = module.written(module.named(docs, 5, "doc_id", "text"), "fingerprints")
+    made = len(common.MADE)
+    module.similar_links(docs, rows).count()
+    count = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: spark.read.parquet(p).count() for p in common.MADE[made:] if "/met-" in p or "/rest-pairs-" in p}
+    assert count["met"] <= 40 * len(texts) and count["rest-pairs"] <= len(texts)
+
+
+def test_marks_never_leave_out_a_similar_pair():
+    """Pairs of similarity 4/5 just so, of sizes that give marks of equal and of different widths; unlike ones mostly go."""
+    import numpy as np
+
+    r, kept, unlike = np.random.default_rng(14), 0, 0
+    for n in (1, 4, 9, 45, 90, 92, 181, 300, 724, 3000, 30_000):
+        for cut in (0, n // 9, n // 5):  # what the other set lacks; it gains as many as similarity 4/5 allows
+            a = np.unique(r.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+            more = 5 * (n - cut) // 4 - n
+            b = np.unique(np.concatenate([a[: n - cut], r.integers(-(1 << 63), 1 << 63, max(more, 0), dtype=np.int64)]))
+            c = np.unique(r.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+            assert module.jaccard.similar(a, b)
+            marks = module.prefixes.Marks([module.prefixes.marks_of(x) for x in (a, b, c)])
+            size = np.array([len(x) << 32 for x in (a, b, c)])
+            near = marks.near(np.array([0, 1, 0]), np.array([1, 0, 2]), size)
+            assert near[0] and near[1]
+            kept, unlike = kept + near[2], unlike + 1
+    assert kept <= unlike // 8

@@ -8,12 +8,18 @@
    need to share for that overlap.
 3. Texts of one component of the links known before are never compared, so a cluster of near copies costs no pairs.  A cell
    of over ``BLOCK`` texts is dealt over tasks in pairs of blocks; each pair of its texts is compared in one of them.
+4. Only cells that hold texts of several components go on, and only their texts send their marks: the parity of their
+   shingles in each of about as many buckets as the set has shingles.  The bits in which two marks differ are at most the
+   shingles in which the sets differ, which are (n + m) / 9 at most at similarity 4/5, so a pair whose marks differ in more
+   is left out before it becomes a row.  What makes rows is thus a text's own cells and pairs that are similar or nearly so,
+   not every two texts that share a common line.
 
 The pairs are candidates: they are checked exactly elsewhere.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +36,7 @@ FLAG_BITS = 22
 SLICE_BYTES = 2 << 20
 BLOCK = 4096
 HELD_PAIRS = 1 << 16
+LEAST_MARK, MOST_MARK = 6, 13  # bits as powers of two; marks of sets over 18,000 shingles leave out little
 
 
 def prefix_length(n: int) -> int:
@@ -57,6 +64,43 @@ class Order:
         return found[: prefix_length(len(found))]
 
 
+def marks_of(found: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of its buckets; half of a longer mark, added to the other, is the shorter one."""
+    n = len(found)
+    if not n:
+        return b""
+    bits = 1 << min(max(round(math.log2(n)), LEAST_MARK), MOST_MARK)
+    return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+class Marks:
+    """The marks of rows, by width, and which pairs of rows they leave."""
+
+    def __init__(self, marks: list[bytes]):
+        self.width = np.fromiter(map(len, marks), np.int64, len(marks))
+        self.place, self.rows = np.zeros(len(marks), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.place[own] = np.arange(len(own))
+            self.rows[width] = np.frombuffer(b"".join([marks[i] for i in own.tolist()]), np.uint64).reshape(len(own), width // 8)
+
+    def near(self, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether rows i and j may have similarity 4/5; their numbers of shingles differ by a quarter at most."""
+        apart = np.zeros(len(i), np.int64)
+        wide, narrow = np.maximum(self.width[i], self.width[j]), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(wide).tolist():
+            for other in (width, width // 2):
+                chosen = np.flatnonzero((wide == width) & (narrow == other))
+                if not len(chosen):
+                    continue
+                a, b = (np.where(self.width[x[chosen]] == w, x[chosen], y[chosen]) for w, x, y in ((width, i, j), (other, j, i)))
+                first, second = self.rows[width][self.place[a]], self.rows[other][self.place[b]]
+                if other != width:
+                    first = first[:, : other // 8] ^ first[:, other // 8 :]
+                apart[chosen] = np.bitwise_count(first ^ second).sum(axis=1, dtype=np.int64)
+        return 9 * apart <= (size[i] >> 32) + (size[j] >> 32)
+
+
 def order_of(docs: DataFrame, words: int, text_col: str) -> Order:
     """The order that puts shingles in several texts of a sample last, the most frequent at the end."""
 
@@ -122,16 +166,12 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         yield [np.concatenate([h[c] for h in held]) for c in range(len(names))]
 
 
-FOUND = "a long, b long, need long, cell long, size long, root long, large boolean"
-
+MEMBERS = "cell long, node long, size long, root long, large boolean"
+PAIRS = "a long, b long, need long"
 
-def _pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-    zero = pa.array(np.zeros(len(a), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared(s, t)), zero, zero, zero, pa.array(np.zeros(len(a), bool))], ["a", "b", "need", "cell", "size", "root", "large"])
 
-
-def _across(node: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of a cell's texts (sorted by size) of different components; of different sides only, where given."""
+def _across(size: np.ndarray, root: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs (places) of a cell's texts (sorted by size) of different components; of different sides only, where given."""
     a, b, held = [], [], 0
     n = size >> 32
     ends = np.searchsorted(n, 5 * n // 4, "right")  # no larger set can reach 4/5
@@ -146,50 +186,75 @@ def _across(node: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarr
             b.append(near)
             held += len(near)
         if held > HELD_PAIRS:
-            yield _pairs(node[x := np.concatenate(a)], node[y := np.concatenate(b)], size[x], size[y])
+            yield np.concatenate(a), np.concatenate(b)
             a, b, held = [], [], 0
     if held:
-        yield _pairs(node[x := np.concatenate(a)], node[y := np.concatenate(b)], size[x], size[y])
+        yield np.concatenate(a), np.concatenate(b)
+
 
+def _beside(cell: np.ndarray, size: np.ndarray, root: np.ndarray, few: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs (places) of different components in cells of at most eight texts (flag ``few``)."""
+    for step in range(1, 8):
+        near = np.flatnonzero(few[step:] & (cell[step:] == cell[:-step]) & (root[step:] != root[:-step]))
+        near = near[possible(size[near + step], size[near])]
+        if len(near):
+            yield near, near + step
+
+
+def _cells(cell: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where cells begin, how many texts they have, and whether of several components."""
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    return first, np.diff(np.append(first, len(cell))), np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
 
-def candidates(rows: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different components from rows (node, n, first, root), one a node; every pair of similarity 4/5 is among them."""
+
+def members(rows: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+    """(cell, node, size, root, large): texts of cells that hold several components; in small cells only those with a possible partner."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, node, size, root in _whole_cells(batches, ["cell", "node", "size", "root"]):
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            count = np.diff(np.append(first, len(cell)))
-            mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-            few = np.repeat(mixed & (count <= 8), count)
-            for step in range(1, 8):
-                near = np.flatnonzero(few[step:] & (cell[step:] == cell[:-step]) & (root[step:] != root[:-step]))
-                near = near[possible(size[near + step], size[near])]
-                if len(near):
-                    yield _pairs(node[near], node[near + step], size[near], size[near + step])
-            for f, n in zip(first[mixed & (count > 8)].tolist(), count[mixed & (count > 8)].tolist()):
-                own = [c[f : f + n] for c in (node, size, root)]
-                if n <= block:
-                    yield from _across(*own)
-                else:
-                    zero = pa.array(np.zeros(n, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[0]), zero, zero, pa.array(cell[f : f + n]), pa.array(own[1]), pa.array(own[2]), pa.array(np.ones(n, bool))], ["a", "b", "need", "cell", "size", "root", "large"])
-
-    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, node, size, root, mine, lone in _whole_cells(batches, ["task", "node", "size", "root", "mine", "lone"]):
-            first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
-            for f, n in zip(first.tolist(), np.diff(np.append(first, len(task))).tolist()):
+            _, count, mixed = _cells(cell, root)
+            stays = np.repeat(mixed & (count > 8), count)
+            for a, b in _beside(cell, size, root, np.repeat(mixed & (count <= 8), count)):
+                stays[a] = stays[b] = True
+            columns = [cell[stays], node[stays], size[stays], root[stays], np.repeat(count > block, count)[stays]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "size", "root", "large"])
+
+    return cells_of(rows).repartition(parts, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, MEMBERS)
+
+
+def candidates(rows: DataFrame, marks: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different components from rows (node, n, first, root) and marks (node, marks), one a node each; every pair of similarity 4/5 is among them."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, node, size, root, mine, lone, marks in _whole_cells(batches, ["task", "node", "size", "root", "mine", "lone", "marks"]):
+            known = Marks(marks.tolist())
+
+            def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+                near = known.near(a, b, size)
+                a, b = a[near], b[near]
+                x, y = node[a], node[b]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(shared(size[a], size[b]))], ["a", "b", "need"])
+
+            first, count, _ = _cells(task, root)
+            alone = lone[first] == 1
+            for a, b in _beside(task, size, root, np.repeat(alone & (count <= 8), count)):
+                yield out(a, b)
+            rest = ~alone | (count > 8)
+            for f, n in zip(first[rest].tolist(), count[rest].tolist()):
                 own = slice(f, f + n)
-                yield from _across(node[own], size[own], root[own], None if lone[f] else mine[own])
-
-    found = cells_of(rows).repartition(parts, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, FOUND)
-    found = written(found, "met")
-    pairs, members = found.where("not large").select("a", "b", "need"), found.where("large").select("cell", F.col("a").alias("node"), "size", "root")
-    if members.limit(1).count():
+                for a, b in _across(size[own], root[own], None if lone[f] else mine[own]):
+                    yield out(a + f, b + f)
+
+    found = written(members(rows, parts, block), "met")
+    small, large = found.where("not large"), found.where("large")
+    zero = F.lit(0).cast("long")
+    dealt = small.select(F.col("cell").alias("task"), "node", "size", "root", zero.alias("mine"), (zero + 1).alias("lone"))
+    if large.limit(1).count():
         number = F.ceil(F.col("n") / block).cast("int")
-        members = members.join(members.groupBy("cell").agg(F.count("*").alias("n")).withColumn("blocks", number), "cell")
-        members = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        large = large.join(large.groupBy("cell").agg(F.count("*").alias("n")).withColumn("blocks", number), "cell")
+        large = large.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         task = F.xxhash64("cell", F.least("mine", "with"), F.greatest("mine", "with"))
-        dealt = members.select(task.alias("task"), "node", "size", "root", "mine", (F.col("mine") == F.col("with")).cast("long").alias("lone"))
-        dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "size", "node").mapInArrow(meet_blocks, FOUND)
-        pairs = pairs.unionByName(dealt.select("a", "b", "need"))
+        dealt = dealt.unionByName(large.select(task.alias("task"), "node", "size", "root", "mine", (F.col("mine") == F.col("with")).cast("long").alias("lone")))
+    dealt = dealt.join(marks.select("node", "marks"), "node").select("task", "node", "size", "root", "mine", "lone", "marks")
+    pairs = dealt.repartition(parts, "task").sortWithinPartitions("task", "size", "node").mapInArrow(compare, PAIRS)
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")

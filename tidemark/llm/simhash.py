@@ -226,7 +226,7 @@ def representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
 
 
 def named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id (null as the largest number), node (the text's words), fp, bands (keys; none of a text without words), n (shingles of the set) and first (its prefix) of every row."""
+    """id (null as the largest number), node (the text's words), fp, bands (keys; none of a text without words), n (shingles of the set), first (its prefix) and marks of every row."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     own = docs.select(key.alias("id"), utf8(text_col).alias("bytes"))
     sent = docs.sparkSession.sparkContext.broadcast(prefixes.order_of(docs, words, text_col))
@@ -239,18 +239,18 @@ def named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
                 nodes = [jaccard.node_of(jaccard.words_of(t)) for t in texts]
                 hashes, n, which = shingle_hashes(texts, words)
                 prints, sizes, keys = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
-                count, first = np.zeros(len(texts), np.int64), [b""] * len(texts)
+                count, first, marks = np.zeros(len(texts), np.int64), [b""] * len(texts), [b""] * len(texts)
                 if which:
                     prints[which], sizes[which] = _majorities(hashes, n), bands.BANDS
                     keys = bands.keys_of(np.frombuffer(hashes, ">u8").astype(np.uint64), n).ravel().view(np.int64)
                     for i, own in zip(which, np.split(np.frombuffer(hashes, np.int64), np.cumsum(n)[:-1])):
                         own = np.unique(own)
-                        count[i], first[i] = len(own), order.first(own).tobytes()
+                        count[i], first[i], marks[i] = len(own), order.first(own).tobytes(), prefixes.marks_of(own)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
-                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), lists, pa.array(count), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "bands", "n", "first"])
+                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), lists, pa.array(count), pa.array(first, pa.binary()), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "bands", "n", "first", "marks"])
 
-    return own.mapInArrow(compute, "id long, node long, fp long, bands array<long>, n long, first binary")
+    return own.mapInArrow(compute, "id long, node long, fp long, bands array<long>, n long, first binary, marks binary")
 
 
 def near_pairs(nodes: DataFrame, bits: int = MAX_BITS, groups: int | None = None, cell_limit: int = CELL_LIMIT) -> DataFrame:
@@ -269,13 +269,13 @@ def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE
     Candidates from the grid and from bands are checked exactly and join most of what belongs together.  All other pairs of
     similarity 0.8 lie between the components so found; the prefix filter proposes every one of them.
     """
-    nodes = written(rows.select("node", "fp", "bands").dropDuplicates(["node"]), "nodes")
+    nodes = written(rows.select("node", "fp", "bands", "marks").dropDuplicates(["node"]), "nodes")
     proposed = bands.to_leaders(bands.entries(nodes)).select(F.col("node").alias("a"), F.col("other").alias("b"))
     pairs = written(_ordered(near_pairs(nodes.select("node", "fp"), bits, groups, cell_limit).unionByName(proposed)), "pairs")
     good = written(jaccard.checked(pairs, jaccard.sets(docs, pairs, words, text_col)), "good-pairs")
     roots = written(components(good), "roots")
     firsts = rows.select("node", "n", "first").dropDuplicates(["node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = prefixes.candidates(firsts, parallelism(docs), block).join(pairs, ["a", "b"], "left_anti")  # those were checked
+    rest = prefixes.candidates(firsts, nodes, parallelism(docs), block).join(pairs, ["a", "b"], "left_anti")  # those were checked
     rest = written(rest, "rest-pairs")
     return good.unionByName(jaccard.checked(rest, jaccard.sets(docs, rest, words, text_col)))
 
