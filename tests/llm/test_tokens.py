@@ -141,3 +141,20 @@ def test_ids_above_sixteen_bits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(huffman, "tokenized", lambda *a: rows)
     huffman.write_ids(docs, str(tmp_path / "wide"))
     assert [r.ids for r in sorted(huffman.read_ids(spark, str(tmp_path / "wide")).collect())] == [[70_002, 3, 130_000, 1], [1]]
+
+
+def test_a_full_memo_keeps_what_comes_up_again(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import words
+
+    memo, computed = words.WordIds("word_bpe_49k.json", most_words=3), []
+    monkeypatch.setattr(memo.pieces, "of", lambda piece: computed.append(piece) or memo._piece(piece))
+    texts = ["Often, word$$$ often... éa!! l'eau, o'clock's 12. <|x|>,", "more (words) &&& a*** Often! ß,;: x'# 'll. it's%%%", "end.) ## often."]
+    for text in [*texts, *texts[::-1]]:
+        ids, ends = memo.encoded(pa.array([text.encode()], pa.binary()))
+        assert ids.tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids and ends.tolist() == [len(ids)]
+    before = len(computed)
+    for _ in range(3):
+        memo.encoded(pa.array([texts[0].encode()], pa.binary()))
+    assert len(computed) - before <= 9 and computed.count("often") == 1

@@ -31,6 +31,7 @@ END_ID = 1
 MAX_BITS = 18
 BLOCK_IDS = 1 << 16
 CHECKPOINT_IDS = 512
+CODE_BYTES = 1 << 18  # ids coded at a time: their arrays stay in a core's cache
 BLOCK_SCHEMA = "part int, block int, ids_n long, docs array<long>, counts array<long>, doc_bits array<long>, point_bits array<long>, code binary"
 
 
@@ -199,7 +200,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = sent.value
         for batch in batches:
-            for part in sliced(batch, "ids", 4 << 20):
+            for part in sliced(batch, "ids", CODE_BYTES):
                 flat, n = flat_ids(part)
                 ends = np.cumsum(n)
                 coded, start, places = encode_bits(flat, ends, codes, lengths)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +27,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+_TAIL = b".,;:!?#$%&*()"  # signs that make one piece after letters and begin no special string
+
 
 def byte_letters() -> dict[int, str]:
     """The printable character that byte-level models use for each byte."""
@@ -37,7 +40,7 @@ def byte_letters() -> dict[int, str]:
 class WordIds:
     """The ids of texts (UTF-8), by column or one by one."""
 
-    def __init__(self, name: str, most_words: int = 400_000):
+    def __init__(self, name: str, most_words: int = 150_000, most_pieces: int = 250_000):
         from tokenizers import Tokenizer
 
         path = public_tokenizers.path(name)
@@ -48,7 +51,7 @@ class WordIds:
         self.special = [t["content"].encode() for t in rules.get("added_tokens", [])]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.most_words = most_words
+        self.most_words, self.most_pieces = most_words, most_pieces
         self.memo = _Memo(self._word)
         self.pieces = _Memo(self._piece)
 
@@ -71,11 +74,15 @@ class WordIds:
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        own = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(own)}I", *own)
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():
             return self.pieces[word.lower().decode()]
+        stem = word.rstrip(_TAIL)
+        if stem.isalpha():
+            return self.pieces[stem.lower().decode()] + self.pieces[word[len(stem) :].decode()]
         text = word.decode()
         if _PLAIN.fullmatch(text) and not (b"<|" in word and any(s in word for s in self.special)):
             return b"".join([self.pieces[p] for p in _SPLIT.findall(text.lower())])
@@ -87,10 +94,7 @@ class WordIds:
         Of another tokenizer, each text is one word.
         """
         if self.by_word:
-            if len(self.memo) > self.most_words:
-                self.memo.clear()
-            if len(self.pieces) > self.most_words:
-                self.pieces.clear()
+            self.memo, self.pieces = self.memo.turned(self.most_words), self.pieces.turned(self.most_pieces)
             lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
             offsets = np.asarray(lists.offsets).astype(np.int64)
             coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
@@ -120,16 +124,27 @@ class WordIds:
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks."""
+    """A dictionary that computes what it lacks; of what it had before a turn, it keeps what comes up again."""
 
     def __init__(self, of):
         super().__init__()
-        self.of = of
+        self.of, self.before = of, {}
 
     def __missing__(self, key):
-        self[key] = found = self.of(key)
+        found = self.before.get(key)
+        if found is None:
+            found = self.of(key)
+        self[key] = found
         return found
 
+    def turned(self, most: int) -> _Memo:
+        """This one, or above ``most`` entries a new one that falls back on it."""
+        if len(self) <= most:
+            return self
+        after, self.before = _Memo(self.of), {}
+        after.before = self
+        return after
+
 
 _KEPT: dict[str, WordIds] = {}
 
