@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import bands, jaccard, prefixes
+from tidemark.llm import words as words_module
 from tidemark.llm.common import documents, parallelism, sliced, utf8, written
 from tidemark.llm.components import components
 
@@ -232,6 +233,7 @@ def named(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(prefixes.order_of(docs, words, text_col))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_module.release()  # another run's packing may have left its memo
         order = sent.value
         for batch in batches:
             for part in sliced(batch, "bytes", 2 << 20):

@@ -154,3 +154,8 @@ def word_ids(name: str) -> WordIds:
     if name not in _KEPT:
         _KEPT[name] = WordIds(name)
     return _KEPT[name]
+
+
+def release() -> None:
+    """Drop what a reused worker keeps of texts and tokenizers, for tasks that need the room and no ids."""
+    _KEPT.clear()
