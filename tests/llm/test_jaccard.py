@@ -172,3 +172,21 @@ def test_marks_never_leave_out_a_similar_pair():
             assert near[0] and near[1]
             kept, unlike = kept + near[2], unlike + 1
     assert kept <= unlike // 8
+
+
+def test_a_large_group_just_below_four_fifths_gives_few_rows(spark, monkeypatch):
+    """Every two of 300 texts have similarity 0.78: too near for marks, too far for links.  Rows grow with the texts, and links are found among them."""
+    monkeypatch.setattr(module.prefixes, "SAMPLE_TEXTS", 0)
+    r = random.Random(15)
+    frame = [f"v{r.randrange(10**6)}" for _ in range(176)]
+    tails = [[f"w{r.randrange(10**6)}" for _ in range(24)] for _ in range(300)]
+    texts = [" ".join([*frame, *tail]) for tail in tails]
+    texts += [" ".join([*frame, *tail[: 4 * k], *(f"x{r.randrange(10**6)}" for _ in range(24 - 4 * k))]) for k in (1, 2, 3, 4) for tail in tails[10 * k : 10 * k + 5]]
+    docs = documents(spark, texts)
+    rows = module.written(module.named(docs, 5, "doc_id", "text"), "fingerprints")
+    made = len(common.MADE)
+    links = module.written(module.similar_links(docs, rows), "links")
+    rest = [spark.read.parquet(p).count() for p in common.MADE[made:] if "/rest-pairs-" in p]
+    kept = {x.doc_id for x in module.jaccard.kept(docs, rows.select("id", "node"), module.components(links)).select("doc_id").collect()}
+    assert kept == set(_components(texts)) and len(kept) < len(texts)
+    assert len(rest) == 1 and rest[0] <= 10 * len(texts) and links.count() <= 10 * len(texts)

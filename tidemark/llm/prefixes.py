@@ -1,20 +1,22 @@
-"""All pairs of texts whose sets of shingles have Jaccard similarity 0.8 and that aren't linked yet: prefix filter, bounds, no pair missed.
+"""Links for all pairs of texts whose sets of shingles have Jaccard similarity 0.8 and that aren't linked yet: prefix filter, bounds, no pair missed.
 
 1. All sets are put into one order.  Sets of n shingles with similarity 4/5 share one at least of their first
    n - ceil(4n/5) + 1, so they meet in that shingle's cell.  Shingles that are frequent in a sample come last in the order,
    so that they seldom make a cell; the sample decides about the work only, as any order is right.
 2. Of two sets of a cell, sizes and places of the common shingle bound the overlap; a pair that can't reach
-   9 * overlap >= 4 * (n + m), which is similarity 4/5, is left out.  A pair must also share as many cells as its prefixes
-   need to share for that overlap.
+   9 * overlap >= 4 * (n + m), which is similarity 4/5, is left out.
 3. Texts of one component of the links known before are never compared, so a cluster of near copies costs no pairs.  A cell
    of over ``BLOCK`` texts is dealt over tasks in pairs of blocks; each pair of its texts is compared in one of them.
 4. Only cells that hold texts of several components go on, and only their texts send their marks: the parity of their
    shingles in each of about as many buckets as the set has shingles.  The bits in which two marks differ are at most the
    shingles in which the sets differ, which are (n + m) / 9 at most at similarity 4/5, so a pair whose marks differ in more
-   is left out before it becomes a row.  What makes rows is thus a text's own cells and pairs that are similar or nearly so,
-   not every two texts that share a common line.
-
-The pairs are candidates: they are checked exactly elsewhere.
+   is left out.
+5. What is left isn't written pair by pair: a cell gives each text that has such a partner one row, which names the least text
+   that its pairs reach there.  So rows grow with texts and never with pairs.  Both texts of every pair of similarity 4/5
+   are in one component of these rows, a neighbourhood.
+6. Each text of a neighbourhood sends its set once (to one task; a neighbourhood of over ``BLOCK`` texts or ``BLOCK_SHINGLES``
+   shingles is dealt in pairs of blocks).  The task compares sets exactly, and only those whose components aren't linked yet,
+   so what it gives is fewer links than it has texts.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ MOST_FREQUENT = 1 << 18  # shingles that are moved to the order's end
 FLAG_BITS = 22
 SLICE_BYTES = 2 << 20
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 21  # 16 MB of sets
 HELD_PAIRS = 1 << 16
 LEAST_MARK, MOST_MARK = 6, 13  # bits as powers of two; marks of sets over 18,000 shingles leave out little
 
@@ -137,17 +140,6 @@ def possible(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return 9 * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= 4 * (n + m)
 
 
-def shared(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """How many shingles the prefixes of sets of these sizes share at least, if their similarity is 4/5.
-
-    Up to the last shingle of the prefix that ends first, both sets have only prefix shingles; what they share after it is at
-    most what that set has left.
-    """
-    n, m = s >> 32, t >> 32
-    left = np.maximum(-(-4 * n // 5), -(-4 * m // 5)) - 1
-    return -(-4 * (n + m) // 9) - left
-
-
 def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows, so cut that no cell (the first column) is in two pieces."""
     held: list[list[np.ndarray]] = []
@@ -167,7 +159,7 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
 
 
 MEMBERS = "cell long, node long, size long, root long, large boolean"
-PAIRS = "a long, b long, need long"
+LINKS = "a long, b long"
 
 
 def _across(size: np.ndarray, root: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -222,39 +214,112 @@ def members(rows: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
     return cells_of(rows).repartition(parts, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, MEMBERS)
 
 
-def candidates(rows: DataFrame, marks: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different components from rows (node, n, first, root) and marks (node, marks), one a node each; every pair of similarity 4/5 is among them."""
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all places that pairs (a, b) connect the least label among them; ``label`` names places and is changed."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _dealt(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``rows`` (with a number of blocks) as task, mine, lone and columns: each text once for each block that its own one meets."""
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.xxhash64(key, F.least("mine", "with"), F.greatest("mine", "with"))
+    return rows.select(task.alias("task"), *columns, "mine", (F.col("mine") == F.col("with")).cast("long").alias("lone"))
+
+
+def neighbours(rows: DataFrame, marks: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b) from rows (node, n, first, root) and marks (node, marks), one a node each: every pair of similarity 4/5 and different roots is in one component of them."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task, node, size, root, mine, lone, marks in _whole_cells(batches, ["task", "node", "size", "root", "mine", "lone", "marks"]):
-            known = Marks(marks.tolist())
+            known, least = Marks(marks.tolist()), np.arange(len(task))
 
-            def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-                near = known.near(a, b, size)
-                a, b = a[near], b[near]
-                x, y = node[a], node[b]
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(shared(size[a], size[b]))], ["a", "b", "need"])
+            def reach(label: np.ndarray, f: int, a: np.ndarray, b: np.ndarray) -> None:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                near = known.near(a + f, b + f, size)
+                _merge(label, a[near], b[near])
 
             first, count, _ = _cells(task, root)
             alone = lone[first] == 1
             for a, b in _beside(task, size, root, np.repeat(alone & (count <= 8), count)):
-                yield out(a, b)
+                reach(least, 0, a, b)
             rest = ~alone | (count > 8)
             for f, n in zip(first[rest].tolist(), count[rest].tolist()):
-                own = slice(f, f + n)
+                own, label = slice(f, f + n), np.arange(n)
                 for a, b in _across(size[own], root[own], None if lone[f] else mine[own]):
-                    yield out(a + f, b + f)
+                    reach(label, f, a, b)
+                least[own] = label + f
+            found = np.flatnonzero(least != np.arange(len(least)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[least[found]])], ["a", "b"])
 
     found = written(members(rows, parts, block), "met")
     small, large = found.where("not large"), found.where("large")
     zero = F.lit(0).cast("long")
     dealt = small.select(F.col("cell").alias("task"), "node", "size", "root", zero.alias("mine"), (zero + 1).alias("lone"))
     if large.limit(1).count():
-        number = F.ceil(F.col("n") / block).cast("int")
-        large = large.join(large.groupBy("cell").agg(F.count("*").alias("n")).withColumn("blocks", number), "cell")
-        large = large.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        task = F.xxhash64("cell", F.least("mine", "with"), F.greatest("mine", "with"))
-        dealt = dealt.unionByName(large.select(task.alias("task"), "node", "size", "root", "mine", (F.col("mine") == F.col("with")).cast("long").alias("lone")))
+        large = large.join(large.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks")), "cell")
+        dealt = dealt.unionByName(_dealt(large, "cell", "node", "size", "root"))
     dealt = dealt.join(marks.select("node", "marks"), "node").select("task", "node", "size", "root", "mine", "lone", "marks")
-    pairs = dealt.repartition(parts, "task").sortWithinPartitions("task", "size", "node").mapInArrow(compare, PAIRS)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+    return dealt.repartition(parts, "task").sortWithinPartitions("task", "size", "node").mapInArrow(compare, LINKS).distinct()
+
+
+def _linked(size: np.ndarray, root: np.ndarray, own: list[bytes], side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Pairs (places) of similarity 4/5 that connect the components of texts (sorted by size) as all such pairs do; of different sides only, where given."""
+    n, label, a, b = size >> 32, root.copy(), [], []
+    if (label == label[0]).all():
+        return a, b
+    known, bounds = Marks([marks_of(np.frombuffer(x, np.int64)) for x in own]), np.append(0, np.cumsum(n))
+    names, shingle = np.unique(np.frombuffer(b"".join(own), np.int64), return_inverse=True)
+    held = np.zeros(len(names), bool)
+    ends = np.searchsorted(n, 5 * n // 4, "right")  # no larger set can reach 4/5
+    for k, end in enumerate(ends.tolist()):
+        fits = label[k + 1 : end] != label[k]
+        if side is not None:
+            fits &= side[k + 1 : end] != side[k]
+        other = np.flatnonzero(fits) + k + 1
+        other = other[known.near(np.full(len(other), k), other, size)]
+        if not len(other):
+            continue
+        mine = shingle[bounds[k] : bounds[k + 1]]
+        held[mine] = True
+        if bounds[end] - bounds[k + 1] < 2000 * len(other):
+            both = np.add.reduceat(held[shingle[bounds[k + 1] : bounds[end]]], bounds[k + 1 : end] - bounds[k + 1], dtype=np.int64)[other - k - 1]
+        else:
+            both = np.array([np.count_nonzero(held[shingle[bounds[c] : bounds[c + 1]]]) for c in other.tolist()])
+        held[mine] = False
+        good = other[9 * both >= 4 * (n[k] + n[other])]
+        if len(good):
+            met, at = np.unique(label[good], return_index=True)
+            a += [k] * len(at)
+            b += good[at].tolist()
+            label[np.isin(label, met)] = label[k]
+    return a, b
+
+
+def links(groups: DataFrame, roots: DataFrame, sets: DataFrame, parts: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of similarity 4/5 that connect different roots (node, root) as all such pairs within neighbourhoods do.
+
+    groups: node and root, here the name of its neighbourhood; sets: node and own, its shingles.  Nodes without a root are their own.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, node, size, root, own, mine, lone in _whole_cells(batches, ["task", "node", "size", "root", "own", "mine", "lone"]):
+            first, count, mixed = _cells(task, root)
+            for f, n in zip(first[mixed].tolist(), count[mixed].tolist()):
+                part = slice(f, f + n)
+                a, b = _linked(size[part], root[part], own[part].tolist(), None if lone[f] else mine[part])
+                yield pa.RecordBatch.from_arrays([pa.array(node[f + np.array(x, np.int64)]) for x in (a, b)], ["a", "b"])
+
+    rows = groups.withColumnRenamed("root", "group").join(sets, "node").join(roots, "node", "left")
+    rows = rows.select("group", "node", F.shiftleft((F.length("own") / 8).cast("long"), 32).alias("size"), F.coalesce("root", "node").alias("root"), "own")
+    n = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.shiftright("size", 32)) / BLOCK_SHINGLES))
+    rows = _dealt(rows.join(rows.groupBy("group").agg(n.alias("blocks")), "group"), "group", "node", "size", "root", "own")
+    return rows.repartition(parts, "task").sortWithinPartitions("task", "size", "node").mapInArrow(link, LINKS)

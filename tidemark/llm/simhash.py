@@ -269,7 +269,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE
     """Links (a, b) between nodes of ``rows`` (written by ``named``) that keep the components of all pairs of similarity 0.8.
 
     Candidates from the grid and from bands are checked exactly and join most of what belongs together.  All other pairs of
-    similarity 0.8 lie between the components so found; the prefix filter proposes every one of them.
+    similarity 0.8 lie between the components so found; the prefix filter puts both texts of each in one neighbourhood, and
+    within those all sets are compared.
     """
     nodes = written(rows.select("node", "fp", "bands", "marks").dropDuplicates(["node"]), "nodes")
     proposed = bands.to_leaders(bands.entries(nodes)).select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -277,9 +278,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, words: int = jaccard.SHINGLE
     good = written(jaccard.checked(pairs, jaccard.sets(docs, pairs, words, text_col)), "good-pairs")
     roots = written(components(good), "roots")
     firsts = rows.select("node", "n", "first").dropDuplicates(["node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = prefixes.candidates(firsts, nodes, parallelism(docs), block).join(pairs, ["a", "b"], "left_anti")  # those were checked
-    rest = written(rest, "rest-pairs")
-    return good.unionByName(jaccard.checked(rest, jaccard.sets(docs, rest, words, text_col)))
+    rest = written(prefixes.neighbours(firsts, nodes, parallelism(docs), block), "rest-pairs")
+    groups = written(components(rest), "neighbourhoods")
+    return good.unionByName(prefixes.links(groups, roots, jaccard.sets(docs, rest, words, text_col), parallelism(docs), block))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
