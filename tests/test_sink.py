@@ -49,3 +49,15 @@ def test_overwriting_is_refused(spark, tmp_path):
     spark.dataSource.register(sink.FilesSink)
     with pytest.raises(Exception, match="never replaced"):
         rows(spark, ("a", b"1")).write.format("tidemark_files").mode("overwrite").save(str(tmp_path))
+
+
+def test_an_attempt_that_begins_after_the_job_has_ended_stages_nothing(tmp_path, monkeypatch):
+    class Task:
+        partitionId = taskAttemptId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(sink.TaskContext, "get", staticmethod(Task))
+    writer = sink.FilesSink({"path": str(tmp_path / "out")}).writer(sink.StructType.fromDDL("name string, content binary"), False)
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([sink.Row("a", b"1")]))
+    assert os.listdir(tmp_path / "out") == []

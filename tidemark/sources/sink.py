@@ -5,7 +5,8 @@ Arrow knows by its address.  A null content is skipped; an empty one gives an em
 
 * A task writes below ``_staging-<job>`` in the folder.  When it has written all its rows, it moves them; a reader never sees part of a file, and
   a task that fails before leaves nothing but staged files.  Commit and abort remove the staging folder, whatever attempts and lost executors
-  left there; commit then writes ``_SUCCESS``.
+  left there; commit then writes ``_SUCCESS``.  The driver makes the staging folder, and tasks never do, so an attempt that is still running
+  or only begins when the job has ended fails instead of staging files again.
 * Files that are there already are never replaced.  Equal bytes are taken as written by an earlier attempt; other bytes are an error.
 * Only counts go to the driver.  So a job that is aborted keeps the whole files of tasks that had ended, and running it again completes them.
 * Names must differ (``packages.unique_names``) and stay below the folder; an empty one, one with ``..`` or an absolute one is an error.
@@ -13,6 +14,7 @@ Arrow knows by its address.  A null content is skipped; an empty one gives an em
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +30,7 @@ from pyspark.sql.types import StructType
 from tidemark.session import ship
 
 CHUNK = 1 << 20
+CLEARINGS = 20  # a running attempt may add files while its folder is removed
 
 
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -65,11 +68,16 @@ class FilesWriter(DataSourceWriter):
     def _staging(self, root: str) -> str:
         return f"{root}/_staging-{self.job}"
 
+    def begin(self) -> FilesWriter:
+        filesystem, root = _opened(self.folder)
+        filesystem.create_dir(self._staging(root), recursive=True)
+        return self
+
     def write(self, iterator: Iterator[Row]) -> Written:
         filesystem, root = _opened(self.folder)
         task = TaskContext.get()
         own = f"{self._staging(root)}/{task.partitionId()}-{task.taskAttemptId()}"
-        filesystem.create_dir(own, recursive=True)
+        filesystem.create_dir(own, recursive=False)
         staged, total = [], 0
         for name, content in iterator:
             if content is None:
@@ -88,8 +96,15 @@ class FilesWriter(DataSourceWriter):
 
     def _clear(self) -> tuple[fs.FileSystem, str]:
         filesystem, root = _opened(self.folder)
-        if filesystem.get_file_info(self._staging(root)).type == fs.FileType.Directory:
-            filesystem.delete_dir(self._staging(root))
+        for left in range(CLEARINGS - 1, -1, -1):
+            if filesystem.get_file_info(self._staging(root)).type != fs.FileType.Directory:
+                break
+            try:
+                filesystem.delete_dir(self._staging(root))
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)
         return filesystem, root
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -114,7 +129,7 @@ class FilesSink(DataSource):
             raise ValueError("files are never replaced: use mode append")
         if [f.dataType.simpleString() for f in schema.fields] != ["string", "binary"]:
             raise ValueError("rows of (name string, content binary) are needed")
-        return FilesWriter(self.options["path"])
+        return FilesWriter(self.options["path"]).begin()
 
 
 def write_files(rows: DataFrame, folder: str, name_col: str = "name", content_col: str = "cleaned") -> None:
