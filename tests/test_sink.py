@@ -51,7 +51,7 @@ def test_overwriting_is_refused(spark, tmp_path):
         rows(spark, ("a", b"1")).write.format("tidemark_files").mode("overwrite").save(str(tmp_path))
 
 
-def test_an_attempt_that_begins_after_the_job_has_ended_stages_nothing(tmp_path, monkeypatch):
+def test_an_attempt_that_begins_after_the_job_has_ended_stages_nothing(spark, tmp_path, monkeypatch):
     class Task:
         partitionId = taskAttemptId = staticmethod(lambda: 0)
 
