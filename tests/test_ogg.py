@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import containers, inspection, ogg
 from tidemark.operators.segments import Damaged
+from tidemark.operators.splice import values
+from tidemark.plans import container_queries
 
 HEAD = {"vorbis": b"\x01vorbis" + bytes(4) + b"\2" + (44100).to_bytes(4, "little") + bytes(13) + b"\1", "opus": b"OpusHead\1\2" + bytes(9)}
 AUDIO = [bytes([k]) * (k * 37 % 700) for k in range(30)]
@@ -89,3 +93,25 @@ def test_any_damage_is_an_error_not_a_crash():
             ogg.tree(bytes(b))
         except (Damaged, ValueError, IndexError):
             pass
+
+
+def test_files_are_made_one_at_a_time_where_they_are_read():
+    texts, made = pa.array([b"%d" % k for k in range(1000)]), container_queries.ogg_maker()
+    tracemalloc.start()
+    nodes = ogg.read(values(texts, made))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(nodes) == 1000 and nodes.nbytes < 2e6 and peak < 20e6  # the files have 85 MB
+    assert len(made(b"")) > 84_000
+
+
+@pytest.mark.parametrize("portion", [containers.PORTION, 100])
+def test_files_of_a_column_and_files_made_of_it_give_the_same(spark, monkeypatch, portion):
+    monkeypatch.setattr(containers, "PORTION", portion)
+    made = container_queries.ogg_maker()
+    rows = [(k, bytearray(t)) for k, t in enumerate([b"", b"a", b"b" * 60_000, b"c" * 130_000, b"\0\r\n"])]
+    texts = spark.createDataFrame(rows, "file_id long, content binary").coalesce(1)
+    files = spark.createDataFrame([(k, bytearray(made(bytes(t)))) for k, t in rows], "file_id long, content binary").coalesce(1)
+    got, wanted = (sorted(df.collect()) for df in (containers.cleaned(texts, ["file_id"], "ogg", made=made), containers.cleaned(files, ["file_id"], "ogg")))
+    assert got == wanted and [(r.file_id, r.error, r.removed) for r in got] == [(k, None, ["vorbisComment"]) for k in range(5)]
+    assert [audio(bytes(r.cleaned)) for r in got] == [bytes(t) for _, t in rows]

@@ -13,6 +13,7 @@ again: every playing track must yield the same sample bytes, by digest, or the f
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.segments import Damaged, _need
-from tidemark.operators.splice import let, spliced
+from tidemark.operators.splice import let, reading, spliced
 from tidemark.session import ship
 
 # Boxes that hold boxes, boxes that hold metadata or padding, and handlers of tracks that play.
@@ -158,20 +159,20 @@ _LONGS, _TEXTS = pa.list_(pa.int64()), pa.list_(pa.string())
 _NODE = pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("within", pa.list_(pa.int32())), ("kind", pa.string()), ("path", pa.string()), ("begin", pa.int64()), ("body", pa.int64()), ("end", pa.int64()), ("handler", pa.string()), ("offsets", _LONGS), ("sizes", _LONGS), ("digest", pa.string()), ("facts", _TEXTS)])
 
 
-def nodes(content: Column) -> Column:
-    """(nodes, error) of a file's bytes; null for null."""
+def read(contents: Iterable[bytes | None]) -> pa.Array:
+    """(nodes, error) of each file's bytes; null for null."""
+    out = []
+    for b in contents:
+        try:
+            out.append(None if b is None else {"nodes": tree(b), "error": None})
+        except (Damaged, ValueError, OverflowError) as error:
+            out.append({"nodes": [], "error": str(error) if isinstance(error, Damaged) else "damaged media file"})
+    return pa.array(out, pa.struct([("nodes", pa.list_(_NODE)), ("error", pa.string())]))
 
-    @F.arrow_udf(f"struct<nodes:array<{NODE}>,error:string>")
-    def read(content: pa.Array) -> pa.Array:
-        out = []
-        for b in content.to_pylist():
-            try:
-                out.append(None if b is None else {"nodes": tree(b), "error": None})
-            except (Damaged, ValueError, OverflowError) as error:
-                out.append({"nodes": [], "error": str(error) if isinstance(error, Damaged) else "damaged media file"})
-        return pa.array(out, pa.struct([("nodes", pa.list_(_NODE)), ("error", pa.string())]))
 
-    return read(content)
+def nodes(content: Column, made: Callable[[bytes], bytes] | None = None) -> Column:
+    """What ``read`` gives, of a column.  ``made``: see ``splice.values``."""
+    return reading(read, f"struct<nodes:array<{NODE}>,error:string>", content, made)
 
 
 def is_fragmented(nodes: Column) -> Column:

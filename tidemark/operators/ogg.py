@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.segments import FAULTS, Damaged, _need
+from tidemark.operators.splice import reading, values
 from tidemark.session import ship
 
 # First bytes of each codec's identification and comment packets, number of header packets, an empty comment.
@@ -76,7 +77,7 @@ def tree(b: bytes) -> tuple[list[dict], list[dict]]:
             _need(own is None and count > 0, "an Ogg stream begins twice")
             codec = next((c for c, (first, _, _) in CODECS.items() if b[body:end].startswith(first)), None)
             _need(codec is not None and lacing[-1] < 255, "unknown Ogg stream")
-            own = streams[serial] = {"serial": serial, "codec": codec, "packets": [b[body:end]], "open": b"", "sum": hashlib.sha256(), "rate": 0, "channels": 0, "last": 0}
+            own = streams[serial] = {"serial": serial, "codec": codec, "packets": [b[body:end]], "open": [], "sum": hashlib.sha256(), "rate": 0, "channels": 0, "last": 0}
             own["channels"] = b[body + (11 if codec == "vorbis" else 9)] if end - body > 12 else 0
             own["rate"] = int.from_bytes(b[body + 12 : body + 16], "little") if codec == "vorbis" else 48000
             header = True
@@ -85,14 +86,14 @@ def tree(b: bytes) -> tuple[list[dict], list[dict]]:
             wanted = CODECS[own["codec"]][2]
             header = len(own["packets"]) < wanted
             if header:
-                p = body
-                for k, size in enumerate(lacing):
+                p = begun = body
+                for size in lacing:
                     _need(len(own["packets"]) < wanted, "audio on a header page")
-                    own["open"] += b[p : p + size]
                     p += size
                     if size < 255:
-                        own["packets"].append(own["open"])
-                        own["open"] = b""
+                        own["packets"].append(b"".join([*own["open"], b[begun:p]]))
+                        own["open"], begun = [], p
+                own["open"].append(b[begun:p])
             else:
                 own["sum"].update(bytes([flags]) + b[at + 6 : at + 14] + lacing + b[body:end])
                 position = int.from_bytes(b[at + 6 : at + 14], "little", signed=True)
@@ -127,25 +128,26 @@ def comments(packet: bytes, codec: str) -> list[tuple[str, str]]:
 
 
 _PAGE = pa.struct([("begin", pa.int64()), ("body", pa.int64()), ("end", pa.int64()), ("serial", pa.int64()), ("sequence", pa.int64()), ("first", pa.bool_()), ("header", pa.bool_())])
-_STREAM = pa.struct([("serial", pa.int64()), ("codec", pa.string()), ("comment", pa.binary()), ("setup", pa.binary()), ("dirty", pa.bool_()), ("digest", pa.string()), ("rate", pa.int64()), ("channels", pa.int64()), ("last", pa.int64())])
-GRAPH = "struct<pages:array<struct<begin:bigint,body:bigint,end:bigint,serial:bigint,sequence:bigint,first:boolean,header:boolean>>,streams:array<struct<serial:bigint,codec:string,comment:binary,setup:binary,dirty:boolean,digest:string,rate:bigint,channels:bigint,last:bigint>>,error:string>"
+_STREAM = pa.struct([("serial", pa.int64()), ("codec", pa.string()), ("setup", pa.binary()), ("dirty", pa.bool_()), ("digest", pa.string()), ("rate", pa.int64()), ("channels", pa.int64()), ("last", pa.int64())])
+GRAPH = "struct<pages:array<struct<begin:bigint,body:bigint,end:bigint,serial:bigint,sequence:bigint,first:boolean,header:boolean>>,streams:array<struct<serial:bigint,codec:string,setup:binary,dirty:boolean,digest:string,rate:bigint,channels:bigint,last:bigint>>,error:string>"
 
 
-def nodes(content: Column) -> Column:
-    """(pages, streams, error) of a file's bytes; null for null."""
+def read(contents: Iterable[bytes | None]) -> pa.Array:
+    """(pages, streams, error) of each file's bytes; null for null.  Comments, which can be long, aren't among them."""
+    out = []
+    for b in contents:
+        try:
+            pages, streams = tree(b) if b is not None else ([], [])
+            streams = [{k: v for k, v in s.items() if k != "comment"} for s in streams]
+            out.append(None if b is None else {"pages": pages, "streams": streams, "error": None})
+        except (Damaged, ValueError, IndexError, OverflowError) as error:
+            out.append({"pages": [], "streams": [], "error": str(error) if isinstance(error, Damaged) else "damaged Ogg file"})
+    return pa.array(out, pa.struct([("pages", pa.list_(_PAGE)), ("streams", pa.list_(_STREAM)), ("error", pa.string())]))
 
-    @F.arrow_udf(GRAPH)
-    def read(content: pa.Array) -> pa.Array:
-        out = []
-        for b in content.to_pylist():
-            try:
-                pages, streams = tree(b) if b is not None else ([], [])
-                out.append(None if b is None else {"pages": pages, "streams": streams, "error": None})
-            except (Damaged, ValueError, IndexError, OverflowError) as error:
-                out.append({"pages": [], "streams": [], "error": str(error) if isinstance(error, Damaged) else "damaged Ogg file"})
-        return pa.array(out, pa.struct([("pages", pa.list_(_PAGE)), ("streams", pa.list_(_STREAM)), ("error", pa.string())]))
 
-    return read(content)
+def nodes(content: Column, made: Callable[[bytes], bytes] | None = None) -> Column:
+    """What ``read`` gives, of a column.  ``made``: see ``splice.values``."""
+    return reading(read, GRAPH, content, made)
 
 
 def streams(files: DataFrame, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
@@ -156,7 +158,7 @@ def streams(files: DataFrame, id_col: str = "file_id", content_col: str = "conte
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for file, content in zip(batch.column(0).to_pylist(), values(batch.column(1))):
                 try:
                     pages, found = tree(content)
                     for s in found:

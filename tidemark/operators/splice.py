@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,23 @@ def remembered(spark: SparkSession, key: str, build: Callable[[], Column]) -> Co
     return _BUILT[whole]
 
 
+def values(column: pa.Array, made: Callable[[bytes], bytes] | None = None) -> Iterator[bytes | None]:
+    """A column's values one after another, so that one is held beside it at a time; ``made``: what makes a file's bytes of a value (null stays null)."""
+    for value in column:
+        b = value.as_py()
+        yield b if b is None or made is None else made(b)
+
+
+def reading(read: Callable[[Iterable[bytes | None]], pa.Array], schema: str, content: Column, made: Callable[[bytes], bytes] | None = None) -> Column:
+    """``read`` of a column's values, as a Column."""
+
+    @F.arrow_udf(schema)
+    def nodes(content: pa.Array) -> pa.Array:
+        return read(values(content, made))
+
+    return nodes(content)
+
+
 def spliced(b: bytes, removed: list[dict], patches: list[dict], blanked: list[dict] = (), spared: list[dict] = ()) -> bytes:
     """``b`` with patches (numbers of ``width`` bytes at ``at``, little-endian if negative), without ``removed`` ranges; in ``blanked`` ranges all bytes outside ``spared`` ones become zero."""
     out = bytearray(b)

@@ -9,13 +9,14 @@ what was removed before them.  The result is read again: the image data must be
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.segments import PROFILE_BYTES, Damaged, _need
-from tidemark.operators.splice import let, spliced
+from tidemark.operators.splice import let, reading, spliced
 from tidemark.session import ship
 
 # Bytes of each field type; tags that rendering needs; pairs of tags that hold offsets and sizes of image data.
@@ -83,21 +84,21 @@ _GRAPH = pa.struct([("sign", pa.int32()), ("size", pa.int64()), ("directories",
 GRAPH = "struct<sign:int,size:bigint,directories:array<struct<ifd:int,begin:bigint,count:int,following:bigint,digest:string>>,entries:array<struct<ifd:int,at:bigint,tag:int,type:int,count:bigint,begin:bigint,end:bigint,inline:boolean,raw:array<bigint>,offsets:array<bigint>,sizes:array<bigint>>>,error:string>"
 
 
-def nodes(content: Column) -> Column:
-    """sign (1 big-endian, -1 little-endian), size, directories, entries and error of a file's bytes; null for null."""
+def read(contents: Iterable[bytes | None]) -> pa.Array:
+    """sign (1 big-endian, -1 little-endian), size, directories, entries and error of each file's bytes; null for null."""
+    out = []
+    for b in contents:
+        try:
+            order, directories, entries = graph(b) if b is not None else ("big", [], [])
+            out.append(None if b is None else {"sign": 1 if order == "big" else -1, "size": len(b), "directories": directories, "entries": entries, "error": None})
+        except (Damaged, ValueError, OverflowError) as error:
+            out.append({"sign": 1, "size": len(b), "directories": [], "entries": [], "error": str(error) if isinstance(error, Damaged) else "damaged TIFF"})
+    return pa.array(out, _GRAPH)
 
-    @F.arrow_udf(GRAPH)
-    def read(content: pa.Array) -> pa.Array:
-        out = []
-        for b in content.to_pylist():
-            try:
-                order, directories, entries = graph(b) if b is not None else ("big", [], [])
-                out.append(None if b is None else {"sign": 1 if order == "big" else -1, "size": len(b), "directories": directories, "entries": entries, "error": None})
-            except (Damaged, ValueError, OverflowError) as error:
-                out.append({"sign": 1, "size": len(b), "directories": [], "entries": [], "error": str(error) if isinstance(error, Damaged) else "damaged TIFF"})
-        return pa.array(out, _GRAPH)
 
-    return read(content)
+def nodes(content: Column, made: Callable[[bytes], bytes] | None = None) -> Column:
+    """What ``read`` gives, of a column.  ``made``: see ``splice.values``."""
+    return reading(read, GRAPH, content, made)
 
 
 def _stays(e: Column) -> Column:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,22 +211,19 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKET = 60_000
 
 
-def ogg_of(text: Column) -> Column:
-    """An Opus stream whose audio packets, one a page, are the text in pieces, with a comment that fills several pages."""
+def ogg_maker() -> Callable[[bytes], bytes]:
+    """What makes of a text an Opus stream whose audio packets, one a page, are the text in pieces, with a comment that fills several pages."""
+    head, fields = b"OpusHead\1\2" + bytes(9), [b"ARTIST=Ann", b"COMMENT=" + b"secret " * 12_000]
+    tags = b"OpusTags" + (4).to_bytes(4, "little") + b"Lavf" + len(fields).to_bytes(4, "little") + b"".join(len(f).to_bytes(4, "little") + f for f in fields)
+    headers = [ogg.page(2, bytes(8), 7, 0, ogg.laced([head]), head), *ogg.paged([tags], 7, 1)]
 
-    @F.arrow_udf("binary")
-    def built(text: pa.Array) -> pa.Array:
-        out = []
-        for b in text.to_pylist():
-            head, fields = b"OpusHead\1\2" + bytes(9), [b"ARTIST=Ann", b"COMMENT=" + b"secret " * 12_000]
-            tags = b"OpusTags" + (4).to_bytes(4, "little") + b"Lavf" + len(fields).to_bytes(4, "little") + b"".join(len(f).to_bytes(4, "little") + f for f in fields)
-            pages = [ogg.page(2, bytes(8), 7, 0, ogg.laced([head]), head), *ogg.paged([tags], 7, 1)]
-            for at in range(0, max(1, len(b)), PACKET):
-                pages.append(ogg.page(0, bytes(8), 7, len(pages), ogg.laced([b[at : at + PACKET]]), b[at : at + PACKET]))
-            out.append(b"".join(pages))
-        return pa.array(out, pa.binary())
+    def made(text: bytes) -> bytes:
+        pages = list(headers)
+        for at in range(0, max(1, len(text)), PACKET):
+            pages.append(ogg.page(0, bytes(8), 7, len(pages), ogg.laced([text[at : at + PACKET]]), text[at : at + PACKET]))
+        return b"".join(pages)
 
-    return built(text)
+    return made
 
 
 @query(
@@ -237,8 +234,8 @@ def ogg_of(text: Column) -> Column:
 )
 def clean_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments over several pages give way to one page; audio pages keep bodies, lacing and positions, and count on."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", ogg_of(_text()).alias("content"))
-    found = ogg.streams(containers.cleaned(docs, ["doc_id"], "ogg"), "doc_id", "cleaned")
+    docs = table(spark, sf_dir, "documents").select("doc_id", _text().alias("content"))
+    found = ogg.streams(containers.cleaned(docs, ["doc_id"], "ogg", made=ogg_maker()), "doc_id", "cleaned")
     return found.select(F.col("file_id").alias("doc_id"), "codec", "digest", "pages", "last")
 
 
