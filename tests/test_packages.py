@@ -1,5 +1,6 @@
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from tidemark.functions import formats
 from tidemark.operators import markup, packages
 from tidemark.operators.packages import content_of, read_entries, stored_package
 from tidemark.operators.segments import Damaged
+from tidemark.plans import catalog
 
 TYPES = b'<Types xmlns="t"><Override PartName="/docProps/thumbnail.jpeg"/><Override PartName="/word/document.xml"/></Types>'
 
@@ -151,3 +153,29 @@ def test_svg_that_is_refused():
     for bad in (b"<!DOCTYPE svg><svg/>", b"<html/>", b"<svg><g></svg>", b"", SVG % b"<text>javascript:x</text>"):
         with pytest.raises(Damaged):
             markup.clean_svg(bad)
+
+
+@pytest.mark.parametrize(
+    ("inside", "left"),
+    [
+        ("<text></text><g/><g ></g ><text\r\n/>", "<text></text><g/><g></g><text/>"),
+        ("<text>/></text><g><script/></g><g><!-- /> --></g>", "<text>/&gt;</text><g></g><g></g>"),
+        ("<text>a\rb\r\nc\n\r</text>\r", "<text>a\rb\r\nc\n\r</text>\r"),
+        ("<text>a&#13;b\r&#10;c</text>", "<text>a&#13;b\n\nc</text>"),  # a reference stays one; CR and LF aren't one line end
+        ("\r<script>\r</script>\n<text x='1\r\n2'><![CDATA[\r\n]]></text>", '\n\n<text x="1 2"><![CDATA[\r\n]]></text>'),
+        ("<style>a{b:expression\r(1)}</style>", ""),
+    ],
+)
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16"])
+def test_svg_stays_as_it_was_written(inside, left, encoding):
+    out = markup.clean_svg(f"<svg>{inside}</svg>".encode(encoding))
+    assert out.decode() == f"<svg>{left}</svg>" and markup.clean_svg(out) == out
+
+
+def test_svg_query_of_odd_texts_equals_its_sql(spark, tmp_path):
+    texts = [None, "", " ", "\r", "a\rb\r\nc\n", "\r\n" * 5_000, "&#13;<g/>", '"]]>']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.queries()["q_clean_svg"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == set(duck.execute(catalog.oracle_sql()["q_clean_svg"]).fetchall())
