@@ -115,3 +115,16 @@ def test_files_of_a_column_and_files_made_of_it_give_the_same(spark, monkeypatch
     got, wanted = (sorted(df.collect()) for df in (containers.cleaned(texts, ["file_id"], "ogg", made=made), containers.cleaned(files, ["file_id"], "ogg")))
     assert got == wanted and [(r.file_id, r.error, r.removed) for r in got] == [(k, None, ["vorbisComment"]) for k in range(5)]
     assert [audio(bytes(r.cleaned)) for r in got] == [bytes(t) for _, t in rows]
+
+
+def test_streams_of_files_and_of_what_was_read_of_them(spark):
+    mixed = b"".join([p for pair in zip(stream("vorbis", 7), stream("opus", 9)) for p in pair] + stream("vorbis", 7)[len(stream("opus", 9)) :])
+    rows = [(1, bytearray(b"".join(stream("opus")))), (2, bytearray(mixed)), (3, bytearray(b"OggS")), (4, None)]
+    frame = spark.createDataFrame(rows, "file_id long, content binary")
+    done = containers.cleaned(frame, ["file_id"], "ogg", again=True)
+    got, again = (sorted(map(tuple, df.collect()), key=str) for df in (ogg.streams(done, content_col="cleaned"), ogg.streams_read(done)))
+    assert got == again and [r[:3] for r in got if r[2] == "error"] == [(3, None, "error"), (4, None, "error")]
+    pages, found = ogg.tree(b"".join(stream("opus")))
+    before = {r.serial: r for r in ogg.streams(frame.where("file_id = 1")).collect()}
+    assert {s: (r.codec, r.digest, r.pages, r.last) for s, r in before.items()} == {7: ("opus", found[0]["digest"], len(pages), pages[-1]["sequence"])}
+    assert len([r for r in got if r[0] == 2]) == 2 and {r[4] - r[5] for r in got if r[2] != "error"} == {1}

@@ -54,21 +54,21 @@ def applied(kind: str, content: bytes, plan) -> tuple[bytes | None, str | None]:
 
 def judged(rows: DataFrame, kind: str = "kind", result: str = "cleaned", modules: dict = MODULES) -> DataFrame:
     """``planned`` rows with problem_: what is wrong with their results, read again (now, if ``<kind>_after`` isn't there); null if nothing or if there is none."""
-    out = F.lit(None).cast("string")
+    out, added = F.lit(None).cast("string"), [f"{name}_after" for name in modules if f"{name}_after" not in rows.columns]
     for name, module in modules.items():
         mine = (F.col(kind) == name) & F.col(result).isNotNull()
-        if f"{name}_after" not in rows.columns:
+        if f"{name}_after" in added:
             rows = rows.withColumn(f"{name}_after", module.nodes(F.when(mine, F.col(result))))
         wrong = remembered(rows.sparkSession, f"problem {name} {result}", lambda n=name, m=module: let(F.col(f"{n}_after"), lambda after: m.problem(F.col(f"{n}_nodes"), after, F.col(result))))
         out = F.coalesce(out, F.when(mine, wrong))
-    return rows.withColumn("problem_", out).drop(*(f"{name}_after" for name in modules))
+    return rows.withColumn("problem_", out).drop(*added)
 
 
-def cleaned(files: DataFrame, keep: list[str], kind: str | None = None, kind_col: str = "kind", content_col: str = "content", made: Callable[[bytes], bytes] | None = None) -> DataFrame:
+def cleaned(files: DataFrame, keep: list[str], kind: str | None = None, kind_col: str = "kind", content_col: str = "content", made: Callable[[bytes], bytes] | None = None, again: bool = False) -> DataFrame:
     """keep, cleaned (null if refused), removed (tokens) and error of every file; no shuffle.  ``kind``: of all files, in place of ``kind_col``.
 
     ``made``: what makes a file's bytes of ``content_col``, always the same of the same; it is called where they are read, one file at a time, so
-    that large files needn't pass between Spark and Python in batches.
+    that large files needn't pass between Spark and Python in batches.  ``again``, with ``kind``: also ``nodes``, what its reader finds in ``cleaned``.
     """
     ship(files.sparkSession)
     rows = files.select(*keep, (F.lit(kind) if kind else F.col(kind_col)).alias("kind_"), F.coalesce(F.col(content_col), F.lit(b"")).alias("content_"))
@@ -94,4 +94,4 @@ def cleaned(files: DataFrame, keep: list[str], kind: str | None = None, kind_col
     kinds = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in passed), *(f"{c} {rows.schema[n].dataType.simpleString()}" for c, n in zip(after, nodes))])
     out = judged(rows.mapInArrow(work, f"{kinds}, cleaned binary, error string"), "kind_", modules=modules).withColumn("error", F.coalesce("error", "problem_"))
     fine = F.col("error").isNull()
-    return out.select(*keep, F.when(fine, F.col("cleaned")).alias("cleaned"), F.when(fine, F.col("removed_")).otherwise(F.array().cast("array<string>")).alias("removed"), "error")
+    return out.select(*keep, F.when(fine, F.col("cleaned")).alias("cleaned"), F.when(fine, F.col("removed_")).otherwise(F.array().cast("array<string>")).alias("removed"), "error", *([F.when(fine, F.col(f"{kind}_after")).alias("nodes")] if again else []))

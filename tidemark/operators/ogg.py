@@ -173,6 +173,20 @@ def streams(files: DataFrame, id_col: str = "file_id", content_col: str = "conte
     return files.select(F.col(id_col).cast("long").alias("file_id"), F.coalesce(F.col(content_col), F.lit(b"")).alias("content")).mapInArrow(read, schema)
 
 
+def streams_read(files: DataFrame, id_col: str = "file_id", nodes_col: str = "nodes") -> DataFrame:
+    """As ``streams``, of files that are read already: ``nodes_col`` is what ``nodes`` gave of them, null of a damaged file."""
+    g = F.col(nodes_col)
+    kind = "array<struct<serial:bigint,codec:string,digest:string,pages:bigint,last:bigint>>"
+
+    def row(s: Column) -> Column:
+        own = F.filter(g["pages"], lambda p: p["serial"] == s["serial"])
+        return F.struct(s["serial"], s["codec"], s["digest"], F.size(own), F.element_at(own, -1)["sequence"])
+
+    found = F.when(g.isNotNull() & g["error"].isNull(), F.transform(g["streams"], row).cast(kind))
+    error = F.array(F.struct(F.lit(None), F.lit("error"), F.lit(None), F.lit(0), F.lit(None))).cast(kind)
+    return files.select(F.col(id_col).cast("long").alias("file_id"), F.inline(F.coalesce(found, error)))
+
+
 def plan(g: Column) -> Column:
     """Pages that stay with their new numbers, the streams' headers with the number of pages they take, and the tokens."""
     length = lambda s: F.when(s["codec"] == "vorbis", len(EMPTY["vorbis"])).otherwise(len(EMPTY["opus"]))

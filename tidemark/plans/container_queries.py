@@ -235,7 +235,7 @@ def ogg_maker() -> Callable[[bytes], bytes]:
 def clean_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments over several pages give way to one page; audio pages keep bodies, lacing and positions, and count on."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _text().alias("content"))
-    found = ogg.streams(containers.cleaned(docs, ["doc_id"], "ogg", made=ogg_maker()), "doc_id", "cleaned")
+    found = ogg.streams_read(containers.cleaned(docs, ["doc_id"], "ogg", made=ogg_maker(), again=True), "doc_id")
     return found.select(F.col("file_id").alias("doc_id"), "codec", "digest", "pages", "last")
 
 
